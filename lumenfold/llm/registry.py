@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import suffix_dedup
+from lumenfold.llm import decontaminate, language_id, license_scan, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_suffix_dedup": suffix_dedup.op2_suffix_dedup}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op4_simhash": simhash_dedup.op4_simhash,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op9_language_id": language_id.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
