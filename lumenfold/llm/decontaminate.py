@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import map_arrow
+from lumenfold.llm.sparkkit import map_arrow, without
 from lumenfold.llm.textkit import ALNUM, LOWER, blocks, gram_hashes, sliding_min, word_hashes, words
 
 SPAN = 13
@@ -152,8 +152,8 @@ def _pass(docs: DataFrame, index: Broadcast) -> DataFrame:
     return map_arrow(docs, run, _SCHEMA)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, spans (word ranges hit, in order), items (sorted item ids), contaminated."""
+def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As decontaminate(), with th, the xxhash64 of the text."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter("text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -181,10 +181,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         )
         out = out.withColumn("spans", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.hi - s.lo)")
-    out = out.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
+    out = out.select("doc_id", "th", "n_words", hit.alias("n_hit"), "spans", "items")
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
+def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, spans (word ranges hit, in order), items (sorted item ids), contaminated."""
+    return hits(documents, benchmark, span, gram, block_bytes).drop("th")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns."""
+    return without(documents, hits(documents, benchmark).filter("contaminated"))
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
     ids = F.sha2(F.array_join("items", ","), 256)

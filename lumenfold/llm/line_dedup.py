@@ -69,6 +69,21 @@ def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES,
     return out
 
 
+def clean_lines(documents: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+    """The documents without boilerplate lines; n_chars, if they have it, is counted anew where lines went."""
+    found = dedup_lines(documents, site, sites)
+    changed = F.col("n_removed") > 0
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.col("kept").alias(c)
+        if c == "n_chars":
+            return F.when(changed, F.char_length("kept").cast(documents.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return found.select(*(value(c) for c in documents.columns))
+
+
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components, forests
-from lumenfold.llm.sparkkit import cut, map_arrow
+from lumenfold.llm.sparkkit import DECISION_ROWS, cut, map_arrow, small, without
 from lumenfold.llm.textkit import forest
 
 RADIUS = 3
@@ -59,13 +59,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, th, fp): th is the xxhash64 of the text, fp the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch["text"]), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.record_batch([batch["doc_id"], batch["th"], pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    return map_arrow(docs, run, "doc_id long, th long, fp long")
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -187,16 +188,41 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return edges
 
 
+def _classes(by_doc: DataFrame, crowd: int) -> DataFrame:
+    """(fp, root): the part of each distinct fingerprint."""
+    distinct = cut(by_doc.select("fp").distinct())
+    parts = components(links(distinct, crowd))
+    return distinct.join(parts, distinct.fp == parts.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_dedup(documents: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     by_doc = cut(fingerprints(documents, shingle))
-    distinct = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = components(links(distinct.select("fp"), crowd))
-    root = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    root = _classes(by_doc, crowd)
+    least = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    root = cut(root.join(least, "fp"))
     smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = root.join(smallest, "root").select("fp", "component_id")
     return by_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
+    """One document of each class, the one of least doc_id (nulls last), with its own columns."""
+    by_doc = cut(fingerprints(documents, shingle))
+    rows = by_doc.groupBy("fp", "doc_id", "th").agg(F.count("*").alias("copies")).join(_classes(by_doc, crowd), "fp")
+    rows = cut(rows.select("root", "doc_id", "th", "copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keeper = rows.groupBy("root").agg(F.min(order).alias("k")).select("root", "k.doc_id", "k.th")
+    marked = cut(rows.join(keeper.select("root", F.col("doc_id").alias("i"), F.col("th").alias("t")), "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))))
+    once = without(documents, marked.filter("not kept or copies > 1"))
+    # rows that are repeated as they are: all copies went, one comes back
+    repeated = marked.filter("kept and copies > 1").select(F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
+    if repeated.isEmpty():
+        return once
+    same = documents["doc_id"].cast("long").eqNullSafe(repeated["rep_id"]) & (F.xxhash64(documents["text"]) == repeated["rep_th"])
+    back = documents.join(small(repeated, repeated.count(), DECISION_ROWS), same, "left_semi")
+    return once.unionByName(back.dropDuplicates(["doc_id", "text"]))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -40,3 +40,15 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                 yield from f(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of ids and hashes up to which a filter's decisions are broadcast to the documents.
+DECISION_ROWS = 400_000
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents but those whose (doc_id, xxhash64 of the text) is in ``gone`` (doc_id, th)."""
+    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
+    marks = small(gone, gone.count(), DECISION_ROWS)
+    same = documents["doc_id"].cast("long").eqNullSafe(marks["gone_id"]) & (F.xxhash64(documents["text"]) == marks["gone_th"])
+    return documents.join(marks, same, "left_anti")
