@@ -13,9 +13,17 @@ SILENT_TAGS = "script style noscript svg nav footer".split()
 BLOCK_TAGS = "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article blockquote pre".split()
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def fold(c: Column) -> Column:
-    """For comparison without regard to case."""
-    return F.lower(c)
+    """For comparison without regard to the case of A-Z; other letters are told apart, as the store does."""
+    return F.translate(c, _UPPER, _LOWER)
+
+
+def fold_text(value: str) -> str:
+    """fold() of a constant."""
+    return value.translate(str.maketrans(_UPPER, _LOWER))
 
 
 def tokens(c: Column) -> Column:
@@ -29,7 +37,7 @@ def squeeze(c: Column) -> Column:
 
 def word_start(c: Column, value: str) -> Column:
     """Some word (after a blank or at the start) begins with ``value``."""
-    return F.lower(c).startswith(value.lower()) | F.lower(c).contains(" " + value.lower())
+    return fold(c).startswith(fold_text(value)) | fold(c).contains(" " + fold_text(value))
 
 
 def sentences(c: Column) -> Column:

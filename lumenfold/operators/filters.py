@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import fold, word_start
+from lumenfold.functions.text import fold, fold_text, word_start
 from lumenfold.operators.graph import descendants
 
 
@@ -54,7 +54,7 @@ def condition(f: Filter, field: Field) -> Column | None:
     if not value:
         return None
     columns = [F.col(c) for c in (field.column, *field.also) if c]
-    low = value.lower()
+    low = fold_text(value)
     if field.kind == "exact":
         return F.coalesce(columns[0] == value, F.lit(False))
     if field.kind == "nocase":
@@ -107,9 +107,9 @@ def apply(df: DataFrame, filters: list[Filter], fields: dict[str, Field], key: s
             inside = descendants(field.tree, f.value.strip())
             rows = rows.join(inside, rows[field.column] == inside["id"], "left_semi")
         elif f.op == "is":
-            rows = rows.filter(fold(F.col(field.column).cast("string")) == f.value.strip().lower())
+            rows = rows.filter(fold(F.col(field.column).cast("string")) == fold_text(f.value.strip()))
         else:
-            rows = rows.filter(fold(F.col(field.column).cast("string")).contains(f.value.strip().lower()))
+            rows = rows.filter(fold(F.col(field.column).cast("string")).contains(fold_text(f.value.strip())))
         df = df.join(rows.select(key), key, "left_semi")
     return df
 
@@ -132,7 +132,7 @@ def custom_filter(column: str, conditions: list[tuple[str, float]], both: bool =
 
 
 def label_filter(column: str, op: str, value: str) -> Column:
-    c, low = fold(F.col(column).cast("string")), value.lower()
+    c, low = fold(F.col(column).cast("string")), fold_text(value)
     return F.coalesce({"equal": c == low, "contains": c.contains(low), "beginsWith": c.startswith(low)}[op], F.lit(False))
 
 

@@ -118,6 +118,15 @@ def range_group(c: Column, start: float, step: float) -> Column:
     return F.concat(text(lo), F.lit("-"), text(lo + step))
 
 
+def group_key(c: Column, kind: str = "string") -> Column:
+    """What makes two cells one member: blanks are one; numbers and numeric texts collapse; other texts without case and outer blanks; booleans apart."""
+    if kind == "boolean":
+        return F.concat(F.lit("b:"), c.cast("string"))
+    text = F.trim(c.cast("string"))
+    number = text.try_cast("double")
+    return F.when(c.isNull() | (text == ""), "blank").when(number.isNotNull(), F.concat(F.lit("n:"), number.cast("string"))).otherwise(F.concat(F.lit("s:"), F.lower(text)))
+
+
 def member_order(df: DataFrame, name: str, order: str) -> DataFrame:
     """Members in the order in which they are first seen."""
     return df.groupBy(name).agg(F.min(order).alias("first_seen"))

@@ -235,7 +235,7 @@ def union_append(spark, sf):
 
 
 @query(
-    """select p_partkey, case when p_size > 25 then upper(p_name) else 'pending ' || p_type end as label, p_size + 2 * 3.0 as more, (p_size % 7.0)::double as rest,
+    """select p_partkey, case when p_size > 25 then upper(p_name) else 'pending ' || p_type end as label, (p_size + 2 * 3.0)::double as more, (p_size % 7.0)::double as rest,
               length(p_name || '!')::double as letters, (contains(p_name, 'ring') and p_size >= 10) as ring from part"""
 )
 def formula_property(spark, sf):

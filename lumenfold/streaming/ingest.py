@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenfold.session import checkpoint
+from lumenfold import session
 
 
 def tail(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -38,7 +38,7 @@ def upsert_batches(stream: DataFrame, key: str, version: str, target: str, check
             old = rows.limit(0)
         every = old.unionByName(rows)
         newest = every.groupBy("bucket", key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("bucket", key))), version).alias("r"))
-        out = checkpoint(newest.select(key, "r.*", "bucket"))
+        out = session.checkpoint(newest.select(key, "r.*", "bucket"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
         rows.unpersist()
 
@@ -48,21 +48,26 @@ def upsert_batches(stream: DataFrame, key: str, version: str, target: str, check
 
 def windowed(events: DataFrame, time: str, size: str, keys: list[str], aggregates: dict[str, Column], late: str | None = None, slide: str | None = None) -> DataFrame:
     """Aggregates by event-time window and keys; on a stream ``late`` bounds the state."""
-    if late and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _timed(events, time, late)
     return events.groupBy(F.window(time, size, slide), *keys).agg(*(c.alias(n) for n, c in aggregates.items())).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *aggregates)
 
 
 def sessions(events: DataFrame, time: str, gap: str, keys: list[str], aggregates: dict[str, Column], late: str | None = None) -> DataFrame:
     """Aggregates by session: events of a key not further than ``gap`` apart."""
-    if late and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _timed(events, time, late)
     return events.groupBy(F.session_window(time, gap), *keys).agg(*(c.alias(n) for n, c in aggregates.items())).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, *aggregates)
 
 
+def _timed(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream with a watermark; its event time must be a timestamp with a zone."""
+    if not (late and events.isStreaming):
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def run_to_end(query: StreamingQuery, check: Callable[[], None] | None = None) -> None:
     query.awaitTermination()
     if query.exception():
-        raise query.exception()
+        raise RuntimeError(str(query.exception()))
     if check:
         check()
