@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_CHARS, MAX_TOKENS, MAX_DEPTH = 4096, 512, 32
+MAX_CHARS, MAX_TOKENS, MAX_DEPTH, MAX_RESULT = 4096, 512, 32, 65_536
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<ref>\[[^\]]+\]|\{[^}]+\})|(?P<name>[^\W\d]\w*)|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||[-+*/%<>!(),]))""")
 _LEVEL = {"||": 1, "&&": 2, "==": 3, "===": 3, "!=": 3, "!==": 3, "<": 4, ">": 4, "<=": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6}
@@ -238,7 +238,13 @@ def property_formula(text: str, schema: dict[str, str], columns: dict[str, Colum
         c = (columns or {}).get(name, F.col(f"`{name}`"))
         kind = _KINDS.get(kind, "number")
         fields[name] = Value(c.cast("double") if kind == "number" else c, kind)
-    return _Reader(text, _Property(fields)).whole().column
+    out = _Reader(text, _Property(fields)).whole()
+    if out.kind == "number":
+        wild = F.isnan(out.column) | (F.abs(out.column) == float("inf"))
+        return F.when(wild, F.raise_error(F.lit("the formula's result is not a finite number")).cast("double")).otherwise(out.column)
+    if out.kind == "text":
+        return F.when(F.char_length(out.column) > MAX_RESULT, F.raise_error(F.lit("the formula's result is too long")).cast("string")).otherwise(out.column)
+    return out.column
 
 
 def pivot_formula(text: str, fields: dict[str, Column]) -> Column:

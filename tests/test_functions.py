@@ -26,6 +26,8 @@ def test_property_formula(spark):
     assert one(spark, property_formula("!([title] && false) || 0", schema), **row) is True
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         one(spark, property_formula("1 / 0", {}))
+    with pytest.raises(Exception, match="finite"):
+        one(spark, property_formula("[x] * [x]", {"x": "double"}), x=1e300)
 
 
 @pytest.mark.parametrize("text", ["1 +", "upper(", "1 2", "process.exit()", "x" * 5000, "(" * 40 + "1" + ")" * 40, "nothing(1)", "'a' * 2", "1 ; 2"])
