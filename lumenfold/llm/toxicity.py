@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import map_arrow, without
+from lumenfold.llm.sparkkit import cut, map_arrow, without
 from lumenfold.llm.textkit import _BYTE, _PLACE, ALNUM, LOWER, blocks, gram_hashes, gram_ok, mix, word_hashes, words
 
 TRAIN_ROWS = 20_000
@@ -163,21 +163,24 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_w
                 ["toxic", "kind", "features"],
             )
 
-    each = map_arrow(texts, features, "toxic int, kind long, features array<long>").dropDuplicates(["toxic", "kind"]).persist()
+    each = cut(map_arrow(texts, features, "toxic int, kind long, features array<long>").dropDuplicates(["toxic", "kind"]))
     total = each.agg(F.sum("toxic"), F.count("*")).first()
     pos, neg = total[0] or 0, total[1] - (total[0] or 0)
     prior = min(0.0, math.log((pos + 1) / (neg + 1))) if pos + neg else -2.0
-    counts = each.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).persist()
+    counts = each.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     weight = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
     starting = {_hash_of(w): 4.0 for w in INSULTS}
     signed = [s - 2**64 if s >= 2**63 else s for s in starting]
-    known = counts.filter(F.col("f").isin(signed) & (F.col("p") + F.col("n") >= MIN_SUPPORT)).select("f").collect()
-    arcs = counts.filter((F.col("p") >= MIN_SUPPORT) & (weight >= min_weight)).select("f", weight.alias("w"), "p").orderBy(F.desc("p"), F.desc("w"), "f").limit(MAX_ARCS)
-    candidates = {r["f"]: (r["w"], r["p"]) for r in arcs.collect()}
+    seen = F.col("f").isin(signed) & (F.col("p") + F.col("n") >= MIN_SUPPORT)
+    fits = (F.col("p") >= MIN_SUPPORT) & (weight >= min_weight)
+    # at most MAX_ARCS, and the starting arcs that the labels speak of
+    wanted = counts.filter(seen | fits).select("f", weight.alias("w"), "p", seen.alias("seen"), fits.alias("fits"))
+    found = wanted.orderBy(F.desc("seen"), F.desc("p"), F.desc("w"), "f").limit(MAX_ARCS).collect()
+    known = [r for r in found if r["seen"]]
+    candidates = {r["f"]: (r["w"], r["p"]) for r in found if r["fits"]}
     # which texts the candidates are in: at most the sample's toxic texts by the candidates
-    pairs = each.filter("toxic = 1").select("kind", F.explode("features").alias("f")).join(F.broadcast(arcs.select("f")), "f").collect()
-    counts.unpersist()
-    each.unpersist()
+    arcs = documents.sparkSession.createDataFrame([(f,) for f in candidates], "f long")
+    pairs = each.filter("toxic = 1").select("kind", F.explode("features").alias("f")).join(F.broadcast(arcs), "f").collect()
     texts_of: dict[int, set[int]] = {}
     for r in pairs:
         texts_of.setdefault(r["f"], set()).add(r["kind"])
