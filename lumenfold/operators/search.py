@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import tokens
+from lumenfold.session import checkpoint
 
 K1, B = 1.2, 0.75
 RRF, TOP, DISTANCE = 60, 300, 0.27
@@ -93,11 +94,12 @@ def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[fl
     words = bm25(docs, key, terms).withColumn("score", F.round("score", 9))
     if eligible is not None:
         words = words.join(eligible.select(key), key, "left_semi")
-    words = ranked(words, key, F.col("score").desc(), top).select(key, "rank")
+    words = checkpoint(ranked(words, key, F.col("score").desc(), top).select(key, "rank"))  # a short list, used thrice
     near = nearest(vectors, vector_key, column, query, top).withColumnRenamed(vector_key, key)
     if eligible is not None:
         near = near.join(eligible.select(key), key, "left_semi")
     near = near.join(words.select(key, F.lit(True).alias("is_word")), key, "left").filter((F.col("distance") <= distance) | F.col("is_word"))
+    near = checkpoint(near)
     fused = reciprocal_ranks([(words, 1.0), (near, 1.0)], key)
     flags = words.select(key, F.lit(True).alias("w")).join(near.select(key, F.lit(True).alias("v")), key, "full")
     return fused.join(flags, key).select(key, "score", F.coalesce("w", F.lit(False)).alias("keyword"), F.coalesce("v", F.lit(False)).alias("semantic"))

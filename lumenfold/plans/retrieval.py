@@ -26,17 +26,17 @@ _BM25 = rf"""
 
 @query(f"with t as (select doc_id, unnest({_TOKENS}) as term from documents) select doc_id, term, count(*)::bigint as tf from t group by 1, 2 having count(*) >= 3")
 def tokenise_tf(spark, sf):
-    return search.term_counts(table(spark, sf, "documents"), "doc_id").filter("tf >= 3")
+    return search.term_counts(table(spark, sf, "documents", spread=True), "doc_id").filter("tf >= 3")
 
 
 @query(f"with t as (select doc_id, unnest({_TOKENS}) as term from documents) select term, count(distinct doc_id)::bigint as df from t group by 1")
 def document_frequency(spark, sf):
-    return search.document_frequencies(table(spark, sf, "documents"), "doc_id")
+    return search.document_frequencies(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query(f"with {_BM25} select doc_id, round(score, 6) as score from bm order by round(score, 9) desc, doc_id limit 300")
 def lexical_topk(spark, sf):
-    hits = search.bm25(table(spark, sf, "documents"), "doc_id", TERMS).withColumn("score", F.round("score", 9))
+    hits = search.bm25(table(spark, sf, "documents", spread=True), "doc_id", TERMS).withColumn("score", F.round("score", 9))
     return hits.orderBy(F.desc("score"), "doc_id").limit(search.TOP).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -67,7 +67,7 @@ select doc_id, round(sum(s), 9) as score, max(kw) = 1 as keyword, max(se) = 1 as
 
 @query(HYBRID_SQL)
 def hybrid_search(spark, sf):
-    hits = search.hybrid(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "embeddings"), TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding")
+    hits = search.hybrid(table(spark, sf, "documents", spread=True).select("doc_id", "text"), table(spark, sf, "embeddings"), TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding")
     return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -92,7 +92,7 @@ def best_passages(spark, sf):
 @query()
 def snippet_highlight(spark, sf):
     """Every document that holds a term, with its excerpt about the first hit."""
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", spread=True)
     hit = F.exists(tx.tokens(F.col("text")), lambda t: t.isin(TERMS))
     return docs.filter(hit).select("doc_id", tx.snippet(F.col("text"), TERMS).alias("snippet"), tx.excerpt(F.col("text"), 80).alias("excerpt"))
 
@@ -119,7 +119,7 @@ def title_rank(spark, sf):
         select page_id, trim(regexp_replace(regexp_replace(x, ' *\n *', chr(10), 'g'), '\n{2,}', chr(10), 'g'), ' ' || chr(10)) as text from e"""
 )
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf, "pages", spread=True).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -127,19 +127,19 @@ def html_to_text(spark, sf):
         select page_id, (unnest(range(len(t))))::int as position, unnest(t) as target from l"""
 )
 def link_extract(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.explode(tx.page_links(F.col("html"))).alias("l")).select("page_id", "l.position", "l.target")
+    return table(spark, sf, "pages", spread=True).select("page_id", F.explode(tx.page_links(F.col("html"))).alias("l")).select("page_id", "l.position", "l.target")
 
 
 @query()
 def sentence_context(spark, sf):
     """Each sentence of every document between its neighbours."""
-    return chunk.sentence_context(table(spark, sf, "documents"), "doc_id")
+    return chunk.sentence_context(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query()
 def passage_chunk(spark, sf):
     """Every document packed into passages."""
-    return chunk.passages(table(spark, sf, "documents"), "doc_id")
+    return chunk.passages(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query()
@@ -169,7 +169,7 @@ def citation_expand(spark, sf):
 
 @query()
 def corpus_fingerprint(spark, sf):
-    return search.corpus_id(table(spark, sf, "documents"), "doc_id")
+    return search.corpus_id(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r = 1")
