@@ -157,3 +157,17 @@ def markdown_kind(line: Column) -> Column:
 def fuzzy_match(c: Column, query: str) -> Column:
     """The query's letters occur in this order."""
     return F.lower(c).rlike(".*".join(rf"\Q{ch}\E" for ch in query.lower()))
+
+
+def positions(c: Column, query: str, most: int = 20_000) -> Column:
+    """Where (from 1) a text holds ``query``, regardless of A-Z case, hits not overlapping; at most ``most``."""
+    parts = F.split(fold(c), rf"\Q{fold_text(query)}\E", -1)
+    step = len(query)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+    hits = F.slice(parts, 1, F.greatest(F.least(F.size(parts) - 1, F.lit(most)), F.lit(0)))
+    return F.aggregate(
+        hits,
+        start,
+        lambda a, p: F.struct((a["at"] + F.char_length(p) + step).alias("at"), F.concat(a["found"], F.array(a["at"] + F.char_length(p))).alias("found")),
+        lambda a: a["found"],
+    )
