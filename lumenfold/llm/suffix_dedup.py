@@ -40,8 +40,8 @@ from lumenfold.llm.textkit import blocks, mix, sliding_min
 LENGTH = 400
 GRAM = 128
 GRID = 16
-#: Rows (each of a few spans of one document) up to which the text isn't shuffled to meet them.
-BROADCAST_ROWS = 400_000
+#: Spans or anchors (some 40 bytes each) up to which they are broadcast and the text isn't shuffled to meet them.
+BROADCAST_MARKS = 1_000_000
 
 _U = np.uint64
 _rng = np.random.default_rng(977)
@@ -124,7 +124,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("q", "p", "lo", "hi", "own")).alias("marks"))
     per_doc = cut(per_doc)
     joined = docs.alias("d").join(
-        small(per_doc, per_doc.count(), BROADCAST_ROWS).alias("w"),
+        small(per_doc, _elements(per_doc, "marks"), BROADCAST_MARKS).alias("w"),
         F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")),
     )
     return map_arrow(joined.select("d.doc_id", "d.th", "text", "marks"), run, "q long, p int, lo int, hi int, own boolean, doc_id long, th long, bytes binary")
@@ -171,7 +171,7 @@ def _offsets(contexts: DataFrame, length: int, grid: int) -> DataFrame:
 
 def _shared(members: DataFrame) -> DataFrame:
     """The own members whose bucket (q, c) has another member."""
-    full = members.groupBy("q", "c").agg(F.count("*").alias("n")).filter("n > 1").select("q", "c")
+    full = cut(members.groupBy("q", "c").agg(F.count("*").alias("n")).filter("n > 1").select("q", "c"))
     return members.filter("own").join(full, ["q", "c"])
 
 
@@ -206,12 +206,19 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     # level 2: single offsets, of the undecided stretches and of whatever shares a bucket with them
     undecided = stretches.filter("not whole")
-    asked = undecided.groupBy("q").agg(F.collect_set("k").alias("ks"))
+    # (written first, so that a bucket of many contexts is one that the adaptive join can split)
+    asked = cut(undecided.groupBy("q").agg(F.collect_set("k").alias("ks")))
+    asked = small(asked, _elements(asked, "ks"), BROADCAST_MARKS)
     windows = _shared(_offsets(contexts.join(asked, "q"), length, grid))
     singles = windows.select("doc_id", "th", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
     return settled.unionByName(spans).unionByName(singles)
 
 
+def _elements(df: DataFrame, column: str) -> int:
+    """How many elements the arrays of a column have in all."""
+    return df.agg(F.sum(F.size(column).cast("long"))).first()[0] or 0
+
+
 def _match(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
     on = same[0]
@@ -242,7 +249,7 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, g
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (lo, hi) and kept (the bytes left)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     merged = cut(_merged(repeated_spans(documents, length, gram, grid)))
-    merged = small(merged, merged.count(), BROADCAST_ROWS)
+    merged = small(merged, _elements(merged, "spans"), BROADCAST_MARKS)
     joined = docs.alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.th") == F.col("m.th")), "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
