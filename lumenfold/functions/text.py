@@ -100,10 +100,10 @@ def page_links(c: Column) -> Column:
     return F.transform(found, lambda x, i: F.struct(i.alias("position"), x.alias("target")))
 
 
-def note_links(c: Column) -> Column:
-    """(kind, id, anchor) of Markdown links of the form ``key://kind/id#anchor``."""
-    whole = F.regexp_extract_all(c, F.lit(r"\]\((key://[^)\s]+)\)"), F.lit(1))
-    part = lambda x, k: F.regexp_extract(x, r"^key://([a-z]+)/([^#]+)(?:#(.*))?$", k)
+def note_links(c: Column, scheme: str) -> Column:
+    """(kind, id, anchor) of Markdown links of the form ``scheme://kind/id#anchor``."""
+    whole = F.regexp_extract_all(c, F.lit(rf"\]\(({scheme}://[^)\s]+)\)"), F.lit(1))
+    part = lambda x, k: F.regexp_extract(x, rf"^{scheme}://([a-z]+)/([^#]+)(?:#(.*))?$", k)
     return F.filter(F.transform(whole, lambda x: F.struct(part(x, 1).alias("kind"), part(x, 2).alias("id"), part(x, 3).alias("anchor"))), lambda s: s["kind"] != "")
 
 

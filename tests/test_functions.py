@@ -56,7 +56,7 @@ def test_text(spark):
     assert one(spark, tx.excerpt(F.col("t"), 9), t="alpha  beta gamma") == "alpha…"
     assert one(spark, tx.snippet(F.col("t"), ["beta"], 3), t="a b c d Beta e f g h") == "…[[Beta]] e f…"
     assert one(spark, tx.dehyphenate(F.col("t")), t="exam-\nple Non-\nUS") == "example Non-\nUS"
-    assert one(spark, tx.note_links(F.col("t")), t="[a](key://source/x1#p3) [b](http://x)")[0].asDict() == {"kind": "source", "id": "x1", "anchor": "p3"}
+    assert one(spark, tx.note_links(F.col("t"), "lib"), t="[a](lib://source/x1#p3) [b](http://x)")[0].asDict() == {"kind": "source", "id": "x1", "anchor": "p3"}
     assert one(spark, tx.topic_id(F.col("t")), t="https://openalex.org/subfields/1705") == "S1705"
     assert one(spark, tx.fold(F.col("t")), t="ÀBc") == "Àbc"
     index = F.from_json(F.lit('{"hello": [0, 2], "there": [1]}'), "map<string, array<int>>")
