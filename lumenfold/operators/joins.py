@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,29 +43,26 @@ def lookup_exact(df: DataFrame, table: DataFrame, key: str, table_key: str, valu
     return df.join(first, df[key] == first["_key"], "left").drop("_key")
 
 
-def lookup_approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str) -> DataFrame:
+def lookup_approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int = 256) -> DataFrame:
     """VLOOKUP of a sorted range: the value of the last key that isn't greater.
 
     Both sides are put in one order and the last table row before each is carried on, within blocks of the
-    key's range; what a block begins with is the last table row before it. So there is no range join.
+    keys' order; what a block begins with is the last table row before it. So there is no range join.
     """
-    from pyspark.sql import Window as W
-
-    x = df.withColumn("_id", F.monotonically_increasing_id())
-    marks = x.select(F.col(key).cast("double").alias("k"), F.lit(1).alias("side"), "_id", F.lit(None).cast(table.schema[value].dataType).alias("v"))
-    marks = marks.unionByName(table.select(F.col(table_key).cast("double").alias("k"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("_id"), F.col(value).alias("v")))
-    marks = marks.filter("k is not null")
-    span = table.agg(F.min(F.col(table_key).cast("double")).alias("lo"), F.max(F.col(table_key).cast("double")).alias("hi")).first()
-    lo, hi = span["lo"] or 0.0, span["hi"] or 0.0
-    blocks = 256
-    marks = marks.withColumn("block", F.least(F.greatest(F.floor((F.col("k") - lo) / max((hi - lo) / blocks, 1e-12)), F.lit(-1)), F.lit(blocks)))
+    kind = table.schema[value].dataType
+    rows = df.select(F.col(key).cast("double").alias("k"), F.lit(1).alias("side"), F.struct(*(df[c] for c in df.columns)).alias("row"), F.lit(None).cast(kind).alias("v"))
+    marks = rows.filter("k is not null").unionByName(table.filter(F.col(table_key).isNotNull()).select(F.col(table_key).cast("double").alias("k"), F.lit(0).alias("side"), F.col(value).alias("v")), allowMissingColumns=True)
+    # blocks of about equal numbers of rows, by the wanted keys' quantiles
+    edges = sorted(set(df.withColumn("_k", F.col(key).cast("double")).approxQuantile("_k", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) or [0.0]
+    marks = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="k", outputCol="block").transform(marks)
+    marks = marks.withColumn("block", F.col("block").cast("int"))
     carry = marks.filter("side = 0").groupBy("block").agg(F.max_by("v", "k").alias("last"))
-    begin = carry.select(F.col("block").alias("b"), "last").withColumn("until", F.coalesce(F.lead("b").over(W.orderBy("b")), F.lit(blocks + 1)))
+    begin = carry.select(F.col("block").alias("b"), "last").withColumn("until", F.coalesce(F.lead("b").over(W.orderBy("b")), F.lit(len(edges) + 1)))
     begin = begin.select("last", F.explode(F.expr("sequence(b + 1, until)")).alias("block"))
     within = W.partitionBy("block").orderBy("k", "side").rowsBetween(W.unboundedPreceding, 0)
     marks = marks.withColumn("here", F.last("v", ignorenulls=True).over(within)).filter("side = 1")
-    found = marks.join(F.broadcast(begin), "block", "left").select("_id", F.coalesce("here", "last").alias("found"))
-    return x.join(found, "_id", "left").drop("_id")
+    found = marks.join(F.broadcast(begin), "block", "left").select("row.*", F.coalesce("here", "last").alias("found"))
+    return found.unionByName(rows.filter("k is null").select("row.*", F.col("v").alias("found")))
 
 
 def consolidate(areas: list[DataFrame], label: str, values: list[str], how: str = "sum") -> DataFrame:
