@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import map_arrow
+from lumenfold.llm.sparkkit import map_arrow, read
 
 DIMS = 1024
 N = 3
@@ -167,4 +167,4 @@ def language_id(documents: DataFrame, rows: int = TRAIN_ROWS, dims: int = DIMS,
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return language_id(read(spark, sf_dir, "documents"))

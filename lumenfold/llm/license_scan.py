@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import map_arrow
+from lumenfold.llm.sparkkit import map_arrow, read
 from lumenfold.llm.textkit import ALNUM, LOWER, blocks, gram_hashes, sliding_min, word_hashes, words
 
 SHINGLE = 5
@@ -145,6 +145,6 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str, str]] | N
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = license_scan(read(spark, sf_dir, "documents"))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("containment"))

@@ -26,7 +26,8 @@ MIN_CHARS = 4
 LG_K = 11
 #: Over three standard errors of a sketch of 2^11 registers, relative; sketches of few sites are exact anyway.
 MARGIN = 0.1
-BROADCAST_ROWS = 400_000
+#: Hashes up to which a side of them is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _key(line: Column) -> Column:
@@ -58,7 +59,8 @@ def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES,
     if keep_first:
         hit = hit.filter("keeper is not null and not (doc_id <=> keeper)")
     per_doc = cut(hit.groupBy("doc_id", "th").agg(F.collect_set("h").alias("gone")))
-    per_doc = small(per_doc, per_doc.count(), BROADCAST_ROWS).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "gone")
+    marks = per_doc.agg(F.sum(F.size("gone").cast("long"))).first()[0] or 0
+    per_doc = small(per_doc, marks, BROADCAST_ROWS).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "gone")
     joined = rows.join(per_doc, rows.row["doc_id"].cast("long").eqNullSafe(per_doc.i) & (rows.th == per_doc.t), "left")
     parts = F.split(F.col("row.text"), "\n")
     stays = F.filter(parts, lambda x: F.coalesce(~F.array_contains("gone", _key(x)["h"]), F.lit(True)))

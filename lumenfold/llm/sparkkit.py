@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table, dealt out anew if its scan has fewer tasks than the cluster has cores.
+
+    Texts are heavy work for each row, and a small file is one task; a large table's scan is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import cut, map_arrow, small
+from lumenfold.llm.sparkkit import cut, map_arrow, read, small
 from lumenfold.llm.textkit import blocks, mix, sliding_min
 
 LENGTH = 400
@@ -63,7 +63,7 @@ def _rolling(data: np.ndarray, q: int) -> np.ndarray:
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
     """(hash, anchor, first, last): the runs of windows, by start, that share an anchor, within documents."""
     none = (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    out, step = [], 1 << 23
+    out, step = [], 1 << 20
     for base in range(0, max(len(data) - length + 1, 0), step):  # anchors are packed with 24-bit positions
         h = _rolling(data[base : base + step + length - 1], q)
         low = sliding_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), length - q + 1)
@@ -274,4 +274,4 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, g
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans", "kept")
+    return suffix_dedup(read(spark, sf_dir, "documents")).drop("spans", "kept")

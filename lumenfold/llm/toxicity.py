@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.sparkkit import cut, map_arrow, without
+from lumenfold.llm.sparkkit import cut, map_arrow, read, without
 from lumenfold.llm.textkit import _BYTE, _PLACE, ALNUM, LOWER, blocks, gram_hashes, gram_ok, mix, word_hashes, words
 
 TRAIN_ROWS = 20_000
@@ -268,4 +268,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))).drop("clauses")
+    return toxicity(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("clauses")
