@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components, forests
-from lumenfold.llm.sparkkit import DECISION_ROWS, cut, map_arrow, read, small, without
+from lumenfold.llm.sparkkit import cut, map_arrow, read
 from lumenfold.llm.textkit import forest
 
 RADIUS = 3
@@ -206,25 +206,5 @@ def simhash_dedup(documents: DataFrame, shingle: int = 3, crowd: int = CROWD) ->
     return by_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
-    """One document of each class, the one of least doc_id (nulls last), with its own columns."""
-    by_doc = cut(fingerprints(documents, shingle))
-    # what a hot fingerprint or class is joined with is written first, so that the adaptive join can split it
-    classes = cut(_classes(by_doc, crowd))
-    rows = by_doc.groupBy("fp", "doc_id", "th").agg(F.count("*").alias("copies")).join(classes, "fp")
-    rows = cut(rows.select("root", "doc_id", "th", "copies"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    keeper = cut(rows.groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("i"), F.col("k.th").alias("t")))
-    marked = cut(rows.join(keeper, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))))
-    once = without(documents, marked.filter("not kept or copies > 1"))
-    # rows that are repeated as they are: all copies went, one comes back
-    repeated = marked.filter("kept and copies > 1").select(F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
-    if repeated.isEmpty():
-        return once
-    same = documents["doc_id"].cast("long").eqNullSafe(repeated["rep_id"]) & (F.xxhash64(documents["text"]) == repeated["rep_th"])
-    back = documents.join(small(repeated, repeated.count(), DECISION_ROWS), same, "left_semi")
-    return once.unionByName(back.dropDuplicates(["doc_id", "text"]))
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
