@@ -164,6 +164,20 @@ def join_prioritized_fallback(spark, sf):
     return joins.fallback_match(wanted, works).select("id", "found")
 
 
+@query(
+    """with works as (select p_partkey as id, p_brand || '/' || p_size as doi, p_name || ' of ' || p_type as title from part),
+            wanted as (select l_orderkey * 10 + l_linenumber as id, case when l_linenumber % 2 = 0 then 'BRAND#' || (l_partkey % 25) || '/' || (l_partkey % 50) end as doi, 'Red Widget of ' || case when l_partkey % 2 = 0 then 'economy' else 'PROMO' end as title from lineitem)
+       select w.id, coalesce((select min(id) from works x where lower(x.doi) = lower(w.doi)), (select min(id) from works x where lower(x.title) = lower(w.title) and length(w.title) >= 12)) as found from wanted w"""
+)
+def join_prioritized_fallback_whole(spark, sf):
+    part, line = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    works = part.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("doi"), F.concat("p_name", F.lit(" of "), "p_type").alias("title"))
+    doi = F.concat(F.lit("BRAND#"), (F.col("l_partkey") % 25).cast("string"), F.lit("/"), (F.col("l_partkey") % 50).cast("string"))
+    title = F.concat(F.lit("Red Widget of "), F.when(F.col("l_partkey") % 2 == 0, "economy").otherwise("PROMO"))
+    wanted = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, doi).alias("doi"), title.alias("title"))
+    return joins.fallback_match(wanted, works).select("id", "found")
+
+
 @query("select l_orderkey, l_linenumber, p_name as found from lineitem left join part on l_partkey = p_partkey")
 def lookup_exact(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

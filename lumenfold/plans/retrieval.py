@@ -167,6 +167,15 @@ def citation_expand(spark, sf):
     return table(spark, sf, "lineitem").filter("l_linenumber = 3").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("numbers"))
 
 
+@query("select l_orderkey, l_linenumber, [l_suppkey, l_suppkey + 2, l_suppkey + 3, l_suppkey + 4]::varchar as numbers from lineitem")
+def citation_expand_whole(spark, sf):
+    """Grouped citations made of the line items' keys, expanded to their numbers."""
+    n = F.col("l_suppkey")
+    text = F.concat(F.lit("shown before ["), n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit("] and elsewhere"))
+    found = tx.citation_numbers(text)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("numbers"))
+
+
 @query()
 def corpus_fingerprint(spark, sf):
     return search.corpus_id(table(spark, sf, "documents", spread=True), "doc_id")

@@ -37,6 +37,12 @@ def pivot_product(spark, sf):
     return pv.cells(df, pv.Pivot(["mode"], [], [("x", "product")])).select("mode", F.round("product_x", 6).alias("product_x"))
 
 
+@query("select l_shipmode as mode, round(product(x), 6) as product_x from (select l_returnflag || l_linestatus as l_shipmode, 1 + l_tax / 100000 as x from lineitem) group by 1")
+def pivot_product_whole(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("mode"), (1 + F.col("l_tax") / 100000).alias("x"))
+    return pv.cells(df, pv.Pivot(["mode"], [], [("x", "product")])).select("mode", F.round("product_x", 6).alias("product_x"))
+
+
 @query(
     """select n_name, o_orderstatus, round(sum(o_totalprice), 2) as sum_o_totalprice, (2 - grouping(n_name) - grouping(o_orderstatus))::int as row_level
        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by rollup (n_name, o_orderstatus)"""
@@ -212,6 +218,16 @@ def sort_spreadsheet_order(spark, sf):
     return top.select("p_partkey", F.row_number().over(W.orderBy(*keys)).alias("place"))
 
 
+@query(
+    """select p_partkey, (row_number() over (order by case when p_size % 7 = 0 then 1 else 0 end, case when p_size % 7 = 0 then null else p_brand_n end, p_partkey))::bigint as place
+       from (select *, substr(p_brand, 7)::int as p_brand_n from part)"""
+)
+def sort_spreadsheet_order_whole(spark, sf):
+    df = table(spark, sf, "part").withColumn("label", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")))
+    keys = [*sh.sort_keys("label", "string"), F.col("p_partkey").asc()]
+    return sh.places(df.select("p_partkey", "label"), keys).select("p_partkey", "place")
+
+
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
 def topk_stable(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
