@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from lumenfold.llm.suffix_dedup import suffix_dedup
+import numpy as np
+
+from lumenfold.llm import suffix_dedup as module
+from lumenfold.llm.suffix_dedup import refine, suffix_dedup
 
 
 def brute(rows, length):
@@ -39,8 +42,8 @@ def test_against_brute_force(spark):
         near[k] = "Z"
     rows += [(20 + k, "".join(near[: 500 + 40 * k])) for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
-    for length, gram, grid in ((100, 32, 16), (64, 16, 8)):
-        assert rows_of(suffix_dedup(df, length, gram, grid)) == brute(rows, length)
+    for length, gram, grid, crowd in ((100, 32, 16, 2048), (64, 16, 8, 2048), (100, 32, 16, 2), (64, 16, 8, 3), (150, 4, 16, 2048)):
+        assert rows_of(suffix_dedup(df, length, gram, grid, crowd)) == brute(rows, length)
 
 
 def test_empty_and_clashing_columns(spark):
@@ -49,3 +52,32 @@ def test_empty_and_clashing_columns(spark):
     clash = spark.createDataFrame([(1, "x" * 900, 5, "t")], "doc_id long, text string, q long, spans string")
     r = suffix_dedup(clash).first()
     assert (r.n_removed, r.n_spans) == (900, 1)
+
+
+def test_production_length_in_texts_over_a_step(spark, monkeypatch):
+    """Length 400 over texts of more than 1 MiB, whose repeats cross the border of the steps they are hashed in."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    long = noise(1_150_000)
+    at = module.STEP_BYTES
+    rows = [(1, long), (2, noise(700) + long[at - 600 : at + 500] + noise(90)), (3, long[at - 399 : at + 1]), (4, noise(50) + long[at - 200 : at + 199]), (5, long[100:499] + "é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = rows_of(suffix_dedup(df))
+    assert found == brute(rows, 400)
+    assert [r[2] for r in found] == [1100, 1100, 400, 0, 0]
+    # and as one document among many members of a bucket
+    copies = [(10 + k, long[at : at + 1000][: 900 - k] + noise(30) + long[at + 2000 : at + 2500 + k]) for k in range(12)]
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    assert rows_of(suffix_dedup(df)) == rows_of(suffix_dedup(df, crowd=3)) == brute(copies, 400)
+
+
+def test_refine_ranks_positions():
+    rnd = random.Random(9)
+    parts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90))).encode() for _ in range(30)] + [b"ab" * 40]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    for length, q in ((16, 16), (24, 4), (31, 8), (40, 16)):
+        seen = {}
+        for d, part in enumerate(parts):
+            for s in range(len(part) - length + 1):
+                seen.setdefault(part[s : s + length], []).append(int(offsets[d]) + s)
+        assert refine(data, offsets, length, q).tolist() == sorted(x for xs in seen.values() if len(xs) > 1 for x in xs)
