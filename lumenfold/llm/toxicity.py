@@ -1,60 +1,73 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The words of a clause become symbols: insult, threat, target (the person spoken to or of), negation, report, or any
-other word. Small transducers rewrite them, are composed, and run over the clause:
+The words of a clause (a run of words without a break, cut every ``CLAUSE_WORDS`` words) become symbols: insult,
+threat, target (the person spoken to or of), negation, report, or any other word. Small transducers rewrite them,
+are composed, and run over the clause:
 
 * negation: an insult or threat within three words of a negation becomes a denied one;
 * report: after a reporting verb or an opening quotation mark they become reported ones;
 * target: with a target before it in the clause (or after it: the mirrored machine) an insult is aimed; a threat
-  counts only when aimed.
-
-A matched clause scores the sum of its matches, each the weight of its insult times the factor of what the
-transducers made of it; isolated words outside a clause's matches add nothing. The document's score is the
-logistic of the training prior's log odds plus the clauses' scores.
-
-Insult arcs and their weights are learned: over a bounded sample of labelled rows (``TRAIN_ROWS``, documented),
-near copies thinned by their least five-word shingle hash, each word, and each beginning of a word of 4 to
-6 bytes, is weighed by its smoothed log odds. Those of at least ``STRONG_WEIGHT`` that are in
-enough toxic texts become arcs, and of those of at least ``MIN_WEIGHT`` the ones in texts that no other arc is in. A few plain English insults are arcs from the start until the labels say otherwise. Scoring
-covers every row and whole texts.
+  counts only when aimed;
+* join: an insult with another one before or after it in the clause is joined.
+
+A last machine reads the document's matches from clause to clause: an insult that nothing in its clause composes with
+is *repeated* if another clause of the document insults too, and *lone* if none does. A match scores the
+weight of its word plus the offset of its pattern. Clauses without a match count against the document, at the rate by
+which matches are commoner in toxic text. The score is the logistic of the prior's log odds plus all
+that, but a document whose one match is a lone insult never gets more than ``LONE``: an isolated word decides nothing.
+
+All weights are learned from a bounded sample of labelled rows (``TRAIN_ROWS``, documented), near copies
+thinned. Insult arcs are words and beginnings of words of ``HEADS`` bytes that are, or are at least twice, in toxic texts significantly
+more often (``SIGNIFICANT``, a likelihood ratio that no arc of some 10^6 tried is expected to reach by chance) and have a rate
+at least e^``MIN_WEIGHT`` times that in clean ones; an arc weighs the log of that ratio. The pattern offsets are log ratios of how often
+each pattern is matched in toxic and clean texts, drawn to the starting values of ``OFFSETS`` while counts are
+few. Some plain insults are arcs from the start, until the labels say otherwise. Scoring covers every row and whole texts.
 
 Defined cases: null, empty and wordless texts get the prior's score; rows without a label, or whose id is
-null, aren't learned from; repeated rows get equal scores; with no labels only the starting arcs count; other
-columns are ignored.
+null, aren't learned from; an id with both labels is toxic; repeated rows get equal scores; with no labels only the
+starting arcs count; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.sparkkit import cut, map_arrow, read, without
 from lumenfold.llm.textkit import _BYTE, _PLACE, ALNUM, LOWER, blocks, gram_hashes, gram_ok, mix, word_hashes, words
 
 TRAIN_ROWS = 20_000
-MAX_ARCS = 20_000
-MIN_WEIGHT = 3.5
-STRONG_WEIGHT = 4.5
+SIGNIFICANT = 30.0
+MIN_WEIGHT = 3.0
+MAX_WEIGHT = 6.0
 MIN_SUPPORT = 5
-SUPPORT_SHARE = 0.03
-HEADS = (4, 5, 6)
+HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.7
-CLAUSE_WORDS = 12
+LONE = 0.5
+CLAUSE_WORDS = 24
+#: Matches of a pattern at which what is counted weighs as much as the starting offset.
+DRAWN = 20
+#: Share of the expected matches that a document may lack without its being held against it: documents differ in rate.
+SLACK = 0.5
 
 # The grammar's closed word classes.
-INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clown imbecile bastard vermin".split()
-THREATS = "kill hurt destroy beat burn shoot stab töten schlagen tuer frapper matar golpear".split()
-TARGETS = "you your yourself u he she they them him her dich dein deine euch tu te toi vous usted ustedes ellos".split()
-NEGATIONS = "not no never nor isn aren wasn don doesn didn nicht kein keine niemals pas jamais aucun nunca tampoco".split()
-REPORTS = "said says say wrote writes called calls quoted told sagte schrieb nannte dit écrit appelle dijo escribió llamó".split()
-BREAKS = frozenset(b".,;:!?\n()")
+INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clown imbecile bastard vermin dumm trottel abschaum arschloch wertlos ekelhaft stupide imbécile connard ordure minable idiota estúpido imbécil basura asqueroso".split()
+THREATS = "kill hurt destroy beat burn shoot stab töten umbringen schlagen erschießen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split()
+TARGETS = "you your yours yourself u he she they him her them his their du dich dir dein deine ihr euch euer er ihn tu te toi ton ta vous votre il elle eux tú ti usted ustedes vosotros él ella ellos".split()
+NEGATIONS = "not no never nor none isn aren wasn don doesn didn nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca tampoco jamás".split()
+REPORTS = "said says say wrote writes called calls quoted claimed told sagte sagt schrieb schreibt nannte nennt behauptet dit disait écrit appelle dijo dice escribió llamó llama".split()
+OFFSETS = {"aimed insult": 0.5, "joined insult": 0.5, "repeated insult": 0.0, "lone insult": -2.0, "denied insult": -3.0, "reported insult": -1.5, "aimed threat": 0.0, "reported threat": -1.5}
+THREAT_WEIGHT = 3.0
+
 QUOTES = (b'"', "“".encode(), "«".encode())
-FACTOR = {"insult": 1.0, "aimed insult": 1.3, "denied insult": 0.25, "reported insult": 0.5, "aimed threat": 1.0, "denied threat": 0.0, "reported threat": 0.3, "threat": 0.0}
+_BREAK = np.isin(np.arange(256), list(b".,;:!?\n()"))
 
 
 class Transducer:
@@ -103,19 +116,21 @@ def _negation(reach: int = 3) -> Transducer:
 
 _REPORT = Transducer({("0", "R"): ("1", "*"), ("1", "insult"): ("1", "reported insult"), ("1", "threat"): ("1", "reported threat")})
 _TARGET = Transducer({("0", "T"): ("1", "*"), ("1", "insult"): ("1", "aimed insult"), ("1", "threat"): ("1", "aimed threat")})
+_JOIN = Transducer({("0", s): ("1", "*") for s in ("insult", "aimed insult", "joined insult")} | {("1", "insult"): ("1", "joined insult")})
 _ALPHABET = ["insult", "threat", "T", "N", "R", "O"]
 _FORWARD = compose(compose(_negation(), _REPORT, _ALPHABET), _TARGET, _ALPHABET)
 
 
 def matches(symbols: list[str]) -> list[str]:
-    """What the composed grammar makes of a clause; the mirrored target machine sees targets further on."""
-    forward = _FORWARD.run(symbols)
-    return _TARGET.run(forward[::-1])[::-1]
+    """What the composed grammar makes of a clause; the mirrored machines see targets and insults further on."""
+    aimed = _TARGET.run(_FORWARD.run(symbols)[::-1])[::-1]
+    return _JOIN.run(_JOIN.run(aimed)[::-1])[::-1]
 
 
-def clause_score(symbols: list[str], weights: list[float]) -> float:
-    """The score of a clause: its matches' weights times the factors of what they became."""
-    return sum(w * FACTOR[m] for m, w in zip(matches(symbols), weights, strict=True) if m in FACTOR)
+def discourse(kinds: list[str]) -> list[str]:
+    """The matches of a document, in order: insults left alone by their clauses are repeated or lone."""
+    found = sum(k in ("insult", "aimed insult", "joined insult") for k in kinds)
+    return [("repeated insult" if found > 1 else "lone insult") if k == "insult" else k for k in kinds]
 
 
 def _hash_of(word: str) -> int:
@@ -133,138 +148,212 @@ def _heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tup
         yield long, mix(h)
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+@dataclass
+class Model:
+    """What is learned: the prior's log odds, insult arcs (hashes in order, weights), pattern offsets, and what a word without a match counts."""
+
+    prior: float = -2.0
+    arcs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    offsets: dict[str, float] = field(default_factory=lambda: dict(OFFSETS))
+    rate: float = 0.0
+
+    @classmethod
+    def of(cls, prior: float, arcs: dict[int, float], **more) -> Model:
+        hashes = np.array(sorted(arcs), np.uint64)
+        return cls(prior, hashes, np.array([arcs[h] for h in hashes.tolist()]), **more)
+
+    def weigh(self, kinds: list[str], weights: list[float], n_words: int) -> float:
+        """The log odds of a document with these matches, after discourse()."""
+        gained = sum(max(0.0, w + self.offsets[k]) for k, w in zip(kinds, weights, strict=True) if k in self.offsets)
+        total = self.prior + gained - self.rate * n_words
+        return min(total, math.log(LONE / (1 - LONE))) if "lone insult" in kinds and len(kinds) == 1 else total
+
+
+_CLOSED = {_hash_of(w): s for s, group in (("threat", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in group}
+_THREATS = np.array(sorted(h for h, s in _CLOSED.items() if s == "threat"), np.uint64)
+
+
+def _found(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, str, float]]]]:
+    """(row, words, matches as (first word and end of the clause, kind, weight)) of each text."""
+    for begin, stop, data, offsets in blocks(texts):
+        data = LOWER[data]
+        start, end, first = words(data, offsets, ALNUM)
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(stop - begin)]
+        if len(start):
+            h = word_hashes(data, start, end, ALNUM)
+            gain = np.zeros(len(h))
+            for at, x in ((slice(None), h), *_heads(data, start, end)):
+                if len(model.arcs):
+                    k = np.minimum(np.searchsorted(model.arcs, x), len(model.arcs) - 1)
+                    gain[at] = np.maximum(gain[at], np.where(model.arcs[k] == x, model.weights[k], 0))
+            hot = np.flatnonzero((gain > 0) | np.isin(h, _THREATS))
+            if len(hot):
+                breaks = np.r_[0, np.cumsum(_BREAK[data])]
+                opens = np.r_[True, breaks[start[1:]] > breaks[end[:-1]]]
+                opens[first[:-1][first[:-1] < len(start)]] = True
+                opens = np.r_[np.flatnonzero(opens), len(start)]
+                run = np.searchsorted(opens, hot, side="right") - 1
+                lo = opens[run] + (hot - opens[run]) // CLAUSE_WORDS * CLAUSE_WORDS
+                hi = np.minimum(lo + CLAUSE_WORDS, opens[run + 1])
+                new = np.flatnonzero(np.r_[True, lo[1:] != lo[:-1]])
+                doc = np.searchsorted(first, lo[new], side="right") - 1
+                raw = data.tobytes()
+                for a, b, d in zip(lo[new].tolist(), hi[new].tolist(), doc.tolist(), strict=True):
+                    symbols = ["insult" if gain[j] > 0 else _CLOSED.get(int(h[j]), "O") for j in range(a, b)]
+                    for j in range(a, b):
+                        before = raw[end[j - 1] if j > first[d] else offsets[d] : start[j]]
+                        if symbols[j - a] == "O" and any(q in before for q in QUOTES):
+                            symbols[j - a] = "R"
+                    for j, kind in enumerate(matches(symbols), a):
+                        if kind.endswith(("insult", "threat")):
+                            out[d].append((a - int(first[d]), b - int(first[d]), kind, float(gain[j]) if gain[j] > 0 else THREAT_WEIGHT))
+        for d, rows in enumerate(out):
+            kinds = discourse([m[2] for m in rows])
+            yield begin + d, int(first[d + 1] - first[d]), [(*m[:2], k, m[3]) for m, k in zip(rows, kinds, strict=True)]
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_weight: float = MIN_WEIGHT) -> tuple[float, np.ndarray, np.ndarray]:
-    """(log odds of the prior, hashes of the insult arcs in order, their weights)."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out("id")).distinct()
+def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(id, toxic, text) of the rows to learn from."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out("id"))
+    usable = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
     there = usable.count()
     if there > rows:
         usable = usable.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 31)) < int((1 << 31) * rows / there))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(usable), F.col("doc_id") == F.col("id")).select("toxic", "text")
-
-    def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        toxic = batch["toxic"].to_numpy()
-        for begin, _, data, offsets in blocks(batch["text"]):
-            data = LOWER[data]
-            start, end, first = words(data, offsets, ALNUM)
-            h = word_hashes(data, start, end, ALNUM)
-            shingle = np.where(gram_ok(first, len(h), 5), gram_hashes(h, 5), np.uint64(2**64 - 1)) if len(h) >= 5 else np.zeros(0, np.uint64)
-            heads = [(np.searchsorted(at, first), x) for at, x in _heads(data, start, end)]
-            kind, rows = [], []
-            for d in range(len(first) - 1):
-                own = slice(first[d], first[d + 1])
-                kind.append(int(shingle[own].min(initial=2**64 - 1)) & (2**63 - 1) if first[d + 1] - first[d] >= 5 else d)
-                rows.append(np.unique(np.concatenate([h[own], *(x[f[d] : f[d + 1]] for f, x in heads)])).view(np.int64))
-            yield pa.record_batch(
-                [pa.array(toxic[begin : begin + len(rows)]), pa.array(kind, pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
-                ["toxic", "kind", "features"],
-            )
-
-    each = cut(map_arrow(texts, features, "toxic int, kind long, features array<long>").dropDuplicates(["toxic", "kind"]))
-    total = each.agg(F.sum("toxic"), F.count("*")).first()
-    pos, neg = total[0] or 0, total[1] - (total[0] or 0)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(usable), F.col("doc_id") == F.col("id")).select("id", "toxic", "text")
+
+
+def features(texts: pa.Array) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(row, words, kind, features, how often each occurs) of each text; near copies have one kind.
+
+    kind stands for the three least five-word shingle hashes, or for all words of a text with fewer shingles.
+    """
+    for begin, _, data, offsets in blocks(texts):
+        data = LOWER[data]
+        start, end, first = words(data, offsets, ALNUM)
+        h = word_hashes(data, start, end, ALNUM)
+        shingle = np.where(gram_ok(first, len(h), 5), gram_hashes(h, 5), np.uint64(2**64 - 1)) if len(h) >= 5 else np.zeros(0, np.uint64)
+        heads = [(np.searchsorted(at, first), x) for at, x in _heads(data, start, end)]
+        for d in range(len(first) - 1):
+            own = slice(first[d], first[d + 1])
+            least = np.unique(shingle[own])[:3] if own.stop - own.start >= 7 else h[own]
+            kind = int(gram_hashes(least, len(least))[0]) if len(least) else 0
+            f, c = np.unique(np.concatenate([h[own], *(x[at[d] : at[d + 1]] for at, x in heads)]), return_counts=True)
+            yield begin + d, own.stop - own.start, kind, f, c
+
+
+def _ratio(p: Column, n: Column, pos: int, neg: int) -> Column:
+    """The likelihood ratio statistic of p toxic and n clean texts among all with a feature."""
+    share = (pos + 0.5) / (pos + neg + 1.0)
+    of = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    return 2 * (of(p, (p + n) * share) + of(n, (p + n) * (1 - share)))
+
+
+def chosen(c: dict[str, Column], pos: int, neg: int, w_pos: int, w_neg: int) -> tuple[Column, Column]:
+    """(weight, fits) of a feature that is in p toxic and n clean of pos and neg texts (at least twice in p2 and n2), tp and tn times among w_pos and w_neg words."""
+    weight = F.log((c["tp"] + 0.5) / (w_pos + 1.0)) - F.log((c["tn"] + 0.5) / (w_neg + 1.0))
+    significant = (c["p"] >= MIN_SUPPORT) & (_ratio(c["p"], c["n"], pos, neg) >= SIGNIFICANT)
+    repeated = (c["p2"] >= MIN_SUPPORT) & (_ratio(c["p2"], c["n2"], pos, neg) >= SIGNIFICANT)
+    return F.least(weight, F.lit(MAX_WEIGHT)), (weight >= MIN_WEIGHT) & (significant | repeated)
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    texts = _sample(documents, labels, rows)
+
+    def featured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cols = list(zip(*features(batch["text"]), strict=True))
+        arrays = [pa.array(cols[1], pa.int64()), pa.array(np.array(cols[2], np.uint64).view(np.int64))]
+        lists = [pa.array([x.view(np.int64) for x in cols[3]], pa.list_(pa.int64())), pa.array([x.astype(np.int32) for x in cols[4]], pa.list_(pa.int32()))]
+        yield pa.record_batch([batch["id"], batch["toxic"], *arrays, *lists], ["id", "toxic", "words", "kind", "f", "c"])
+
+    each = map_arrow(texts, featured, "id long, toxic int, words long, kind long, f array<long>, c array<int>")
+    # of near copies the one of least id stays
+    each = each.groupBy("toxic", "kind").agg(F.min_by(F.struct("id", "words", "f", "c"), "id").alias("r")).select("toxic", "r.*")
+    each = cut(each)
+    is_toxic = F.col("toxic") == 1
+    total = each.agg(*(F.coalesce(F.sum(F.when(is_toxic if t else ~is_toxic, x)), F.lit(0)) for t in (True, False) for x in (F.lit(1), F.col("words")))).first()
+    pos, w_pos, neg, w_neg = total
     prior = min(0.0, math.log((pos + 1) / (neg + 1))) if pos + neg else -2.0
-    counts = each.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-    weight = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
-    starting = {_hash_of(w): 4.0 for w in INSULTS}
-    signed = [s - 2**64 if s >= 2**63 else s for s in starting]
+
+    pair = F.explode(F.arrays_zip("f", "c")).alias("x")
+    counts = each.select("toxic", pair).select("toxic", "x.f", "x.c").groupBy("f")
+    toxic, clean, twice = F.col("toxic"), 1 - F.col("toxic"), (F.col("c") > 1).cast("int")
+    sums = {"p": toxic, "n": clean, "p2": toxic * twice, "n2": clean * twice, "tp": toxic * F.col("c"), "tn": clean * F.col("c")}
+    counts = counts.agg(*(F.sum(x).cast("double").alias(k) for k, x in sums.items()))
+    weight, fits = chosen({k: F.col(k) for k in sums}, pos, neg, w_pos, w_neg)
+    arcs = {_hash_of(w): 4.0 for w in INSULTS}
+    signed = [s - 2**64 if s >= 2**63 else s for s in arcs]
     seen = F.col("f").isin(signed) & (F.col("p") + F.col("n") >= MIN_SUPPORT)
-    fits = (F.col("p") >= MIN_SUPPORT) & (weight >= min_weight)
-    # at most MAX_ARCS, and the starting arcs that the labels speak of
-    wanted = counts.filter(seen | fits).select("f", weight.alias("w"), "p", seen.alias("seen"), fits.alias("fits"))
-    found = wanted.orderBy(F.desc("seen"), F.desc("p"), F.desc("w"), "f").limit(MAX_ARCS).collect()
-    known = [r for r in found if r["seen"]]
-    candidates = {r["f"]: (r["w"], r["p"]) for r in found if r["fits"]}
-    # which texts the candidates are in: at most the sample's toxic texts by the candidates
-    arcs = documents.sparkSession.createDataFrame([(f,) for f in candidates], "f long")
-    pairs = each.filter("toxic = 1").select("kind", F.explode("features").alias("f")).join(F.broadcast(arcs), "f").collect()
-    texts_of: dict[int, set[int]] = {}
-    for r in pairs:
-        texts_of.setdefault(r["f"], set()).add(r["kind"])
-    chosen = _cover(texts_of, {f for f, (w, _) in candidates.items() if w >= STRONG_WEIGHT}, max(MIN_SUPPORT, SUPPORT_SHARE * pos))
-    for r in known:
-        starting.pop(r["f"] % 2**64, None)
-    starting |= {f % 2**64: candidates[f][0] for f in chosen}
-    hashes = np.array(sorted(starting), np.uint64)
-    return prior, hashes, np.array([starting[h] for h in hashes.tolist()])
-
-
-def _cover(texts_of: dict[int, set[int]], strong: set[int], support: float) -> list[int]:
-    """Strong candidates in at least ``support`` texts, then, greedily, those in MIN_SUPPORT texts that have none chosen yet."""
-    chosen = [f for f, texts in texts_of.items() if f in strong and len(texts) >= support]
-    covered = set().union(*(texts_of[f] for f in chosen)) if chosen else set()
-    left = {f: texts - covered for f, texts in texts_of.items()}
-    while left:
-        best = max(left, key=lambda f: (len(left[f]), f))
-        gained = left.pop(best)
-        if len(gained) < MIN_SUPPORT:
-            break
-        chosen.append(best)
-        left = {f: rest for f, texts in left.items() if len(rest := texts - gained) >= MIN_SUPPORT}
-    return chosen
-
-
-def score(documents: DataFrame, prior: float, arcs: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """doc_id, th (xxhash64 of the text), score and clauses (word ranges and scores of the matches) of each whole text."""
-    closed = {_hash_of(w): s for s, group in (("threat", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in group}
-    threat = {h for h, s in closed.items() if s == "threat"}
-    shared = documents.sparkSession.sparkContext.broadcast((prior, arcs, weights, closed, np.array(sorted(threat), np.uint64)))
+    # each arc takes MIN_SUPPORT of the sample's toxic texts, so their number is bounded with the sample
+    for r in counts.select("f", weight.alias("w"), fits.alias("fits"), seen.alias("seen")).filter("seen or fits").collect():
+        if r["fits"]:
+            arcs[r["f"] % 2**64] = r["w"]
+        else:
+            arcs.pop(r["f"] % 2**64, None)
+    model = Model.of(prior, arcs)
+    if not pos + neg:
+        return model
+
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def patterns(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        for row, _, found in _found(shared.value, batch["text"]):
+            count.update((k, batch["toxic"][row].as_py()) for *_, k, _ in found)
+        yield pa.record_batch([pa.array([k for k, _ in count], pa.string()), pa.array([t for _, t in count], pa.int32()), pa.array(list(count.values()), pa.int64())], ["kind", "toxic", "n"])
+
+    thinned = texts.join(F.broadcast(each.select("id")), "id", "left_semi").select("toxic", "text")
+    seen_in: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for r in map_arrow(thinned, patterns, "kind string, toxic int, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect():
+        seen_in[r["kind"]][r["toxic"]] = r["n"]
+    model.offsets, model.rate = offsets_of(seen_in, w_pos, w_neg)
+    return model
+
+
+def offsets_of(seen_in: dict[str, list[int]], w_pos: int, w_neg: int) -> tuple[dict[str, float], float]:
+    """The pattern offsets and the rate from the matches of each pattern in clean and toxic texts."""
+    scored = {k: v for k, v in seen_in.items() if k in OFFSETS}
+    clean, toxic = (sum(v[t] for v in scored.values()) for t in (0, 1))
+    usual = math.log((toxic + 1) / (clean + 1))
+    out = {}
+    for k, start in OFFSETS.items():
+        c, t = scored.get(k, (0, 0))
+        drawn = (t + c) / (t + c + DRAWN)
+        out[k] = max(-MAX_WEIGHT, min(1.0, drawn * (math.log((t + 1) / (c + 1)) - usual) + (1 - drawn) * start))
+    return out, SLACK * max(0.0, toxic / (w_pos + 1) - clean / (w_neg + 1))
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), score and clauses (word range, pattern and weight of each match) of each whole text."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prior, arcs, weights, closed, threats = shared.value
-        total, clauses = np.full(batch.num_rows, prior), [[] for _ in range(batch.num_rows)]
-        for begin, _, data, offsets in blocks(batch["text"]):
-            data = LOWER[data]
-            start, end, first = words(data, offsets, ALNUM)
-            if not len(start):
-                continue
-            h = word_hashes(data, start, end, ALNUM)
-            gain = np.zeros(len(h))
-            for at, x in ((slice(None), h), *_heads(data, start, end)):
-                if len(arcs):
-                    k = np.minimum(np.searchsorted(arcs, x), len(arcs) - 1)
-                    gain[at] = np.maximum(gain[at], np.where(arcs[k] == x, weights[k], 0))
-            hot = np.flatnonzero((gain > 0) | np.isin(h, threats))
-            raw, done = data.tobytes() if len(hot) else b"", -1
-            doc = np.searchsorted(first, hot, side="right") - 1
-            for i, d in zip(hot.tolist(), doc.tolist(), strict=True):
-                if i < done:
-                    continue
-                lo, hi = i, i + 1
-                while lo > first[d] and i - lo < CLAUSE_WORDS and BREAKS.isdisjoint(raw[end[lo - 1] : start[lo]]):
-                    lo -= 1
-                while hi < first[d + 1] and hi - i < CLAUSE_WORDS and BREAKS.isdisjoint(raw[end[hi - 1] : start[hi]]):
-                    hi += 1
-                lo = max(lo, done)
-                symbols = ["insult" if gain[j] > 0 else closed.get(int(h[j]), "O") for j in range(lo, hi)]
-                for j in range(lo, hi):
-                    before = raw[end[j - 1] if j > first[d] else offsets[d] : start[j]]
-                    if symbols[j - lo] == "O" and any(q in before for q in QUOTES):
-                        symbols[j - lo] = "R"
-                got = clause_score(symbols, [float(gain[j]) if gain[j] > 0 else 3.0 for j in range(lo, hi)])
-                done = hi
-                if got > 0:
-                    total[begin + d] += got
-                    clauses[begin + d].append({"lo": int(lo - first[d]), "hi": int(hi - first[d]), "score": got})
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("score", pa.float64())]))
-        yield pa.record_batch([batch["doc_id"], batch["th"], pa.array(1 / (1 + np.exp(-total))), pa.array(clauses, kind)], ["doc_id", "th", "score", "clauses"])
+        known: Model = shared.value
+        total, clauses = np.full(batch.num_rows, known.prior), [[] for _ in range(batch.num_rows)]
+        for row, n, found in _found(known, batch["text"]):
+            total[row] = known.weigh([m[2] for m in found], [m[3] for m in found], n)
+            clauses[row] = [{"lo": a, "hi": b, "kind": k, "weight": w} for a, b, k, w in found]
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.string()), ("weight", pa.float64())]))
+        value = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+        yield pa.record_batch([batch["doc_id"], batch["th"], pa.array(value), pa.array(clauses, kind)], ["doc_id", "th", "score", "clauses"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    return map_arrow(docs, run, "doc_id long, th long, score double, clauses array<struct<lo:int,hi:int,score:double>>")
+    return map_arrow(docs, run, "doc_id long, th long, score double, clauses array<struct<lo:int,hi:int,kind:string,weight:double>>")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses."""
-    found = score(documents, *train(documents, labels, rows))
+    found = score(documents, train(documents, labels, rows))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "clauses")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that score below THRESHOLD, with their own columns."""
-    return without(documents, score(documents, *train(documents, labels, rows)).filter(F.col("score") >= THRESHOLD))
+    return without(documents, score(documents, train(documents, labels, rows)).filter(F.col("score") >= THRESHOLD))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,62 @@
-from lumenfold.llm.toxicity import clause_score, matches, toxicity
+import math
+import random
+import re
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lumenfold.llm import toxicity as tox
+from lumenfold.llm.toxicity import Model, _hash_of, discourse, matches, toxicity
 
 SF = "/root/testdata/sf0.1"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def plain(text, weights, model):
+    """The score of one text without automata, numpy or hashes: rules read off the docstring."""
+    low = lower(text or "")
+    spans = [m.span() for m in WORD.finditer(low)]
+    clauses, at = [], 0
+    for i, (a, _) in enumerate(spans):
+        gap = low[spans[i - 1][1] if i else 0 : a]
+        if i == 0 or any(c in gap for c in ".,;:!?\n()") or i - at == tox.CLAUSE_WORDS:
+            clauses.append([])
+            at = i
+        clauses[-1].append((low[slice(*spans[i])], gap))
+    found = []
+    for clause in clauses:
+        kind = []
+        for word, gap in clause:
+            if word in weights:
+                kind.append("insult")
+            else:
+                group = next((s for s, g in (("threat", tox.THREATS), ("T", tox.TARGETS), ("N", tox.NEGATIONS), ("R", tox.REPORTS)) if word in g), "O")
+                kind.append("R" if group == "O" and any(q in gap for q in '"“«') else group)
+        made = list(kind)
+        for j, k in enumerate(kind):
+            if k not in ("insult", "threat"):
+                continue
+            if "N" in kind[max(0, j - 3) : j]:
+                made[j] = f"denied {k}"
+            elif "R" in kind[:j]:
+                made[j] = f"reported {k}"
+            elif "T" in kind:
+                made[j] = f"aimed {k}"
+        insulting = [j for j, k in enumerate(made) if k in ("insult", "aimed insult")]
+        for j in insulting:
+            if made[j] == "insult" and len(insulting) > 1:
+                made[j] = "joined insult"
+        found += [(k, weights.get(w, tox.THREAT_WEIGHT)) for k, (w, _) in zip(made, clause) if k.endswith(("insult", "threat"))]
+    insults = sum(k in ("insult", "aimed insult", "joined insult") for k, _ in found)
+    found = [(("repeated insult" if insults > 1 else "lone insult") if k == "insult" else k, w) for k, w in found]
+    total = model.prior - model.rate * len(spans) + sum(max(0, w + model.offsets[k]) for k, w in found if k in model.offsets)
+    if [k for k, _ in found] == ["lone insult"]:
+        total = min(total, 0.0)
+    return 1 / (1 + math.exp(-total)), found
 
 
 def test_grammar():
@@ -10,17 +66,73 @@ def test_grammar():
     assert matches(["N", "O", "O", "O", "insult"])[4] == "insult"
     assert matches(["R", "T", "O", "insult"])[3] == "reported insult"
     assert matches(["threat", "T"])[0] == "aimed threat"
-    assert clause_score(["O", "threat"], [0.0, 3.0]) == 0
-    assert clause_score(["T", "insult"], [0.0, 4.0]) > clause_score(["insult"], [4.0]) > clause_score(["R", "insult"], [0.0, 4.0]) > clause_score(["N", "insult"], [0.0, 4.0]) > 0
+    assert matches(["insult", "O", "insult"]) == ["joined insult", "O", "joined insult"]
+    assert discourse(["insult"]) == ["lone insult"]
+    assert discourse(["insult", "denied insult", "insult"]) == ["repeated insult", "denied insult", "repeated insult"]
+
+
+def test_scores_against_plain_rules(spark):
+    rnd = random.Random(4)
+    weights = {"blorp": 4.0, "zarg": 2.5, "idiot": 4.0, "ñu": 3.0}
+    model = Model.of(-2.0, {_hash_of(w): x for w, x in weights.items()}, rate=0.01)
+    pool = [*weights, "you", "kill", "not", "said", "nicht", "él", "llamó", "Said", "ZARG", *["word", "été", "x9", "longer"] * 3]
+    marks = [" ", " ", " ", " ", ", ", ". ", ' "', " «", "\n", "; (", "—"]
+    texts = ["".join(rnd.choice(pool) + rnd.choice(marks) for _ in range(rnd.randint(0, 70))) for _ in range(400)] + [None, "", "!!", "blorp", "you blorp", "not blorp. zarg"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = set()
+    for r in tox.score(df, model).collect():
+        expected, found = plain(texts[r.doc_id], weights, model)
+        assert [(c.kind, c.weight) for c in r.clauses] == found
+        assert abs(r.score - expected) < 1e-9
+        seen |= {k for k, _ in found}
+    assert seen >= set(tox.OFFSETS)
+
+
+def test_isolated_words_decide_nothing(spark):
+    """One insult that no other symbol composes with stays below the threshold, however strong; composed ones pass."""
+    model = Model.of(-2.0, {_hash_of("trash"): 6.0, _hash_of("loser"): 6.0})
+    model.offsets["lone insult"] = 1.0
+    texts = ["Take out the trash, please.", "trash", "word " * 500 + "trash", "you trash", "trash. And loser", "trash loser"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in tox.score(df, model).collect()}
+    assert [got[k] >= tox.THRESHOLD for k in range(6)] == [False, False, False, True, True, True]
+
+
+def test_training_against_plain_counts(spark):
+    rnd = random.Random(8)
+    docs = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 40)) for _ in range(30)]
+        if toxic:
+            words[rnd.randint(0, 29)] = words[rnd.randint(0, 29)] = "grumpel"
+            words.insert(3, "grumpel")
+        docs.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, toxic int")
+    kept = {r.doc_id for r in labels.filter(~tox.held_out()).collect()}
+    model = tox.train(df, labels)
+    used = [(t.split(), x) for i, t, x in docs if i in kept]
+    pos, neg = (sum(x == v for _, x in used) for v in (1, 0))
+    tp, w1, w0 = sum(w.count("grumpel") for w, x in used if x), sum(len(w) for w, x in used if x), sum(len(w) for w, x in used if not x)
+    assert abs(model.prior - math.log((pos + 1) / (neg + 1))) < 1e-12
+    at = model.arcs.tolist().index(_hash_of("grumpel"))
+    assert abs(model.weights[at] - min(tox.MAX_WEIGHT, math.log((tp + 0.5) / (w1 + 1)) - math.log(0.5 / (w0 + 1)))) < 1e-9
+    for other in ("alpha1", "beta2"):
+        assert _hash_of(other) not in model.arcs.tolist()
+    assert abs(model.rate - tox.SLACK * tp / (w1 + 1)) < 1e-3
 
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity(docs, labels)
     assert got.count() == docs.count()
-    rows = [(r.predicted, r.toxic) for r in got.filter("held_out").join(labels, "doc_id").collect()]
-    wrong = sum(a != b for a, b in rows)
-    assert len(rows) > 1000 and wrong / len(rows) < 0.03  # the labels of sf0.1 are noisy
+    held = got.filter("held_out").select("doc_id", "predicted").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = held.collect()
+    assert len(rows) > 1000 and sum(r.predicted != r.toxic for r in rows) / len(rows) < 0.01
+    for lang in ("en", "de", "fr", "es"):
+        caught = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        assert sum(caught) / len(caught) > 0.8, lang
 
 
 def test_defined_cases(spark):
@@ -29,5 +141,14 @@ def test_defined_cases(spark):
     got = sorted(((r.doc_id, r.predicted) for r in toxicity(docs, none).collect()), key=repr)
     assert got == sorted([(1, 0), (2, 0), (3, 1), (3, 1), (4, 0), (None, 1), (5, 1)], key=repr)
     assert toxicity(docs.limit(0), none).count() == 0
-    odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (99, 0)], "doc_id long, toxic int")
+    odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0), (99, 0)], "doc_id long, toxic int")
     assert toxicity(docs, odd).count() == 7
+
+
+def test_kinds_thin_near_copies_only():
+    rnd = random.Random(2)
+    prose = lambda n: " ".join(f"w{rnd.randint(0, 999)}" for _ in range(n))
+    base, shared = prose(200), prose(60)
+    texts = [base, base + " end", prose(100) + " " + shared, shared + " " + prose(100), "a b", "a b", "a c", "", None]
+    kind = [k for _, _, k, _, _ in tox.features(pa.array(texts))]
+    assert kind[4] == kind[5] != kind[6] and kind[2] != kind[3] and kind[7] == kind[8]
