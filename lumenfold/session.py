@@ -16,8 +16,15 @@ def session(name: str = "lumenfold", **conf: str) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder; a temporary folder stands in where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cp-"))
+    """``df`` written to the reliable checkpoint folder, with its lineage cut.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where it names none, a temporary folder stands in
+    on one machine (``local[...]``) only: elsewhere other executors couldn't read it.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cp-"))
     return df.checkpoint()
