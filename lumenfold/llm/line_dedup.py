@@ -53,22 +53,28 @@ def dedup_lines(documents: DataFrame, site: str = "source", sites: int = SITES,
     found = cut(boilerplate(documents, site, sites))
     found = small(found, found.count(), BROADCAST_ROWS)
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.xxhash64("text").alias("th"))
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("doc_id", "th", _key(F.col("line")).alias("k")).filter("k is not null").select("doc_id", "th", "k.h", "k.g")
+    # (beside the explode, the whole text's hash would be worked out for each line)
+    hashed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    lines = hashed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", "th", "at", _key(F.col("line")).alias("k")).filter("k is not null").select("doc_id", "th", "at", "k.h", "k.g")
     hit = lines.join(found, ["h", "g"])
     if keep_first:
         hit = hit.filter("keeper is not null and not (doc_id <=> keeper)")
-    per_doc = cut(hit.groupBy("doc_id", "th").agg(F.collect_set("h").alias("gone")))
+    per_doc = cut(hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("gone")))
     marks = per_doc.agg(F.sum(F.size("gone").cast("long"))).first()[0] or 0
     per_doc = small(per_doc, marks, BROADCAST_ROWS).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "gone")
     joined = rows.join(per_doc, rows.row["doc_id"].cast("long").eqNullSafe(per_doc.i) & (rows.th == per_doc.t), "left")
-    parts = F.split(F.col("row.text"), "\n")
-    stays = F.filter(parts, lambda x: F.coalesce(~F.array_contains("gone", _key(x)["h"]), F.lit(True)))
-    n = F.coalesce(F.size(F.when(F.col("row.text").isNotNull(), parts)), F.lit(0))
-    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
-    n_kept = F.when(F.col("gone").isNull(), n).otherwise(F.size(stays))
-    out = joined.select("row", F.greatest(n, F.lit(0)).alias("n_lines"), F.greatest(n - n_kept, F.lit(0)).alias("n_removed"), kept.alias("kept"))
-    return out
+    n = F.coalesce(F.regexp_count("row.text", F.lit("\n")) + 1, F.lit(0))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0))
+    out = joined.select("row", n.alias("n_lines"), F.greatest(n_removed, F.lit(0)).alias("n_removed"), "gone")
+    # the stretches of lines between those that go: each from behind the last one that went
+    first = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x + 1))
+    end = F.concat("gone", F.array(F.col("n_lines")))
+    zipped = F.arrays_zip(first.alias("a"), end.alias("b"))
+    # (the lines are bound to a variable: an expression within transform() would be worked out for each stretch)
+    left = F.transform(F.array(F.split("row.text", "\n")), lambda parts: F.array_join(F.flatten(F.transform(zipped, lambda x: F.slice(parts, x["a"] + 1, x["b"] - x["a"]))), "\n"))
+    kept = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(left[0])
+    return out.select("row", "n_lines", "n_removed", kept.alias("kept"))
 
 
 def clean_lines(documents: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:

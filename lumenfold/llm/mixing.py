@@ -5,7 +5,7 @@ the whole corpus; a target stops at ``CAP`` = 3 times its source's size and the
 weight. That is water filling: with sources in order of cap / weight, those up to some place are at their
 caps and the rest get one level times their weights, so running sums over the (short) table of sources give it.
 
-**Demand.** A source's documents lie end to end in the order of a hash of the id, over and over; training takes
+**Demand.** A source's documents lie end to end in the order of a hash of the id (of the text, if it has none), over and over; training takes
 the first ``target`` words. A document's offset there is the size of the hash bins before its own, plus
 those before it within the bin: two short running sums, so a source with a third of all rows is spread
 over thousands of bins.
@@ -76,7 +76,7 @@ def _offsets(docs: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, drift: float = DRIFT, bin_digits: int = BIN_DIGITS) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, passes (words taken and training position in [0, 1] of each pass over the source)."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     docs = documents.select("doc_id", "source", size_of().alias("size"), order.alias("order"))
     docs = cut(docs.withColumn("bin", F.substring("order", 1, bin_digits)))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -125,7 +125,7 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as ord
+         md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))) as ord
   from documents),
 s as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as turn from d group by source),

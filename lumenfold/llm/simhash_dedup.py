@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components, forests
-from lumenfold.llm.sparkkit import cut, map_arrow, read
+from lumenfold.llm.sparkkit import DECISION_ROWS, cut, map_arrow, read, small
 from lumenfold.llm.textkit import forest
 
 RADIUS = 3
@@ -142,10 +142,10 @@ def _bucket_links(rows: DataFrame, crowd: int) -> DataFrame:
     return dealt.select("side", "half", "fp", "flip").mapInArrow(run, "a long, b long")
 
 
-def _crowd_links(halves: DataFrame, crowded: DataFrame) -> DataFrame:
+def _crowd_links(looked: DataFrame, crowded: DataFrame) -> DataFrame:
     """Links of the lookups that meet a crowded value, by meeting points in the other half."""
     keys = ["side", "half"]
-    looked = _lookups(halves).join(crowded, keys)
+    looked = looked.join(crowded, keys)
     other = F.when(F.col("side") == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
     reach = [F.lit(x).cast("long") for x in _ONE]
     far = [F.lit(x).cast("long") for x in _TWO]
@@ -182,10 +182,13 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) with the same connected parts as all pairs of the distinct ``fp`` within RADIUS bits."""
     halves = _halves(fps)
     crowded = cut(halves.groupBy("side", "half").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("side", "half"))
-    edges = _bucket_links(_lookups(halves), crowd)
-    if not crowded.isEmpty():
-        edges = edges.unionAll(_crowd_links(halves, crowded))
-    return edges
+    looked = _lookups(halves)
+    n = crowded.count()
+    if not n:
+        return _bucket_links(looked, crowd)
+    # lookups of a crowded value meet in the middle only; they don't all go to the value's one task
+    rest = looked.join(small(crowded, n, DECISION_ROWS), ["side", "half"], "left_anti")
+    return _bucket_links(rest, crowd).unionAll(_crowd_links(looked, crowded))
 
 
 def _classes(by_doc: DataFrame, crowd: int) -> DataFrame:

@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.session import checkpoint as cut
+from lumenfold.sources.tables import table
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table, dealt out anew if its scan has fewer tasks than the cluster has cores.
+__all__ = ["cut", "map_arrow", "read", "small", "without"]
 
-    Texts are heavy work for each row, and a small file is one task; a large table's scan is left as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) does a temporary folder stand in.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cp-"))
-    return df.checkpoint()
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt out anew if its scan has fewer tasks than the cluster has cores: texts are heavy work for each row."""
+    return table(spark, sf_dir, name, spread=True)
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -7,7 +7,7 @@ their roots alone and a damaged record is located after a handful of rows. Leave
 a record that is missing, extra or of another length shows as such.
 
 All is DataFrame functions. Defined cases: a null payload or URL is an empty one; repeated rows are records of
-their own, one after the other; an empty table has no files and an audit of it no rows; a file that only one
+their own, one after the other; pages without an id are dealt to files of their own by a hash of their bytes; an empty table has no files and an audit of it no rows; a file that only one
 replica has is reported record by record; other columns are ignored.
 """
 
@@ -33,7 +33,9 @@ def record_bytes(url: Column, payload: Column) -> Column:
 def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """(file, seq, offset, length, digest, page_id): WARC files of consecutive pages, ``per_file`` ids in each."""
     raw = record_bytes(F.col("url"), F.col("html"))
-    made = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    # pages without an id are dealt to files -1 to -65536 by their bytes
+    stray = -1 - F.conv(F.substring(F.md5(raw.cast("binary")), 1, 4), 16, 10).cast("long")
+    made = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file).cast("long"), stray).alias("file"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
     order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return made.select("file", (F.row_number().over(order) - 1).alias("seq"), before.alias("offset"), "length", "digest", "page_id")
@@ -92,14 +94,15 @@ def op8_warc_fixity(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with r as (
-  select page_id, html, coalesce(floor(page_id / 1000), -1)::bigint as file,
+  select page_id, html,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10)
          || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as raw
   from pages),
+f as (select *, coalesce(floor(page_id / 1000)::bigint, -1 - ('0x' || md5(raw)[1:4])::bigint) as file from r),
 o as (
   select *, strlen(raw)::bigint as length,
          coalesce(sum(strlen(raw)) over (partition by file order by page_id nulls first, sha256(raw) rows between unbounded preceding and 1 preceding), 0)::bigint as off
-  from r)
+  from f)
 select file, off as "offset", length, 'corrupt' as status from o where page_id % 61 = 0 and strlen(html) > 0 and strlen(right(html, 1)) = 1
 """

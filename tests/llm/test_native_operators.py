@@ -88,3 +88,25 @@ def test_fixity_audit(spark):
     none = warc_audit.tree(warc_audit.records(pages.limit(0), 100))
     assert warc_audit.audit(none, none).count() == 0
     assert warc_audit.audit(whole, none).filter("status = 'missing'").count() == 702
+
+
+def test_rows_without_an_id_are_spread(spark):
+    pages = spark.createDataFrame([(None, f"http://x/{k}", "p" * k) for k in range(50)], "page_id long, url string, html string")
+    made = warc_audit.records(pages)
+    assert made.select("file").distinct().count() > 40 and made.filter("file >= 0").count() == 0
+    whole = warc_audit.tree(made)
+    assert warc_audit.audit(whole, warc_audit.tree(warc_audit.records(pages.filter("html <> 'ppp'")))).count() == 1
+    docs = spark.createDataFrame([(None, f"word {k}", "s") for k in range(50)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).withColumn("taken", mixing.taken()).collect()
+    assert sum(r.taken for r in got) == 100
+
+
+def test_long_payloads_and_many_lines(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "x" * 3_000_000 + str(k)) for k in range(3)], "page_id long, url string, html string")
+    a, b = (warc_audit.tree(warc_audit.records(p)) for p in (pages, pages.withColumn("html", F.when(F.col("page_id") == 1, F.concat("html", F.lit("!"))).otherwise(F.col("html")))))
+    assert {(r.begin > 0, r.status) for r in warc_audit.audit(a, b).collect()} == {(True, "missing"), (True, "extra")}
+    body = "\n".join(f"line number {k}" for k in range(20_000))
+    docs = spark.createDataFrame([(k, body if k else "first " + body, f"s{k}") for k in range(9)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n, r.text) for r in line_dedup.clean_lines(docs).selectExpr("doc_id", "char_length(text) as n", "left(text, 40) as text").collect()}
+    assert got[0][0] == len(body) + 6 and all(got[k][0] == 0 for k in range(2, 9))
+    assert got[1][1] == "line number 0"
