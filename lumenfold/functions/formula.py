@@ -6,6 +6,7 @@ builds the Column as it goes; there is no tree and nothing is evaluated in Pytho
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 MAX_CHARS, MAX_TOKENS, MAX_DEPTH, MAX_RESULT = 4096, 512, 32, 65_536
 
-_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<ref>\[[^\]]+\]|\{[^}]+\})|(?P<name>[^\W\d]\w*)|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||[-+*/%<>!(),]))""")
+_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d*)?|\.\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<ref>\[[^\]]+\]|\{[^}]+\})|(?P<name>[^\W\d]\w*)|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||[-+*/%<>!(),]))""")
+# How tightly the operators bind.
 _LEVEL = {"||": 1, "&&": 2, "==": 3, "===": 3, "!=": 3, "!==": 3, "<": 4, ">": 4, "<=": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6}
 
 
@@ -38,6 +40,16 @@ def _split(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _unquoted(token: str) -> str:
+    """A text token's value: double quotes have JSON's escapes, single quotes only those of themselves and the backslash."""
+    if token[0] == "'":
+        return re.sub(r"\\(['\\])", r"\1", token[1:-1])
+    try:
+        return json.loads(token)
+    except ValueError as e:
+        raise FormulaError(f"not a text: {token}") from e
+
+
 class _Reader:
     """Climbs precedence; the language says what operators, calls, names and literals mean."""
 
@@ -82,7 +94,7 @@ class _Reader:
         if kind == "num":
             return self.language.number(value)
         if kind == "str":
-            return self.language.text(re.sub(r"\\(.)", r"\1", value[1:-1]))
+            return self.language.text(_unquoted(value))
         if kind == "ref":
             return self.language.name(value[1:-1])
         if kind == "name":
@@ -95,7 +107,7 @@ class _Reader:
                         self.take(",")
                 self.take(")")
                 return self.language.call(value.lower(), args)
-            return self.language.name(value)
+            return self.language.bare(value)
         raise FormulaError(f"unexpected {value}")
 
 
@@ -122,11 +134,14 @@ class _Property(_Language):
     def text(self, value: str) -> Value:
         return Value(F.lit(value), "text")
 
-    def name(self, value: str) -> Value:
+    def bare(self, value: str) -> Value:
         if value in ("true", "false"):
             return Value(F.lit(value == "true"), "boolean")
         if value == "null":
             return Value(F.lit(None).cast("string"), "null")
+        raise FormulaError(f"a field is written [{value}]")
+
+    def name(self, value: str) -> Value:
         if value.lower() not in self.fields:
             return Value(F.lit(None).cast("string"), "null")
         return self.fields[value.lower()]
@@ -145,9 +160,17 @@ class _Property(_Language):
         return F.coalesce(v.column.cast("string"), F.lit(""))
 
     def _number(self, v: Value) -> Column:
-        if v.kind != "number":
-            raise FormulaError("a number is wanted here")
-        return v.column
+        """As a number: blank texts and nulls are 0, booleans 0 or 1, numeric texts what they say; other texts fail."""
+        if v.kind == "number":
+            return F.coalesce(v.column, F.lit(0.0))
+        if v.kind == "boolean":
+            return F.coalesce(v.column.cast("double"), F.lit(0.0))
+        if v.kind == "null":
+            return F.lit(0.0)
+        text = F.regexp_replace(v.column, r"^\s+|\s+$", "")
+        fits = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        wrong = F.raise_error(F.concat(F.lit("not a finite number: "), text)).cast("double")
+        return F.when(v.column.isNull() | (text == ""), 0.0).when(fits, text.try_cast("double")).otherwise(wrong)
 
     def unary(self, op: str, v: Value) -> Value:
         if op == "!":
@@ -211,6 +234,9 @@ class _Pivot(_Language):
     def text(self, value: str) -> Value:
         return self.name(value)
 
+    def bare(self, value: str) -> Value:
+        return self.name(value)
+
     def name(self, value: str) -> Value:
         if value not in self.fields:
             raise FormulaError(f"no field {value}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 # Entities that plain-text conversion decodes, in the order it decodes them.
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 SILENT_TAGS = "script style noscript svg nav footer".split()
-BLOCK_TAGS = "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article blockquote pre".split()
+BLOCK_TAGS = "p br div li h1 h2 h3 h4 h5 tr section article blockquote".split()
+MAX_CITATIONS, MAX_REFERENCE = 32, 1000
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,9 +28,33 @@ def fold_text(value: str) -> str:
     return value.translate(str.maketrans(_UPPER, _LOWER))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the letters they have without them."""
+    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
+def unaccented(c: Column) -> Column:
+    """Without the marks of Latin letters, be they part of a letter or behind it."""
+    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[\u0300-\u036F]+", "")
+
+
+def unaccented_text(value: str) -> str:
+    """unaccented() of a constant."""
+    return "".join(x for x in value.translate(str.maketrans(_MARKED, _PLAIN)) if not "\u0300" <= x <= "\u036f")
+
+
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-cased runs of letters and digits, without accents."""
+    return F.filter(F.split(unaccented(F.lower(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def phrase(c: Column, words: list[str]) -> Column:
+    """The words occur as tokens, one right behind the other."""
+    return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def squeeze(c: Column) -> Column:
@@ -46,15 +72,21 @@ def sentences(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text of a page: silent elements go, block tags break lines, entities are decoded (``&amp;lt;`` twice)."""
-    out = F.regexp_replace(c, "(?is)<!--.*?-->", "")
-    for tag in SILENT_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, "(?s)<[^>]*>", "")
-    out = reduce(lambda o, e: F.replace(o, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
-    out = F.regexp_replace(out, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r" *\n *", "\n"), r"\n{2,}", "\n"), F.lit(" \n"))
+    """Text of a page: silent elements go with what they hold, block tags break lines, other tags go, entities are decoded (``&amp;lt;`` twice).
+
+    A tag is known by the beginning of its name, and ends at the first ``>``; one that doesn't end takes the rest along.
+    """
+    silent = "|".join(rf"<{t}.*?</{t}" for t in SILENT_TAGS)
+    out = F.regexp_replace(c, rf"(?is)(?:{silent})[^>]*(?:>|$)|(<[^>]*>)", "$1")
+    out = F.regexp_replace(out, "<[^>]*$", "")
+    # of a block tag its < stays for the line break, of others nothing
+    out = F.replace(F.regexp_replace(out, rf"(?i)(<)/*(?:{'|'.join(BLOCK_TAGS)})[^>]*>|<[^>]*>", "$1"), F.lit("<"), F.lit("\n"))
+    return reduce(lambda o, e: F.replace(o, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
+
+
+def text_lines(c: Column) -> Column:
+    """The lines of a text with blanks drawn together, but for those without a letter or digit."""
+    return F.filter(F.transform(F.split(c, "\n"), squeeze), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
 def dehyphenate(c: Column) -> Column:
@@ -67,6 +99,32 @@ def is_heading(c: Column) -> Column:
     return (F.char_length(c) < 80) & (F.char_length(F.trim(c)) > 0) & ~F.trim(c).rlike(r"[.,;:]$")
 
 
+# What a year and a surname look like in citations.
+_YEAR = r"\(?((?:19|20)[0-9]{2}[a-z]?)\)?"
+_SURNAME = r"((?:(?:van|von|de|der|den|del|della|di|la|le|du|ten|ter) )*\p{Lu}[\p{L}'’-]+)"
+
+
+def entry_key(c: Column) -> Column:
+    """(first, year) of a reference entry that begins with its authors: the first surname, folded, and the year."""
+    first = F.lower(F.regexp_extract(c, rf"^\s*{_SURNAME}", 1))
+    year = F.regexp_extract(F.substring(c, 1, 300), rf"(?<![\p{{L}}\p{{N}}]){_YEAR}(?![\p{{L}}\p{{N}}])", 1)
+    return F.when((first != "") & (year != ""), F.struct(first.alias("first"), year.alias("year")))
+
+
+def author_year_citations(c: Column) -> Column:
+    """(first, year) of every citation such as ``(Smith & Lee, 2020a; Koch 1999)`` or ``Smith et al. (2020)``, in order within each kind."""
+    name = rf"{_SURNAME}(?:(?:,| and| &| et al\.?| und| y| et)[ ]?(?:\p{{Lu}}[\p{{L}}'’-]+)?)*"
+    inside = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"\(([^()]{4,260})\)"), F.lit(1)), lambda x: F.split(x, ";")))
+    pattern = rf"{name},? ?(?<![0-9])((?:19|20)[0-9]{{2}}[a-z]?)(?![0-9])"
+    found = F.transform(inside, lambda x: F.struct(F.lower(F.regexp_extract(x, pattern, 1)).alias("first"), F.regexp_extract(x, pattern, 2).alias("year")))
+    told = rf"({name} ?\((?:19|20)[0-9]{{2}}[a-z]?\))"
+    narrative = F.transform(
+        F.regexp_extract_all(c, F.lit(told), F.lit(1)),
+        lambda x: F.struct(F.lower(F.regexp_extract(x, rf"^{_SURNAME}", 1)).alias("first"), F.regexp_extract(x, r"\(([0-9]{4}[a-z]?)\)$", 1).alias("year")),
+    )
+    return F.filter(F.concat(found, narrative), lambda k: (k["first"] != "") & (k["year"] != ""))
+
+
 def excerpt(c: Column, limit: int) -> Column:
     """The beginning of a text, cut at a blank, with an ellipsis."""
     clean = squeeze(c)
@@ -76,22 +134,31 @@ def excerpt(c: Column, limit: int) -> Column:
 
 
 def doi(c: Column) -> Column:
-    """The first DOI, lower-cased, without trailing punctuation; null if none."""
-    found = F.lower(F.regexp_replace(F.regexp_extract(c, r"10\.\d{4,9}/\S+", 0), r"[.,;:)\]}>\"']+$", ""))
-    return F.when(found != "", found)
+    """The first DOI, lower-cased, without trailing punctuation; null if none. Blanks, quotes and angle brackets end it."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"""(10\.[0-9]{4,9}/[^ \t\n\f\r<>"']+)"""), F.lit(1))
+    trimmed = F.transform(found, lambda x: F.regexp_replace(x, r"[.,;:)\]}]+$", ""))
+    return F.try_element_at(F.filter(trimmed, lambda x: x.rlike("/.")), F.lit(1))
+
 
+def citation_groups(c: Column) -> Column:
+    """The bracketed parts of a text."""
+    return F.regexp_extract_all(c, F.lit(r"(\[[^\[\]]*\]|\([^()]*\))"), F.lit(1))
 
-def citation_numbers(c: Column, most: int = 200) -> Column:
-    """The numbers of a grouped citation such as ``[20, 22-24]``; null unless it has two that differ."""
-    inner = F.regexp_extract(c, r"\[\s*(\d+(?:\s*(?:[,;]|[-–])\s*\d+)+)\s*\]", 1)
 
-    def expand(part: Column) -> Column:
-        lo = F.regexp_extract(part, r"^\s*(\d+)", 1).try_cast("int")
-        hi = F.coalesce(F.regexp_extract(part, r"[-–]\s*(\d+)\s*$", 1).try_cast("int"), lo)
-        return F.when((hi >= lo) & (hi - lo < most), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array(lo))
+def citation_numbers(c: Column, most: int = MAX_CITATIONS) -> Column:
+    """The numbers of a grouped citation such as ``[20, 22-24]``; null unless all of it is numbers and ranges and two differ.
 
-    numbers = F.array_distinct(F.flatten(F.transform(F.split(inner, "[,;]"), expand)))
-    return F.when((inner != "") & (F.size(numbers) >= 2), numbers)
+    A range that runs backwards, a number of 0 or over ``MAX_REFERENCE``, or more than ``most`` numbers reject the whole.
+    """
+    clean = F.regexp_replace(c, r"^[\s.:,;†*]+|[\s.:,;†*]+$", "")
+    inner = F.when(clean.rlike(r"^(\[.*\]|\(.*\))$"), F.substring(clean, 2, F.char_length(clean) - 2)).when(~clean.rlike(r"^[\[(]|[\])]$"), clean)
+    parts = F.transform(F.split(inner, "[,;]", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    well_formed = F.forall(parts, lambda x: x.rlike(r"^[0-9]{1,9}( ?[-–—] ?[0-9]{1,9})?$"))
+    number = lambda x, at: F.regexp_extract(x, r"^([0-9]+)(?: ?[-–—] ?([0-9]+))?$", at).try_cast("int")
+    ranges = F.transform(parts, lambda x: F.struct(number(x, 1).alias("lo"), F.coalesce(number(x, 2), number(x, 1)).alias("hi")))
+    bounded = F.forall(ranges, lambda r: (r["lo"] >= 1) & (r["hi"] >= r["lo"]) & (r["hi"] <= MAX_REFERENCE) & (r["hi"] - r["lo"] < most))
+    numbers = F.when(bounded, F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"])))))
+    return F.when(well_formed & bounded & F.size(numbers).between(2, most), numbers)
 
 
 def page_links(c: Column) -> Column:
@@ -159,15 +226,27 @@ def fuzzy_match(c: Column, query: str) -> Column:
     return F.lower(c).rlike(".*".join(rf"\Q{ch}\E" for ch in query.lower()))
 
 
-def positions(c: Column, query: str, most: int = 20_000) -> Column:
-    """Where (from 1) a text holds ``query``, regardless of A-Z case, hits not overlapping; at most ``most``."""
+def positions(c: Column, query: str) -> Column:
+    """Where (from 1) a text holds ``query``, regardless of A-Z case, hits not overlapping."""
     parts = F.split(fold(c), rf"\Q{fold_text(query)}\E", -1)
-    step = len(query)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
-    hits = F.slice(parts, 1, F.greatest(F.least(F.size(parts) - 1, F.lit(most)), F.lit(0)))
-    return F.aggregate(
-        hits,
-        start,
-        lambda a, p: F.struct((a["at"] + F.char_length(p) + step).alias("at"), F.concat(a["found"], F.array(a["at"] + F.char_length(p))).alias("found")),
-        lambda a: a["found"],
+    return _starts(parts, len(query))
+
+
+def _starts(parts: Column, step: int) -> Column:
+    """1 and the lengths of the parts before, with ``step`` for each, of all parts but the last."""
+    lengths = F.transform(parts, lambda p: F.char_length(p))
+    block = 512
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(block)), lambda b: F.slice(lengths, b + 1, block))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n + step)
+    ends = F.aggregate(
+        blocks,
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<array<int>>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + total(b)).alias("at"), F.concat(acc["out"], F.array(_within(b, acc["at"], step))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
     )
+    return F.slice(ends, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def _within(lengths: Column, at: Column, step: int) -> Column:
+    start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("found"))
+    return F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n + step).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found")), lambda a: a["found"])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import is_heading, sentences
+from lumenfold.functions.text import is_heading, sentences, text_lines
+
+MIN_BYTES, TARGET_BYTES, MAX_BYTES, MIN_LETTERS = 320, 1400, 2400, 20
 
-MIN_BYTES, TARGET_BYTES, MAX_BYTES = 320, 1400, 2400
+#: Between two sentences: the blank stays with the first.
+_SENTENCE = re.compile(r"(?<=[.?!] )(?=[A-Z])")
 
 
 def sentence_context(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -20,44 +26,61 @@ def sentence_context(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     return s.select(key, F.explode(rows).alias("r")).select(key, "r.*")
 
 
-def packed(paragraphs: Column, target: int = TARGET_BYTES, most: int = MAX_BYTES) -> Column:
-    """Paragraphs (array of text) packed in order into passages of about ``target`` bytes, none over ``most`` unless one paragraph is.
+def _pack(paragraphs: list[str], least: int, target: int, most: int) -> list[str]:
+    """Paragraphs packed in order into passages.
 
-    A passage is closed when it has reached the target, or when the next paragraph would take it over the most.
+    A passage is closed before a paragraph when it has ``least`` bytes or the paragraph would take it over ``target``, unless it ends in
+    a heading, which stays with what follows. One over ``most`` is cut at sentence ends into pieces of about
+    ``target``; passages of fewer than MIN_LETTERS letters and digits go.
     """
-    size = lambda x: F.octet_length(x)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n"), p))
-        close = (acc["open"] != "") & ((size(acc["open"]) >= target) | (size(joined) > most))
-        done = F.when(close, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(close, p).otherwise(joined).alias("open"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-
-    return F.aggregate(paragraphs, empty, step, finish)
-
-
-def passages(docs: DataFrame, key: str, text: str = "text", least: int = MIN_BYTES) -> DataFrame:
-    """(key, seq, passage): paragraphs packed into passages; a last one of under ``least`` bytes joins the one before."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
-    made = docs.select(key, packed(paragraphs).alias("p"))
-    last, before = F.try_element_at("p", F.lit(-1)), F.try_element_at("p", F.lit(-2))
-    short = (F.size("p") > 1) & (F.octet_length(last) < least)
-    merged = F.concat(F.slice("p", 1, F.greatest(F.size("p") - 2, F.lit(0))), F.array(F.concat_ws("\n", before, last)))
-    made = made.select(key, F.when(short, merged).otherwise(F.col("p")).alias("p"))
-    return made.select(key, F.posexplode("p").alias("seq", "passage"))
+    made: list[str] = []
+    text, size, heading = [], 0, False
+    for p in paragraphs:
+        n = len(p.encode())
+        if text and not heading and (size >= least or size + n > target):
+            made += _cut("".join(text), target, most)
+            text, size = [], 0
+        if text:
+            text.append(": " if heading else " ")
+            size += len(text[-1])
+        text.append(p)
+        size += n
+        heading = len(p) < 80 and not p.endswith((".", ",", ";", ":"))
+    made += _cut("".join(text), target, most)
+    return [t for t in made if sum(map(str.isalnum, t)) >= MIN_LETTERS]
+
+
+def _cut(text: str, target: int, most: int) -> list[str]:
+    if len(text.encode()) <= most:
+        return [text]
+    pieces, piece, size = [], [], 0
+    for sentence in _SENTENCE.split(text):
+        n = len(sentence.encode())
+        if piece and size + n > target:
+            pieces.append("".join(piece).strip())
+            piece, size = [], 0
+        piece.append(sentence)
+        size += n
+    return [*pieces, "".join(piece).strip()]
+
+
+def passages(docs: DataFrame, key: str, text: str = "text", least: int = MIN_BYTES, target: int = TARGET_BYTES, most: int = MAX_BYTES) -> DataFrame:
+    """(key, seq, passage): the lines of each text packed into passages."""
+
+    @F.pandas_udf("array<string>")
+    def packed(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: _pack([] if x is None else list(x), least, target, most))
+
+    return docs.select(key, F.posexplode(packed(text_lines(F.col(text)))).alias("seq", "passage"))
 
 
 def headings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, seq, line, heading): each line with the nearest heading at or before it."""
-    lines = docs.select(key, F.split(text, "\n").alias("l"))
-    numbered = F.transform("l", lambda x, i: F.struct(i.alias("seq"), x.alias("line")))
-    heads = F.filter(numbered, lambda r: is_heading(r["line"]))
-    rows = F.transform(numbered, lambda r: F.struct(r["seq"].alias("seq"), r["line"].alias("line"), F.try_element_at(F.filter(heads, lambda h: h["seq"] <= r["seq"]), F.lit(-1))["line"].alias("heading")))
-    return lines.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    from pyspark.sql import Window as W
+
+    lines = docs.select(F.col(key), F.xxhash64(key, text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("seq", "line"))
+    so_far = W.partitionBy(key, "_t").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    return lines.withColumn("heading", F.last(F.when(is_heading(F.col("line")), F.col("line")), ignorenulls=True).over(so_far)).drop("_t")
 
 
 def leading_text(chunks: DataFrame, owner: str, seq: str, text: str, budget: int) -> DataFrame:

@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.session import checkpoint
 
 
-def _view(df: DataFrame) -> str:
-    name = f"v_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def _frontier(first: DataFrame, edges: DataFrame, columns: list[str], step: dict[str, Column]) -> DataFrame:
+    """All rows that are reached from ``first`` over ``edges`` (up, down): only rows that are new go on, so cycles end by themselves.
+
+    ``columns``: what tells rows apart, "id" among them; ``step``: other columns' values one edge further on.
+    """
+    seen = new = checkpoint(first.distinct())
+    edges = edges.distinct()
+    while not new.isEmpty():
+        further = new.join(edges, new["id"] == edges["up"]).select(*(edges["down"].alias("id") if c == "id" else step.get(c, F.col(c)).alias(c) for c in new.columns))
+        new = checkpoint(further.dropDuplicates(columns).join(seen, columns, "left_anti"))
+        seen = checkpoint(seen.unionByName(new))
+    return seen
 
 
-def descendants(tree: DataFrame, root: str, depth: int = 64) -> DataFrame:
-    """(id) of ``root`` and everything under it; tree: (id, parent). Cycles end at ``depth``."""
-    view = _view(tree.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent")))
-    return tree.sparkSession.sql(
-        f"""with recursive under(id, depth) as (
-              select id, 0 from {view} where id = :root
-              union all select c.id, u.depth + 1 from {view} c join under u on c.parent = u.id where u.depth < {depth})
-            select distinct id from under""",
-        args={"root": str(root)},
-    )
+def descendants(tree: DataFrame, root: str) -> DataFrame:
+    """(id) of ``root`` and everything under it, at any depth; tree: (id, parent). A node with two parents is there once, and cycles end."""
+    t = tree.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"))
+    return _frontier(t.filter(F.col("id") == str(root)).select("id"), t.select(F.col("parent").alias("up"), F.col("id").alias("down")), ["id"], {})
 
 
 def levels(tree: DataFrame) -> DataFrame:
-    """(id, root, depth) of every node below the roots (nodes without a parent)."""
-    view = _view(tree)
-    return tree.sparkSession.sql(
-        f"""with recursive walk(id, root, depth) as (
-              select id, id, 0 from {view} where parent is null
-              union all select c.id, w.root, w.depth + 1 from {view} c join walk w on c.parent = w.id where w.depth < 64)
-            select id, root, depth from walk"""
-    )
-
-
-def closure(edges: DataFrame, rounds: int = 16) -> DataFrame:
-    """(a, b) for each b that can be reached from a, by doubling the length of the paths each round."""
-    paths = checkpoint(edges.select("a", "b").distinct())
-    n = paths.count()
-    for _ in range(rounds):
-        longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        paths = checkpoint(paths.unionByName(longer).distinct())
-        was, n = n, paths.count()
-        if n == was:
-            return paths
-    raise RuntimeError(f"paths are longer than 2^{rounds} edges")
+    """(id, root, depth) of every node below the roots (nodes without a parent), at any depth; of several ways from a root the shortest counts."""
+    first = tree.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    return _frontier(first, tree.filter("parent is not null").select(F.col("parent").alias("up"), F.col("id").alias("down")), ["id", "root"], {"depth": F.col("depth") + 1})
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(a, b) for each b that can be reached from a: each round only the pairs that are new take one edge more."""
+    first = edges.select("a", F.col("b").alias("id"))
+    return _frontier(first, edges.select(F.col("a").alias("up"), F.col("b").alias("down")), ["a", "id"], {}).select("a", F.col("id").alias("b"))
 
 
 def match_cited(cites: DataFrame, works: DataFrame) -> DataFrame:
@@ -68,10 +56,23 @@ def match_cited(cites: DataFrame, works: DataFrame) -> DataFrame:
     return found.groupBy("citing", "ref").agg(F.min("id").alias("cited"))
 
 
-def co_occurrence(bridge: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
-    """(a, b, n): in how many keys two values (a < b) occur together."""
+def co_occurrence(bridge: DataFrame, key: str, value: str, least: int = 1, block: int = 256) -> DataFrame:
+    """(a, b, n): in how many keys two values (a < b) occur together.
+
+    The result has a row for each pair, so a key with very many values makes very many; but its values are cut
+    into blocks of about ``block`` and pairs of blocks are joined, so no task makes more than some block^2 of them.
+    """
     rows = bridge.select(F.col(key).alias("k"), F.col(value).alias("v")).distinct()
-    return rows.alias("x").join(rows.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.v") < F.col("y.v"))).groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes.filter("blocks > 1"), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = checkpoint(rows.withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
+    # each value goes to all pairs of its own block and another, in order
+    meets = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "v", F.col("i").alias("own"), F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    x, y = meets.alias("x"), meets.alias("y")
+    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.v") < F.col("y.v"))
+    # two of one block meet in the block's pair with itself only
+    once = (F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi"))
+    return x.join(y, on & once).groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def backlinks(links: DataFrame, kind: str, node: str, own: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +89,19 @@ def grid(df: DataFrame, row: str, column: str, members: list, value: str, how: s
 
 
 def share(cells: DataFrame, value: str, of: str, row: list[str], column: list[str]) -> DataFrame:
-    """``value`` as a share of the total, row or column total; no value where the base is 0 or has none."""
+    """``value`` as a share of the total, row or column total; no value where the base is 0 or has none.
+
+    Totals are aggregated and joined back: the grand total is one row.
+    """
     by = {"total": [], "row": row, "column": column}[of]
-    base = F.sum(value).over(W.partitionBy(*by))
-    return cells.withColumn(f"pct_{of}", F.when(base != 0, F.col(value) / base))
+    names = [f"_b{k}" for k in range(len(by))]
+    base = cells.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.sum(value).alias("_base"))
+    if by:
+        same = [cells[c].eqNullSafe(base[n]) for c, n in zip(by, names, strict=True)]
+        joined = cells.join(base, reduce(lambda x, y: x & y, same))
+    else:
+        joined = cells.withColumn("_base", F.lit(base.first()["_base"]))
+    return joined.withColumn(f"pct_{of}", F.when(F.col("_base") != 0, F.col(value) / F.col("_base"))).drop("_base", *names)
 
 
 def keep_members(df: DataFrame, member: str, value: str, how: str, test: str, *bounds: float) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import tokens
+from lumenfold.functions.text import phrase, tokens, unaccented_text
 from lumenfold.session import checkpoint
 
 K1, B = 1.2, 0.75
@@ -23,39 +23,93 @@ def document_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataF
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:
-    """(key, score) of the documents that hold any of the terms.
+def term_of(word: str) -> str:
+    """A query's word as tokens() writes it."""
+    return unaccented_text(word.lower())
 
-    A query has few terms, so each document's term frequencies are counted in its own token array: one pass gives
-    the corpus statistics (a single row), another the scores, and nothing is exploded or shuffled.
+
+def _idf(n: Column | int, df: Column | int) -> Column:
+    return F.greatest(F.log((F.lit(n) - df + 0.5) / (F.lit(df) + 0.5)), F.lit(1e-6))
+
+
+def _saturated(tf: Column, dl: Column, average: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(average))))
+
+
+def bm25(docs: DataFrame, key: str, terms: list[str], text: str = "text", prefix: bool = False) -> DataFrame:
+    """(key, score) of the documents that hold any of the terms; with ``prefix`` the last one also as a beginning, from two letters.
+
+    For a corpus without an index: a query has few terms, so each document's term frequencies are counted in its own token
+    array, in one pass whose short rows are written; the corpus statistics and the scores come of those.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    parts = docs.select(key, tokens(F.col(text)).alias("t"))
-    tf = lambda term: F.size(F.filter("t", lambda x: x == term))
-    counted = parts.select(key, F.size("t").alias("dl"), *(tf(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    terms = list(dict.fromkeys(map(term_of, terms)))
+    begin = terms[-1] if prefix and terms and len(terms[-1]) >= 2 else None
+    test = lambda term: (lambda x: x.startswith(term)) if term == begin else (lambda x: x == term)
+    parts = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    counted = checkpoint(parts.select(key, F.size("t").alias("dl"), *(F.size(F.filter("t", test(t))).alias(f"tf{k}") for k, t in enumerate(terms))))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
-    n, average = stats["n"], stats["avg"] or 1.0
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        df = stats[f"df{k}"]
-        idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        f = F.col(f"tf{k}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
-    any_term = F.lit(False)
+    score, any_term = F.lit(0.0), F.lit(False)
     for k in range(len(terms)):
+        score = score + _idf(stats["n"], stats[f"df{k}"]) * _saturated(F.col(f"tf{k}"), F.col("dl"), stats["avg"] or 1.0)
         any_term = any_term | (F.col(f"tf{k}") > 0)
     return counted.filter(any_term).select(key, score.alias("score"))
 
 
-def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
+def write_index(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """Postings (term, key, tf, dl), terms (term, df) and corpus (n, words) of a text column, as Parquet under ``path``.
+
+    Postings are range-dealt by term and key and sorted, so a term is in few neighbouring files, one that a
+    third of the documents hold is in many, and a query's filter on terms skips all other files and row groups.
+    """
+    spark = docs.sparkSession
+    parts = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    counts = parts.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    counts.repartitionByRange("term", key).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    parts.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).coalesce(1).write.parquet(f"{path}/corpus")
+
+
+def bm25_indexed(spark: SparkSession, path: str, key: str, terms: list[str], prefix: bool = False) -> DataFrame:
+    """As bm25(), from what write_index() wrote: only the postings of the query's terms are read."""
+    terms = list(dict.fromkeys(map(term_of, terms)))
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    begin = terms[-1] if prefix and terms and len(terms[-1]) >= 2 else None
+    wanted = F.col("term").isin([t for t in terms if t != begin])
+    postings = spark.read.parquet(f"{path}/postings")
+    if begin is None:
+        df = spark.read.parquet(f"{path}/terms").filter(wanted)
+        scored = postings.filter(wanted).join(F.broadcast(df), "term")  # at most one row for each of the query's terms
+    else:
+        # the words that begin so count as one term
+        some = postings.filter(wanted | F.col("term").startswith(begin)).withColumn("term", F.when(F.col("term").startswith(begin), F.lit(begin)).otherwise(F.col("term")))
+        some = some.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        scored = some.join(F.broadcast(some.groupBy("term").agg(F.count("*").alias("df"))), "term")
+    average = (corpus["words"] or 0) / max(corpus["n"], 1) or 1.0
+    return scored.groupBy(key).agg(F.sum(_idf(corpus["n"], F.col("df")) * _saturated(F.col("tf"), F.col("dl"), average)).alias("score"))
+
+
+def phrase_filter(docs: DataFrame, text: str, words: str) -> DataFrame:
+    """The documents that hold the words one right behind the other."""
+    terms = [t for t in map(term_of, words.split()) if t]
+    return docs.filter(phrase(F.col(text), terms)) if terms else docs.limit(0)
+
+
+def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], prefix: bool = False) -> DataFrame:
     """(key, score): BM25 of each field by its weight, added up."""
     out = None
     for name, weight in fields.items():
-        part = bm25(docs, key, terms, name).withColumn("score", F.col("score") * weight)
+        part = bm25(docs, key, terms, name, prefix).withColumn("score", F.col("score") * weight)
         out = part if out is None else out.unionByName(part)
     return out.groupBy(key).agg(F.sum("score").alias("score"))
 
 
+def metadata_lift(records: DataFrame, key: str, fields: dict[str, float], terms: list[str], top: int = TOP) -> DataFrame:
+    """(key, lift) of the records whose fields hold a term, the last as a beginning too: 2 / (60 + rank)."""
+    found = weighted_bm25(records, key, fields, terms, prefix=True).withColumn("score", F.round("score", 9))
+    return ranked(found, key, F.col("score").desc(), top).select(key, (F.lit(2.0) / (RRF + F.col("rank"))).alias("lift"))
+
+
 def ranked(df: DataFrame, key: str, by: Column, n: int) -> DataFrame:
     """The n best rows (``by``, then key) with rank from 1: a top-k, then numbered in one small partition."""
     top = df.orderBy(by, key).limit(n)
@@ -86,11 +140,13 @@ def reciprocal_ranks(lists: list[tuple[DataFrame, float]], key: str) -> DataFram
     return out.groupBy(key).agg(F.sum("s").alias("score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], key: str, vector_key: str, column: str, eligible: DataFrame | None = None, top: int = TOP, distance: float = DISTANCE) -> DataFrame:
-    """(key, score, keyword, semantic): keyword and vector hits fused by reciprocal rank.
+def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], key: str, vector_key: str, column: str, eligible: DataFrame | None = None, top: int = TOP, distance: float = DISTANCE, mode: str = "hybrid") -> DataFrame:
+    """(key, score, keyword, semantic): keyword and vector hits fused by reciprocal rank; mode: hybrid, keyword or semantic, which leave one list out.
 
     The vector list is cut to its top before eligibility; a hit that is neither near nor a keyword hit is dropped.
     """
+    if mode not in ("hybrid", "keyword", "semantic"):
+        raise ValueError(f"no search mode {mode}")
     words = bm25(docs, key, terms).withColumn("score", F.round("score", 9))
     if eligible is not None:
         words = words.join(eligible.select(key), key, "left_semi")
@@ -100,6 +156,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[fl
         near = near.join(eligible.select(key), key, "left_semi")
     near = near.join(words.select(key, F.lit(True).alias("is_word")), key, "left").filter((F.col("distance") <= distance) | F.col("is_word"))
     near = checkpoint(near)
+    words, near = words.filter(F.lit(mode != "semantic")), near.filter(F.lit(mode != "keyword"))
     fused = reciprocal_ranks([(words, 1.0), (near, 1.0)], key)
     flags = words.select(key, F.lit(True).alias("w")).join(near.select(key, F.lit(True).alias("v")), key, "full")
     return fused.join(flags, key).select(key, "score", F.coalesce("w", F.lit(False)).alias("keyword"), F.coalesce("v", F.lit(False)).alias("semantic"))
@@ -115,6 +172,20 @@ def owners(hits: DataFrame, owner: str, lift: DataFrame | None = None, passages:
     return joined.select(owner, (zero("best") + 0.15 * zero("all") + zero("lift")).alias("score"), zero("best").alias("best"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+def owner_caps(ranked_owners: DataFrame, kind: str, limit: int = 50, others: int = 10) -> DataFrame:
+    """The best owners (kind, owner, score): of sources ``limit``, of any other kind at most ``others``; ties by owner."""
+    keys = [F.desc("score"), F.col("owner")]
+    out = ranked_owners.filter(F.col(kind) == "source").orderBy(*keys).limit(limit)
+    for other in ("note", "file"):
+        out = out.unionByName(ranked_owners.filter(F.col(kind) == other).orderBy(*keys).limit(min(limit, others)))
+    return out
+
+
+def candidate_limit(limit: int) -> int:
+    """How many candidates a list of ``limit`` results is chosen from."""
+    return max(64, min(1000, 4 * limit))
+
+
 def best_passages(hits: DataFrame, owner: str, key: str, n: int = 3) -> DataFrame:
     """The n best passages of each owner."""
     order = W.partitionBy(owner).orderBy(F.desc("score"), key)
@@ -139,11 +210,19 @@ def title_rank(title: Column, typed: str) -> Column:
 
 
 def corpus_id(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row: a fingerprint of the corpus, from its documents' hashes in key order by leading key digits.
+    """One row: a fingerprint of the corpus, a tree of hashes of its documents in the order of their keys' hashes.
 
-    Hashes are listed by bucket and the buckets' hashes listed in turn, so no task sees all documents.
+    A node has the documents or nodes whose key hashes begin alike, with six, three and no hex digits, so
+    no task lists more than some thousand of them in a corpus of 10^10 documents.
     """
-    each = docs.select(F.col(key).alias("k"), F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), text), 256).alias("h"))
-    bucket = F.pmod(F.xxhash64("k"), F.lit(1024)).alias("b")
-    parts = each.groupBy(bucket).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_id"))
+    level = docs.select(F.sha2(F.col(key).cast("string"), 256).alias("k"), F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), text), 256).alias("h"))
+    for digits in (6, 3, 0):
+        child = F.array_sort(F.collect_list(F.struct("k", "h")))
+        level = level.groupBy(F.substring("k", 1, digits).alias("k")).agg(F.sha2(F.array_join(F.transform(child, lambda x: x["h"]), ""), 256).alias("h"))
+    return level.select(F.col("h").alias("corpus_id"))
+
+
+def same_corpus(lexical: str, vectors: str) -> None:
+    """Refuse to fuse lists of two corpora, by their fingerprints."""
+    if lexical != vectors:
+        raise ValueError("the keyword index and the vectors are of different corpora; index again")

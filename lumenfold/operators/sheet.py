@@ -15,12 +15,16 @@ ERROR_VALUES = ["#DIV/0!", "#N/A", "#NAME?", "#NULL!", "#NUM!", "#REF!", "#VALUE
 def dedupe(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
     """The first row (by ``order``) of each set of rows equal in ``columns``; text regardless of case, a number never equals a text.
 
-    The first row is found by an aggregation of its order key, combined before the shuffle.
+    Sets are told apart by a 256-bit hash of their columns, so long texts aren't shuffled as keys; the first row is
+    found by an aggregation of its order key, combined before the shuffle.
     """
     kinds = dict(df.dtypes)
-    keys = [F.lower(c).alias(f"_d{k}") if kinds[c] == "string" else F.col(c).alias(f"_d{k}") for k, c in enumerate(columns)]
+    # each value with its kind and length before it: no two different sets are written alike
+    cell = lambda c: F.lower(c) if kinds[c] == "string" else F.to_json(F.struct(F.col(c).alias("v")))
+    written = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.char_length(cell(c)).cast("string"), F.lit(":"), cell(c))) for c in columns]
+    key = F.sha2(F.concat(*written), 256).alias("_d")
     rest = F.struct(*(df[c] for c in df.columns)).alias("_row")
-    first = df.groupBy(*keys).agg(F.min_by(rest, F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("_row"))
+    first = df.groupBy(key).agg(F.min_by(rest, F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)))).alias("_row"))
     return first.select("_row.*")
 
 
@@ -58,13 +62,52 @@ def places(df: DataFrame, keys: list[Column], place: str = "place") -> DataFrame
 def subtotal_runs(df: DataFrame, label: str, value: str, order: list[str], how: str = "sum", by: list[str] | None = None) -> DataFrame:
     """One row for each run of equal neighbours in ``label``: run, label, result, rows.
 
-    ``by`` splits the table into sheets that are each in an order of their own; without it the table is one sheet.
+    ``by`` splits the table into sheets that are each in an order of their own. Without it the table is one sheet:
+    it is sorted by ranges, runs are found within each, and those that meet at a border are made one.
     """
-    part = W.partitionBy(*(by or [])).orderBy(*order)
+    if not by:
+        return _runs_of_sheet(df, label, value, order, how)
+    part = W.partitionBy(*by).orderBy(*order)
     changed = (~F.col(label).eqNullSafe(F.lag(label).over(part))) | (F.row_number().over(part) == 1)
     runs = df.withColumn("_new", changed.cast("int")).withColumn("run", F.sum("_new").over(part.rowsBetween(W.unboundedPreceding, 0)))
     agg = {"sum": F.sum, "count": F.count, "average": F.avg}[how]
-    return runs.groupBy(*(by or []), "run").agg(F.first(label).alias(label), agg(value).alias("result"), F.count("*").alias("rows"))
+    return runs.groupBy(*by, "run").agg(F.first(label).alias(label), agg(value).alias("result"), F.count("*").alias("rows"))
+
+
+def _runs_of_sheet(df: DataFrame, label: str, value: str, order: list[str], how: str) -> DataFrame:
+    at = F.monotonically_increasing_id()
+    rows = df.select(*order, F.col(label).alias("_l"), F.col(value).alias("_v")).repartitionByRange(*order).sortWithinPartitions(*order).select("_l", "_v", at.alias("_at"))
+    rows = checkpoint(rows.select("_l", "_v", F.shiftright("_at", 33).alias("_part"), "_at"))
+    part = W.partitionBy("_part").orderBy("_at")
+    new = ((~F.col("_l").eqNullSafe(F.lag("_l").over(part))) | (F.row_number().over(part) == 1)).cast("int")
+    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(part.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("_part", "_run").agg(F.first("_l").alias("_l"), F.sum("_v").alias("_sum"), F.count("_v").alias("_n"), F.count("*").alias("rows"))
+    runs = checkpoint(runs)
+    # one row a partition: its runs, and whether its first goes on with the last one before
+    ends = runs.groupBy("_part").agg(F.max("_run").alias("_runs"), F.min_by("_l", "_run").alias("_first"), F.max_by("_l", "_run").alias("_last"))
+    over = W.orderBy("_part")
+    goes_on = (F.lag("_part").over(over).isNotNull() & F.col("_first").eqNullSafe(F.lag("_last").over(over))).cast("int")
+    ends = ends.withColumn("_on", goes_on)
+    before = F.coalesce(F.sum(F.col("_runs") - F.col("_on")).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("_on")
+    ends = ends.select("_part", before.alias("_before"))
+    result = {"sum": F.sum("_sum"), "count": F.sum("_n"), "average": F.sum("_sum") / F.sum("_n")}[how]
+    return runs.join(F.broadcast(ends), "_part").groupBy((F.col("_before") + F.col("_run")).alias("run")).agg(F.first("_l").alias(label), result.alias("result"), F.sum("rows").alias("rows"))
+
+
+def kth(df: DataFrame, by: list[str], column: str, k: int, greatest: bool = True) -> DataFrame:
+    """LARGE or SMALL: (by, value), the k-th greatest (least) number of each group that has k. Each task passes on k rows of a group at most."""
+    rows = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.col("value").desc() if greatest else F.col("value").asc()))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= k).filter(F.col("_place") == k).drop("_place")
+
+
+# The function numbers of SUBTOTAL; 100 more leaves out rows hidden by hand too.
+SUBTOTALS = {1: F.avg, 2: F.count, 3: F.count, 4: F.max, 5: F.min, 6: F.product, 7: F.stddev_samp, 8: F.stddev_pop, 9: F.sum, 10: F.var_samp, 11: F.var_pop}
+
+
+def subtotal(number: int, column: str, visible: Column) -> Column:
+    """SUBTOTAL: an aggregate of the rows that are visible."""
+    return SUBTOTALS[number % 100](F.when(visible, F.col(column)))
 
 
 def range_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,14 +162,29 @@ def above_average(df: DataFrame, column: str, below: bool = False) -> DataFrame:
     return marked.filter(F.col(column) < F.col("_avg") if below else F.col(column) > F.col("_avg")).drop("_avg", "_min", "_max", "_n")
 
 
-def top_rule(df: DataFrame, column: str, n: float, percent: bool = False, bottom: bool = False) -> DataFrame:
-    """Rows among the top (bottom) n, or n per cent, ties with the last included.
+def kth_value(values: DataFrame, column: str, k: int, greatest: bool = True) -> float | None:
+    """The k-th greatest (least) number of a column, exactly, for any k.
 
-    The n-th value is found by a top-k; only the comparison runs over all rows.
+    Sorted by ranges with the number of rows of each partition known, only the one row at the place is looked up.
     """
+    key = F.col(column).desc() if greatest else F.col(column).asc()
+    at = F.monotonically_increasing_id()
+    rows = values.select(column).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", at)
+    rows = checkpoint(rows.select(column, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row")))
+    left = k
+    for part, n in sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # one row a partition
+        if left <= n:
+            return rows.filter((F.col("_part") == part) & (F.col("_row") == left - 1)).first()[column]
+        left -= n
+    return None
+
+
+def top_rule(df: DataFrame, column: str, n: float, percent: bool = False, bottom: bool = False) -> DataFrame:
+    """Rows among the top (bottom) n, or n per cent, ties with the last included; the value at that place is the rule's edge."""
     values = df.filter(F.col(column).isNotNull()).select(column)
-    k = max(1, int(values.count() * n / 100)) if percent else int(n)
-    edge = values.orderBy(F.col(column).asc() if bottom else F.col(column).desc()).limit(k).agg((F.max if bottom else F.min)(column)).first()[0]
+    there = values.count()
+    k = max(1, int(there * n / 100)) if percent else min(int(n), there)
+    edge = kth_value(values, column, k, not bottom)
     return df.filter(F.col(column) <= edge if bottom else F.col(column) >= edge)
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as tx
 from lumenfold.operators import chunk, search
 from lumenfold.plans.registry import query
+from lumenfold.session import shared_folder
 from lumenfold.sources.tables import table
 
 TERMS = ["license", "thble", "version"]
 
-_TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+_TOKENS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BM25 = rf"""
   tok as (select doc_id, {_TOKENS} as t from documents),
   c as (select doc_id, len(t) as dl, len(list_filter(t, lambda x: x = 'license')) as f0, len(list_filter(t, lambda x: x = 'thble')) as f1, len(list_filter(t, lambda x: x = 'version')) as f2 from tok),
@@ -24,9 +27,9 @@ _BM25 = rf"""
     from c, st where f0 + f1 + f2 > 0)"""
 
 
-@query(f"with t as (select doc_id, unnest({_TOKENS}) as term from documents) select doc_id, term, count(*)::bigint as tf from t group by 1, 2 having count(*) >= 3")
+@query(f"with t as (select doc_id, unnest({_TOKENS}) as term from documents) select doc_id, term, count(*)::bigint as tf from t group by 1, 2")
 def tokenise_tf(spark, sf):
-    return search.term_counts(table(spark, sf, "documents", spread=True), "doc_id").filter("tf >= 3")
+    return search.term_counts(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query(f"with t as (select doc_id, unnest({_TOKENS}) as term from documents) select term, count(distinct doc_id)::bigint as df from t group by 1")
@@ -40,6 +43,53 @@ def lexical_topk(spark, sf):
     return hits.orderBy(F.desc("score"), "doc_id").limit(search.TOP).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {_BM25} select doc_id, round(score, 6) as score from bm order by round(score, 9) desc, doc_id limit 300")
+def indexed_topk(spark, sf):
+    """lexical_topk out of an index: once it is written, only the postings of the three terms are read."""
+    path = f"{shared_folder(spark)}/index-{uuid4()}"
+    search.write_index(table(spark, sf, "documents", spread=True), "doc_id", path)
+    hits = search.bm25_indexed(spark, path, "doc_id", TERMS).withColumn("score", F.round("score", 9))
+    return hits.orderBy(F.desc("score"), "doc_id").limit(search.TOP).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""select doc_id, source from documents where contains(' ' || array_to_string(""" + _TOKENS + """, ' ') || ' ', ' under the apache license ')""")
+def fulltext_phrase(spark, sf):
+    docs = table(spark, sf, "documents", spread=True)
+    return search.phrase_filter(docs, "text", "Under the Ápache License").select("doc_id", "source")
+
+
+def _lift_sql(score: str, column: str) -> str:
+    """BM25 of one column of part for 'green' and the beginning 'ga'."""
+    return rf"""
+      {score}t as (select p_partkey, list_filter(string_split_regex(strip_accents(lower({column})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') as t from part),
+      {score}c as (select p_partkey, len(t) as dl, len(list_filter(t, lambda x: x = 'green')) as f0, len(list_filter(t, lambda x: starts_with(x, 'ga'))) as f1 from {score}t),
+      {score}s as (select count(*) as n, avg(dl) as a, count(*) filter (where f0 > 0) as d0, count(*) filter (where f1 > 0) as d1 from {score}c),
+      {score} as (select p_partkey, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) as s
+        from {score}c, {score}s where f0 + f1 > 0)"""
+
+
+@query(
+    f"""with {_lift_sql("x", "p_name")}, {_lift_sql("y", "p_type")},
+        z as (select p_partkey, round(sum(s), 9) as s from (select p_partkey, 10 * s as s from x union all select p_partkey, 4 * s from y) group by 1),
+        r as (select p_partkey, row_number() over (order by s desc, p_partkey) as place from z)
+        select p_partkey, round(2.0 / (60 + place), 9) as lift from r where place <= 300"""
+)
+def metadata_lift(spark, sf):
+    lifted = search.metadata_lift(table(spark, sf, "part"), "p_partkey", {"p_name": 10.0, "p_type": 4.0}, ["green", "ga"])
+    return lifted.select("p_partkey", F.round("lift", 9).alias("lift"))
+
+
+@query(
+    """with o as (select case l_linenumber % 3 when 0 then 'source' when 1 then 'note' else 'file' end as kind, l_suppkey as owner, round(sum(l_quantity), 4) as score from lineitem group by 1, 2),
+            r as (select *, row_number() over (partition by kind order by score desc, owner) as place from o)
+       select kind, owner, score from r where place <= case when kind = 'source' then 50 else 10 end"""
+)
+def owner_caps(spark, sf):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "source").when(F.col("l_linenumber") % 3 == 1, "note").otherwise("file")
+    owners = table(spark, sf, "lineitem").groupBy(kind.alias("kind"), F.col("l_suppkey").alias("owner")).agg(F.round(F.sum("l_quantity"), 4).alias("score"))
+    return search.owner_caps(owners, "kind", 50)
+
+
 def _query_vector(spark, sf) -> list[float]:
     """The stored vector of least id stands in for an embedded query."""
     return list(table(spark, sf, "embeddings").orderBy("vec_id").limit(1).select("embedding").first()[0])
@@ -71,6 +121,21 @@ def hybrid_search(spark, sf):
     return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+def _in_mode(mode: str):
+    def f(spark, sf):
+        docs, vectors = table(spark, sf, "documents", spread=True).select("doc_id", "text"), table(spark, sf, "embeddings")
+        hits = search.hybrid(docs, vectors, TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding", mode=mode)
+        return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+
+    f.__name__ = f"{mode}_search"
+    return f
+
+
+for _mode, _list in (("keyword", "w"), ("semantic", "v")):
+    _all = "select doc_id, 1.0 / (60 + rank) as s, 1 as kw, 0 as se from w union all select doc_id, 1.0 / (60 + rank), 0, 1 from v"
+    query(HYBRID_SQL.replace(_all, f"select doc_id, 1.0 / (60 + rank) as s, {int(_list == 'w')} as kw, {int(_list == 'v')} as se from {_list}"))(_in_mode(_mode))
+
+
 @query(
     f"""with h as ({HYBRID_SQL}), g as (select source, max(score) as best, sum(score) as all_scores, count(*) as hits from h join documents using (doc_id) group by source)
         select source, round(best + 0.15 * all_scores, 7) as score, hits::bigint as hits from g"""
@@ -109,14 +174,14 @@ def title_rank(spark, sf):
     return table(spark, sf, "part").select("p_partkey", search.title_rank(F.col("p_name"), "Red Widget").alias("rank"))
 
 
+_SILENT = "|".join(f"<{t}.*?</{t}" for t in "script style noscript svg nav footer".split())
+
+
 @query(
-    r"""with a as (select page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') as x from pages),
-        b as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<style\b[^>]*>.*?</style\s*>', '', 'gis'),
-               '<noscript\b[^>]*>.*?</noscript\s*>', '', 'gis'), '<svg\b[^>]*>.*?</svg\s*>', '', 'gis'), '<nav\b[^>]*>.*?</nav\s*>', '', 'gis'), '<footer\b[^>]*>.*?</footer\s*>', '', 'gis') as x from a),
-        c as (select page_id, regexp_replace(regexp_replace(x, '</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|blockquote|pre)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'gs') as x from b),
-        d as (select page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') as x from c),
-        e as (select page_id, regexp_replace(x, '[ \t\x0B\f\r]+', ' ', 'g') as x from d)
-        select page_id, trim(regexp_replace(regexp_replace(x, ' *\n *', chr(10), 'g'), '\n{2,}', chr(10), 'g'), ' ' || chr(10)) as text from e"""
+    rf"""with a as (select page_id, regexp_replace(html, '(?is)(?:{_SILENT})[^>]*(?:>|$)|(<[^>]*>)', '\1', 'g') as x from pages),
+        b as (select page_id, regexp_replace(x, '<[^>]*$', '') as x from a),
+        c as (select page_id, replace(regexp_replace(x, '(<)/*(?:p|div|br|li|h[1-5]|tr|section|article|blockquote)[^>]*>|<[^>]*>', '\\1', 'gi'), '<', chr(10)) as x from b)
+        select page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') as text from c"""
 )
 def html_to_text(spark, sf):
     return table(spark, sf, "pages", spread=True).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
@@ -130,7 +195,11 @@ def link_extract(spark, sf):
     return table(spark, sf, "pages", spread=True).select("page_id", F.explode(tx.page_links(F.col("html"))).alias("l")).select("page_id", "l.position", "l.target")
 
 
-@query()
+@query(
+    r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]) ([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as s from documents),
+             r as (select doc_id, s, unnest(range(len(s))) as seq from s)
+        select doc_id, seq::int as seq, s[seq + 1] as sentence, array_to_string(s[greatest(seq, 1):seq + 2], ' ') as context from r"""
+)
 def sentence_context(spark, sf):
     """Each sentence of every document between its neighbours."""
     return chunk.sentence_context(table(spark, sf, "documents", spread=True), "doc_id")
@@ -142,41 +211,67 @@ def passage_chunk(spark, sf):
     return chunk.passages(table(spark, sf, "documents", spread=True), "doc_id")
 
 
-@query()
+@query(
+    r"""with l as (select concat_ws('/', conv_id, turn) as id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as seq from conversations)
+        select id, seq::int as seq, line, last_value(case when length(line) < 80 and length(trim(line)) > 0 and not regexp_matches(trim(line), '[.,;:]$') then line end ignore nulls)
+          over (partition by id order by seq rows unbounded preceding) as heading from l"""
+)
 def heading_context(spark, sf):
     """Each line of every conversation turn with the heading it stands under."""
     turns = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
     return chunk.headings(turns, "id")
 
 
-@query("select l_orderkey, l_linenumber, '10.1000/' || l_partkey as doi from lineitem where l_linenumber % 2 = 0")
+@query(
+    """select l_orderkey, l_linenumber, case l_linenumber % 4 when 2 then '10.1000/q' || l_partkey when 1 then '10.12345/(x)' || l_suppkey when 3 then '10.9999/' || l_partkey end as doi
+       from lineitem where l_linenumber % 4 > 0"""
+)
 def doi_extract(spark, sf):
-    """DOIs out of running text made of the line items' keys."""
-    line = table(spark, sf, "lineitem")
-    text = F.concat(F.lit("as shown, DOI 10.1000/"), F.col("l_partkey").cast("string"), F.lit("). And"))
-    body = F.when(F.col("l_linenumber") % 2 == 0, text).otherwise("nothing here, not even 10.1/x")
+    """DOIs out of running text and markup made of the line items' keys; every fourth has only what looks like one."""
+    line, part, supp = table(spark, sf, "lineitem"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    kind = F.col("l_linenumber") % 4
+    body = F.when(kind == 2, F.concat(F.lit("as 10.12/x shows, DOI 10.1000/Q"), part, F.lit(").]. And 10.1000/other")))
+    body = body.when(kind == 1, F.concat(F.lit("<a href='https://doi.org/10.12345/(X)"), supp, F.lit("'>10.1/y</a>")))
+    body = body.when(kind == 3, F.concat(F.lit("10.1234/.)] <b>10.9999/"), part, F.lit("</b>"))).otherwise("nothing here, not even 10.1/x or 10.1234/")
     return line.select("l_orderkey", "l_linenumber", tx.doi(body).alias("doi")).filter("doi is not null")
 
 
-@query("select l_orderkey, l_linenumber, [l_suppkey, l_suppkey + 2, l_suppkey + 3, l_suppkey + 4]::varchar as numbers from lineitem where l_linenumber = 3")
+@query(
+    """select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then [k, k + 2, k + 3, k + 4] when 1 then [k, k + 1] end::varchar as numbers
+       from (select l_orderkey, l_linenumber, l_suppkey % 900 + 1 as k from lineitem)"""
+)
 def citation_expand(spark, sf):
-    """Grouped citations made of the line items' keys, expanded to their numbers."""
-    n = F.col("l_suppkey")
-    text = F.concat(F.lit("shown before ["), n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit("] and elsewhere"))
-    found = tx.citation_numbers(text)
-    return table(spark, sf, "lineitem").filter("l_linenumber = 3").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("numbers"))
-
-
-@query("select l_orderkey, l_linenumber, [l_suppkey, l_suppkey + 2, l_suppkey + 3, l_suppkey + 4]::varchar as numbers from lineitem")
-def citation_expand_whole(spark, sf):
-    """Grouped citations made of the line items' keys, expanded to their numbers."""
-    n = F.col("l_suppkey")
-    text = F.concat(F.lit("shown before ["), n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit("] and elsewhere"))
-    found = tx.citation_numbers(text)
+    """Grouped citations made of the line items' keys, in brackets and parentheses, expanded to their numbers; a range that runs backwards rejects the whole."""
+    n = F.col("l_suppkey") % 900 + 1
+    three = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    text = F.when(F.col("l_linenumber") % 3 == 0, three("shown before [", n, ", ", n + 2, "-", n + 4, "] and elsewhere"))
+    text = text.when(F.col("l_linenumber") % 3 == 1, three("(", n, "—", n + 1, ") says so")).otherwise(three("not [", n, "; ", n + 9, "–", n + 5, "]"))
+    found = tx.citation_numbers(tx.citation_groups(text)[0])
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("numbers"))
 
 
-@query()
+@query(
+    """select c_custkey, case when c_custkey % 3 < 2 then lower(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) end as first, case when c_custkey % 3 < 2 then (1950 + c_custkey % 70)::varchar || case when c_custkey % 2 = 0 then 'a' else '' end end as year,
+              case when c_custkey % 3 = 2 then 0 else 2 end as cited from customer"""
+)
+def author_year(spark, sf):
+    """Reference entries and citations made of the customers: the entries' keys, and how many citations of two name the entry."""
+    c = table(spark, sf, "customer")
+    name = F.initcap(F.lower("c_mktsegment"))
+    year = F.concat((1950 + F.col("c_custkey") % 70).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise(""))
+    entry = F.when(F.col("c_custkey") % 3 == 0, F.concat(name, F.lit(", J., & Lee, K. ("), year, F.lit("). A title of 2021."))).when(F.col("c_custkey") % 3 == 1, F.concat(name, F.lit(" J, Lee K. "), year, F.lit(". A title."))).otherwise("no entry in 2020")
+    text = F.concat(F.lit("As told (see "), name, F.lit(" & Lee, "), year, F.lit("; Other 1901), and by "), name, F.lit(" et al. ("), year, F.lit(")."))
+    key = tx.entry_key(entry)
+    named = F.filter(tx.author_year_citations(text), lambda k: (k["first"] == key["first"]) & (k["year"] == key["year"]))
+    return c.select("c_custkey", key["first"].alias("first"), key["year"].alias("year"), F.coalesce(F.size(F.when(key.isNotNull(), named)), F.lit(0)).alias("cited")).withColumn("cited", F.greatest("cited", F.lit(0)))
+
+
+@query(
+    """with e as (select sha256(doc_id::varchar) as k, sha256(concat_ws(chr(31), doc_id::varchar, text)) as h from documents),
+            a as (select k[1:6] as k, sha256(string_agg(h, '' order by k, h)) as h from e group by k[1:6]),
+            b as (select k[1:3] as k, sha256(string_agg(h, '' order by k, h)) as h from a group by k[1:3])
+       select sha256(string_agg(h, '' order by k)) as corpus_id from b"""
+)
 def corpus_fingerprint(spark, sf):
     return search.corpus_id(table(spark, sf, "documents", spread=True), "doc_id")
 

@@ -31,14 +31,8 @@ def pivot_aggregates(spark, sf):
     return pv.cells(df, spec).drop("row_level", "column_level").withColumn("average_o_totalprice", F.round("average_o_totalprice", 4))
 
 
-@query("select l_shipmode as mode, round(product(x), 6) as product_x from (select l_returnflag || l_linestatus as l_shipmode, 1 + l_tax / 100000 as x from lineitem where l_linenumber = 1) group by 1")
-def pivot_product(spark, sf):
-    df = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.concat("l_returnflag", "l_linestatus").alias("mode"), (1 + F.col("l_tax") / 100000).alias("x"))
-    return pv.cells(df, pv.Pivot(["mode"], [], [("x", "product")])).select("mode", F.round("product_x", 6).alias("product_x"))
-
-
 @query("select l_shipmode as mode, round(product(x), 6) as product_x from (select l_returnflag || l_linestatus as l_shipmode, 1 + l_tax / 100000 as x from lineitem) group by 1")
-def pivot_product_whole(spark, sf):
+def pivot_product(spark, sf):
     df = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("mode"), (1 + F.col("l_tax") / 100000).alias("x"))
     return pv.cells(df, pv.Pivot(["mode"], [], [("x", "product")])).select("mode", F.round("product_x", 6).alias("product_x"))
 
@@ -167,6 +161,17 @@ def cf_top_percent(spark, sf):
     return sh.top_rule(table(spark, sf, "orders"), "o_totalprice", 5, percent=True).select("o_orderkey")
 
 
+@query(
+    """with x as (select *, lag(l_returnflag) over (order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as p from lineitem),
+            r as (select *, sum(case when p is null or p <> l_returnflag then 1 else 0 end) over (order by l_orderkey, l_linenumber, l_partkey, l_extendedprice rows unbounded preceding) as run from x)
+       select run::bigint as run, min(l_returnflag) as l_returnflag, round(sum(l_quantity), 2) as result, count(*)::bigint as rows from r group by 1"""
+)
+def subtotal_sheet(spark, sf):
+    """The whole table as one sheet."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return sh.subtotal_runs(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", order).withColumn("result", F.round("result", 2))
+
+
 @query("select p_partkey from part where p_retailprice > (select avg(p_retailprice) from part)")
 def cf_above_average(spark, sf):
     return sh.above_average(table(spark, sf, "part"), "p_retailprice").select("p_partkey")
@@ -182,6 +187,27 @@ def cf_color_scale(spark, sf):
     return sh.color_scale(table(spark, sf, "part"), "p_size").select("p_partkey", F.round("scale", 6).alias("scale"))
 
 
+@query(
+    """with r as (select p_type, p_retailprice, row_number() over (partition by p_type order by p_retailprice desc) as d, row_number() over (partition by p_type order by p_retailprice) as a from part)
+       select p_type, max(case when d = 3 then p_retailprice end) as large3, max(case when a = 2 then p_retailprice end) as small2 from r group by 1"""
+)
+def large_small(spark, sf):
+    """LARGE and SMALL by type."""
+    part = table(spark, sf, "part")
+    third = sh.kth(part, ["p_type"], "p_retailprice", 3).withColumnRenamed("value", "large3")
+    return third.join(sh.kth(part, ["p_type"], "p_retailprice", 2, greatest=False).withColumnRenamed("value", "small2"), "p_type", "full")
+
+
+@query(
+    """select p_type, round(sum(p_retailprice) filter (where p_size <= 40), 4) as total, count(p_retailprice) filter (where p_size <= 40)::bigint as numbers, round(stddev_samp(p_retailprice) filter (where p_size <= 40), 6) as spread from part group by 1"""
+)
+def subtotal_function(spark, sf):
+    """SUBTOTAL over the rows that a filter leaves visible."""
+    shown = F.col("p_size") <= 40
+    made = {"total": F.round(sh.subtotal(9, "p_retailprice", shown), 4), "numbers": sh.subtotal(2, "p_retailprice", shown), "spread": F.round(sh.subtotal(7, "p_retailprice", shown), 6)}
+    return table(spark, sf, "part").groupBy("p_type").agg(*(c.alias(n) for n, c in made.items()))
+
+
 @query(
     """select p_type, round(quantile_cont(p_retailprice, 0.9), 4) as p90, round(median(p_retailprice), 4) as median, round(quantile_cont(p_retailprice, 0.25), 4) as q1, round(avg(p_retailprice), 4) as average from part group by 1"""
 )
@@ -207,22 +233,11 @@ def conditional_aggregates(spark, sf):
     )
 
 
-@query(
-    """select p_partkey, (row_number() over (order by case when p_size % 7 = 0 then 1 else 0 end, case when p_size % 7 = 0 then null else p_brand_n end, p_partkey))::int as place
-       from (select *, substr(p_brand, 7)::int as p_brand_n from part) where p_partkey < 500000 order by place limit 100"""
-)
-def sort_spreadsheet_order(spark, sf):
-    df = table(spark, sf, "part").withColumn("label", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")))
-    keys = [*sh.sort_keys("label", "string"), F.col("p_partkey").asc()]
-    top = df.filter("p_partkey < 500000").orderBy(*keys).limit(100)
-    return top.select("p_partkey", F.row_number().over(W.orderBy(*keys)).alias("place"))
-
-
 @query(
     """select p_partkey, (row_number() over (order by case when p_size % 7 = 0 then 1 else 0 end, case when p_size % 7 = 0 then null else p_brand_n end, p_partkey))::bigint as place
        from (select *, substr(p_brand, 7)::int as p_brand_n from part)"""
 )
-def sort_spreadsheet_order_whole(spark, sf):
+def sort_spreadsheet_order(spark, sf):
     df = table(spark, sf, "part").withColumn("label", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")))
     keys = [*sh.sort_keys("label", "string"), F.col("p_partkey").asc()]
     return sh.places(df.select("p_partkey", "label"), keys).select("p_partkey", "place")

@@ -15,16 +15,22 @@ def session(name: str = "lumenfold", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder for intermediate data, the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where it names none, a temporary folder stands in
-    on one machine (``local[...]``) only: elsewhere other executors couldn't read it.
+    Where it names none, a temporary folder stands in on one machine (``local[...]``) only: elsewhere other executors
+    couldn't read it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cp-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import text as tx
 from lumenfold.operators import chunk, facets, graph, joins, merge, pivot, search, sheet
 from lumenfold.operators.filters import Field, Filter, apply
 
@@ -100,11 +103,11 @@ def test_lookup_approximate(spark):
 
 
 def test_search(spark):
-    docs = spark.createDataFrame([(1, "rust memory safety"), (2, "cooking pasta pasta"), (3, "rust rust cooking"), (4, None)], "id int, text string")
-    got = {r.id: r.score for r in search.bm25(docs, "id", ["pasta"]).collect()}
+    docs = spark.createDataFrame([(1, "tidal power stations"), (2, "mosses moss moss"), (3, "power and power of moss"), (4, None)], "id int, text string")
+    got = {r.id: r.score for r in search.bm25(docs, "id", ["mosses"]).collect()}
     assert set(got) == {2} and got[2] > 0
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (9, [0.9, 0.1])], "vid int, e array<double>")
-    hits = {r.id: (r.keyword, r.semantic) for r in search.hybrid(docs, vectors, ["pasta"], [1.0, 0.0], "id", "vid", "e").collect()}
+    hits = {r.id: (r.keyword, r.semantic) for r in search.hybrid(docs, vectors, ["mosses"], [1.0, 0.0], "id", "vid", "e").collect()}
     assert hits == {1: (False, True), 2: (True, True), 9: (False, True)}
     lift = spark.createDataFrame([("b", 1.0)], "o string, lift double")
     scored = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "o string, score double")
@@ -114,9 +117,105 @@ def test_search(spark):
 def test_passages(spark):
     df = spark.createDataFrame([(1, "One a. Two b. Three c")], "id int, text string")
     assert [r.context for r in chunk.sentence_context(df, "id").orderBy("seq").collect()] == ["One a. Two b.", "One a. Two b. Three c", "Two b. Three c"]
-    text = "\n".join(["x" * 700] * 5 + ["y" * 100])
-    got = chunk.passages(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string"), "id").orderBy("id", "seq").collect()
-    assert [len(r.passage) for r in got if r.id == 1] == [1401, 1401, 801] and "\n".join(r.passage for r in got if r.id == 1) == text
+    made = lambda t: [r.passage for r in chunk.passages(spark.createDataFrame([(1, t)], "id int, text string"), "id").orderBy("seq").collect()]
+    line = "Words of a line that has many letters, and an end."  # 50 bytes
+    # a passage is closed once it has 320 bytes, or before a line that takes it over 1 400
+    assert made("\n".join([line] * 16)) == [" ".join([line] * 7), " ".join([line] * 7), " ".join([line] * 2)]
+    assert made("\n".join(["y" * 300 + ".", "z" * 1200 + "."])) == ["y" * 300 + ".", "z" * 1200 + "."]
+    # a heading stays with its paragraph, however long what is before it
+    assert made("\n".join(["y" * 400 + ".", "On headings", line])) == ["y" * 400 + ".", f"On headings: {line}"]
+    # what is over 2 400 bytes is cut at sentence ends, what has under 20 letters and digits goes
+    sentence = "A sentence of some length " + "é" * 300 + "."
+    assert made(" ".join([sentence] * 5)) == [f"{sentence} {sentence}", f"{sentence} {sentence}", sentence]
+    assert made("tiny, text.\n--\n\n") == [] and made("") == [] and made(None) == []
+    long = "q" * 5000
+    assert made(long) == [long]
+
+
+def test_headings(spark):
+    df = spark.createDataFrame([(1, "lead in.\nFirst\nbody one.\nSecond part\nbody two;"), (2, "no heading here,"), (2, "Other\nbody.")], "id int, text string")
+    got = sorted((r.id, r.seq, r.line, r.heading) for r in chunk.headings(df, "id").collect() if r.id == 1)
+    assert [g[3] for g in got] == [None, "First", "First", "Second part", "Second part"]
+    assert sorted(r.heading or "" for r in chunk.headings(df, "id").filter("id = 2").collect()) == ["", "Other", "Other"]
+
+
+def test_index_and_modes(spark, tmp_path):
+    rnd = random.Random(1)
+    docs = [(k, " ".join(rnd.choice(["ape", "bee", "cat", "dog", "Élan", "apex"]) for _ in range(rnd.randint(0, 30)))) for k in range(80)] + [(90, None)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    search.write_index(df, "id", str(tmp_path / "index"))
+    for terms, prefix in ((["elan", "bee"], False), (["cat", "ap"], True), (["cat", "a"], True), (["none"], False)):
+        direct = {r.id: round(r.score, 9) for r in search.bm25(df, "id", terms, prefix=prefix).collect()}
+        assert direct == {r.id: round(r.score, 9) for r in search.bm25_indexed(spark, str(tmp_path / "index"), "id", terms, prefix).collect()}
+    read = search.bm25_indexed(spark, str(tmp_path / "index"), "id", ["bee"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(term,bee)" in read or "In(term" in read or "EqualTo(term,bee)" in read
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])], "vid int, e array<double>")
+    some = spark.createDataFrame([(1, "cat"), (2, "dog"), (3, "ape")], "id int, text string")
+    found = lambda mode: {r.id: (r.keyword, r.semantic) for r in search.hybrid(some, vectors, ["dog"], [1.0, 0.0], "id", "vid", "e", mode=mode).collect()}
+    assert found("keyword") == {2: (True, False)}
+    assert found("semantic") == {1: (False, True), 3: (False, True), 2: (False, True)}
+    assert found("hybrid") == {1: (False, True), 3: (False, True), 2: (True, True)}
+    owners = spark.createDataFrame([("source", k, 1.0) for k in range(60)] + [("note", k, 2.0) for k in range(20)] + [("file", 1, 0.1)], "kind string, owner int, score double")
+    assert sorted(r["count"] for r in search.owner_caps(owners, "kind").groupBy("kind").count().collect()) == [1, 10, 50]
+    assert [search.candidate_limit(n) for n in (1, 50, 500)] == [64, 200, 1000]
+    with pytest.raises(ValueError):
+        search.same_corpus("a", "b")
+
+
+def test_snippets_against_plain_rules(spark):
+    rnd = random.Random(3)
+    words = ["alpha", "Beta,", "(gamma)", "δέλτα", "license", "x"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 70))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in df.select("id", tx.snippet(F.col("t"), ["beta", "gamma"], 12).alias("s")).collect():
+        parts = texts[r.id].split(" ")
+        bare = ["".join(c for c in p if c.isalnum()).lower() for p in parts]
+        first = next((i for i, p in enumerate(bare) if p in ("beta", "gamma")), 0)
+        start = max(0, min(first - 3, len(parts) - 12))
+        body = " ".join(parts[start : start + 12]).replace("Beta", "[[Beta]]").replace("gamma", "[[gamma]]")
+        assert r.s == ("…" if start else "") + body + ("…" if start + 12 < len(parts) else "")
+
+
+def test_trees_of_any_depth(spark):
+    tree = spark.createDataFrame([(str(k), str(k - 1) if k else None) for k in range(20)] + [("70", "3"), ("70", "5"), ("a", "b"), ("b", "a")], "id string, parent string")
+    assert len(rows(graph.descendants(tree, "0"))) == 21 and rows(graph.descendants(tree, "a")) == [("a",), ("b",)]
+    found = {r.id: r.depth for r in graph.levels(tree).collect()}
+    assert len(found) == 21 and found["19"] == 19 and found["70"] == 4
+
+
+def test_co_occurrence_of_a_hot_key(spark):
+    bridge = [(1, v) for v in range(90)] + [(k, v) for k in range(2, 9) for v in range(k)] + [(1, 5)]
+    df = spark.createDataFrame(bridge, "k int, v int")
+    want = {}
+    for k in range(1, 9):
+        values = sorted({v for x, v in bridge if x == k})
+        for i, a in enumerate(values):
+            for b in values[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    for block in (256, 10):
+        assert {(r.a, r.b): r.n for r in graph.co_occurrence(df, "k", "v", block=block).collect()} == want
+
+
+def test_runs_over_partitions(spark):
+    rnd = random.Random(2)
+    labels = [rnd.choice("ab") if k % 400 > 150 else "c" for k in range(2500)]
+    df = spark.createDataFrame([(k, None if x == "b" else x, float(k % 7)) for k, x in enumerate(labels)], "i int, t string, v double").repartition(9)
+    for how in ("sum", "count", "average"):
+        want, at = [], 0
+        while at < 2500:
+            end = at
+            while end < 2500 and labels[end] == labels[at]:
+                end += 1
+            part = [float(k % 7) for k in range(at, end)]
+            want.append((len(want) + 1, None if labels[at] == "b" else labels[at], {"sum": sum(part), "count": len(part), "average": sum(part) / len(part)}[how], end - at))
+            at = end
+        got = [tuple(r) for r in sheet.subtotal_runs(df, "t", "v", ["i"], how).orderBy("run").collect()]
+        assert [(*g[:2], round(g[2], 9), g[3]) for g in got] == [(*w[:2], round(w[2], 9), w[3]) for w in want]
+    assert sheet.subtotal_runs(df.limit(0), "t", "v", ["i"]).count() == 0
+    values = sorted(((k * 37) % 1009 for k in range(1000)), reverse=True)
+    numbers = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
+    assert [sheet.kth_value(numbers, "x", k) for k in (1, 500, 1000)] == [float(values[k - 1]) for k in (1, 500, 1000)]
+    assert sheet.kth_value(numbers, "x", 3, False) == float(sorted(values)[2])
 
 
 def test_graph(spark):
