@@ -3,7 +3,7 @@
 The tree is fitted on a sample of at most about ``SAMPLE`` vectors (a documented bound); every vector is then filed
 in the leaf it descends to. A query walks the tree best bin first: a priority queue holds the open nodes by
 distance to their centres, the nearest is opened next, and a leaf that is popped is visited. How many leaves
-are visited is calibrated: for at most about ``PROBES`` queries the true neighbours are found by brute force over all
+are visited is calibrated (a walk goes on past that until its leaves hold k + 1 vectors): for at most about ``PROBES`` queries the true neighbours are found by brute force over all
 vectors, and visits are widened until ``recall`` of them are reached.
 
 Equal vectors of one leaf are one entry with their smallest ids (no more than k + 1 can matter), combined before
@@ -76,14 +76,15 @@ class Tree:
             open_nodes += [(kid, rows[at == c]) for c, kid in enumerate(kids) if (at == c).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int | None = None) -> list[int]:
-        """Leaves in the order in which a best-bin-first walk visits them."""
-        out, queue = [], [(0.0, 0)]
-        while queue and (most is None or len(out) < most):
+    def visits(self, query: np.ndarray, most: int | None = None, need: int = 0, held: dict[int, int] | None = None) -> list[int]:
+        """Leaves in the order in which a best-bin-first walk visits them: ``most``, and more until they hold ``need`` vectors (``held``: by leaf)."""
+        out, queue, there = [], [(0.0, 0)], 0
+        while queue and (most is None or len(out) < most or there < need):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(node)
+                there += (held or {}).get(node, need)
                 continue
             gap = self.stacked[kids] - query
             for d, kid in zip((gap * gap).sum(axis=1).tolist(), kids, strict=True):
@@ -165,11 +166,11 @@ def calibrate(x: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: floa
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, piece: int = PIECE, askers: int = ASKERS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score and visited (leaves searched for the query): the k nearest found of each row whose id is divisible by ``every``."""
     x = cut(usable(embeddings))
     spark = embeddings.sparkSession
     fit = [r["v"] for r in _threshold(x.select("vec_id", "v"), sample, "fit").select("v").collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, visited int"
     if not fit:
         return spark.createDataFrame([], schema)
     tree = Tree(np.array(fit))
@@ -188,35 +189,37 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
 
     def walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         vectors = _matrix(batch["v"])
-        leaves = [shared.value.visits(q, visits) for q in vectors]
+        leaves = [shared.value.visits(q, visits, k + 1, held) for q in vectors]
         yield pa.record_batch([batch["vec_id"], pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "query", "leaves"])
 
     filed = map_arrow(x, file_all, "leaf long, raw binary, ids array<long>")
     filed = filed.groupBy("leaf", "raw").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     filed = cut(filed)
-    walks = cut(map_arrow(queries, walk, "query_id long, query binary, leaves array<long>").select("query_id", "query", F.explode("leaves").alias("leaf")))
-    # one short row for each leaf, of which the tree has a bounded number
+    # one short row for each leaf, of which the tree has a bounded number; ids are counted up to k + 1 for equal vectors
+    held = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    held = {node: held.get(node, 0) for node, kids in enumerate(tree.children) if not kids}
+    walks = cut(map_arrow(queries, walk, "query_id long, query binary, leaves array<long>").select("query_id", "query", F.size("leaves").alias("visited"), F.explode("leaves").alias("leaf")))
     pieces = filed.groupBy("leaf").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
     turns = walks.groupBy("leaf").agg(F.ceil(F.count("*") / askers).cast("int").alias("turns"))
     shape = F.broadcast(pieces.join(turns, "leaf"))
     left = filed.join(shape, "leaf").withColumn("piece", F.pmod(F.xxhash64("raw"), F.col("pieces"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("leaf", "piece", F.col("turn").cast("long").alias("turn"), "raw", "ids")
-    right = walks.join(shape, "leaf").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("leaf", F.col("piece").cast("long").alias("piece"), "turn", "query_id", "query")
+    right = walks.join(shape, "leaf").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("leaf", F.col("piece").cast("long").alias("piece"), "turn", "query_id", "query", "visited")
 
     def nearest(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, float, int]] = []
         if stored.num_rows and asked.num_rows:
             vectors = np.frombuffer(b"".join(stored["raw"].to_pylist())).reshape(stored.num_rows, -1)
             wanted = np.frombuffer(b"".join(asked["query"].to_pylist())).reshape(asked.num_rows, -1)
-            own = asked["query_id"].to_numpy()
-            out = [(int(own[i]), vec, d) for i, found in _top(wanted, own, vectors, stored["ids"].to_pylist(), k) for d, vec, _ in found]
-        cols = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            own, visited = asked["query_id"].to_numpy(), asked["visited"].to_numpy()
+            out = [(int(own[i]), vec, d, int(visited[i])) for i, found in _top(wanted, own, vectors, stored["ids"].to_pylist(), k) for d, vec, _ in found]
+        cols = zip(*out, strict=True) if out else ([], [], [], [])
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], ["query_id", "vec_id", "score", "visited"])
 
     keys = ["leaf", "piece", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double, visited int")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.first("visited").alias("visited"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "visited")
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_defined_cases(spark):
     assert search(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(150)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in search(same).filter("query_id = 0").orderBy("rank").collect()] == list(range(1, 11))
+
+
+def test_queries_among_small_leaves_get_k_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(100 * k if k < 30 else 100_000 + k, (rng.normal(size=6) * 1e4).tolist()) for k in range(60)]
+    rows += [(200_000 + k + k // 99, (rng.normal(size=6) * 1e-3).tolist()) for k in range(3000)]
+    rows = [(i, v) for i, v in rows if i < 3000 or i % 100]
+    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.0).collect()
+    per_query = {}
+    for r in found:
+        per_query.setdefault(r.query_id, []).append(r["rank"])
+    assert len(per_query) == 30 and all(sorted(x) == list(range(1, 11)) for x in per_query.values())
+    assert len({r.visited for r in found}) > 1

@@ -1,6 +1,7 @@
 import random
 import re
 
+from lumenfold.llm import decontaminate as module
 from lumenfold.llm.decontaminate import decontaminate
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,9 +42,24 @@ def test_against_brute_force(spark):
     d = spark.createDataFrame([(*r, "z") for r in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    for block in (1 << 24, 300):
-        got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate(d, b, block_bytes=block).collect()]
+    for most in (1 << 20, 300):  # broadcast, joined
+        got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate(d, b, small_bytes=most).collect()]
         assert sorted(got, key=repr) == want
     assert decontaminate(d.limit(0), b).count() == 0
+    assert decontaminate(d.limit(0), b, small_bytes=0).count() == 0
     none = decontaminate(d, b.limit(0))
     assert none.filter("n_hit > 0").count() == 0 and none.count() == len(docs)
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of more grams than winnowing takes at once, with passages across the border."""
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(500)}" for _ in range(30_000)]
+    items = [(1, " ".join(words[k : k + 20])) for k in (5, 16_370)] + [(2, " ".join(words[-13:]))]
+    monkeypatch.setattr(module, "WINNOW_STEP", 1 << 14)
+    docs = [(1, " ".join(words)), (2, " ".join(words[:9_000]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    for most in (1 << 20, 0):
+        got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate(d, b, small_bytes=most).collect()]
+        assert sorted(got, key=repr) == want

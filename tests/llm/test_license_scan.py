@@ -26,11 +26,32 @@ def test_against_brute_force(spark):
     for i, t in rows:
         parts = tokens(t or "")
         for name, part, text in TEMPLATES:
-            s = shingles(tokens(text), 5)
-            share = len(s & shingles(parts, 5)) / len(s)
+            s = set(shingles(tokens(text), 5))
+            share = len(s & set(shingles(parts, 5))) / len(s)
             if share >= 0.8:
                 want.add((i, name, part, share))
     got = {(r.doc_id, m["license"], m["part"], m["containment"]) for r in license_scan(df).collect() for m in r.matches}
     assert got == want and len(want) > len(TEMPLATES)
     assert license_scan(df).count() == len(rows)
     assert license_scan(df.limit(0)).count() == 0
+
+
+def test_every_occurrence(spark):
+    notice, header = TEMPLATES[1][2], next(t[2] for t in TEMPLATES if t[:2] == ("MIT", "notice"))
+    filler = lambda n: " ".join(f"w{k}" for k in range(n))
+    text = f"{filler(7)} {header} {filler(40)} {header} {header} {notice} {filler(900)} {header}"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(m["license"], m["lo"], m["hi"]) for m in license_scan(df).first().matches if m["license"] == "MIT"]
+    n, words = len(tokens(header)), tokens(text)
+    want = [k for k in range(len(words)) if words[k : k + n] == tokens(header)]
+    assert got == [("MIT", k, k + n) for k in want] and len(want) == 4
+
+
+def test_many_templates(spark):
+    """A text matches the same whether it is looked for among a few templates or among hundreds."""
+    rnd = random.Random(1)
+    many = [(f"L{k}", "x", " ".join(f"t{rnd.randrange(400)}" for _ in range(rnd.randint(5, 80)))) for k in range(300)]
+    rows = [(k, f"{many[k][2]} {many[k + 1][2]}") for k in range(0, 298, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in license_scan(df, many).collect():
+        assert {f"L{r.doc_id}", f"L{r.doc_id + 1}"} <= {m["license"] for m in r.matches}
