@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenfold.operators.sheet import places
+
+
+#: Distinct keys in a block of an approximate lookup.
+BLOCK_ROWS = 200_000
+
 
 def owner(df: DataFrame, owners: list[tuple[DataFrame, str, str]], key: str, default: Column) -> DataFrame:
     """``df`` with ``owner``: the first of several left-joined tables' values that is there."""
@@ -43,12 +49,47 @@ def lookup_exact(df: DataFrame, table: DataFrame, key: str, table_key: str, valu
     return df.join(first, df[key] == first["_key"], "left").drop("_key")
 
 
-def lookup_approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int = 256) -> DataFrame:
+def match_position(df: DataFrame, table: DataFrame, key: str, table_key: str, order: list[str]) -> DataFrame:
+    """MATCH: ``df`` with ``position``, from 1, of the first row of ``table`` (in ``order``) that has the key; null if none has.
+
+    Positions are those of range-sorted rows, so the table is never in one task.
+    """
+    placed = places(table.select(table_key, *order), [F.col(c).asc() for c in order])
+    first = placed.groupBy(F.col(table_key).alias("_key")).agg(F.min("place").alias("position"))
+    return df.join(first, df[key] == first["_key"], "left").drop("_key")
+
+
+def index_value(df: DataFrame, table: DataFrame, position: str, value: str, order: list[str]) -> DataFrame:
+    """INDEX: ``df`` with ``found``, the value of the table's row at ``position``."""
+    placed = places(table.select(F.col(value).alias("_value"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order))), [F.col(f"_o{k}").asc() for k in range(len(order))])
+    placed = placed.select(F.col("place").alias("_place"), F.col("_value").alias("found"))
+    return df.join(placed, df[position] == placed["_place"], "left").drop("_place")
+
+
+def lookup_across(df: DataFrame, table: DataFrame, key: str, row_key: str, row: str) -> DataFrame:
+    """HLOOKUP: ``df`` with ``found``, the cell of the table's row ``row`` (by its ``row_key``) in the column named by the key.
+
+    The columns are a header known when the plan is made, so the row is turned into (column, value) by unpivot.
+    """
+    names = [c for c in table.columns if c != row_key]
+    cells = table.filter(F.col(row_key).cast("string") == row).unpivot([row_key], names, "_column", "found").select("_column", "found")
+    return df.join(cells, df[key] == cells["_column"], "left").drop("_column")
+
+
+def lookup_approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int | None = None) -> DataFrame:
     """VLOOKUP of a sorted range: the value of the last key that isn't greater.
 
     Both sides are put in one order and the last table row before each is carried on, within blocks of the
-    keys' order; what a block begins with is the last table row before it. So there is no range join.
+    keys' order; what a block begins with is the last table row before it. So there is no range join. Equal wanted
+    keys are looked up once, so a key that a third of the rows hold is one row here, and blocks have as many rows at any size.
     """
+    blocks = blocks or max(8, -(-df.select(key).distinct().count() // BLOCK_ROWS))
+    wanted = df.select(F.col(key).alias("_w")).distinct()
+    found = _approximate(wanted, table, "_w", table_key, value, blocks).select(F.col("_w"), "found")
+    return df.join(found, df[key].eqNullSafe(found["_w"]), "left").drop("_w")
+
+
+def _approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int) -> DataFrame:
     kind = table.schema[value].dataType
     rows = df.select(F.col(key).cast("double").alias("k"), F.lit(1).alias("side"), F.struct(*(df[c] for c in df.columns)).alias("row"), F.lit(None).cast(kind).alias("v"))
     marks = rows.filter("k is not null").unionByName(table.filter(F.col(table_key).isNotNull()).select(F.col(table_key).cast("double").alias("k"), F.lit(0).alias("side"), F.col(value).alias("v")), allowMissingColumns=True)

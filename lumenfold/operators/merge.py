@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenfold.session import checkpoint
+
 
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``target`` with ``changes`` (one row for each key): a known value is replaced by a known one, never by none; new keys are added."""
@@ -97,9 +102,83 @@ def last_good(fetches: DataFrame, key: str, value: str, when: str, error: str) -
     return good.groupBy(key).agg(F.max_by(value, when).alias(value), F.max(when).alias(when))
 
 
+def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables without the deleted rows and what hangs on them, tombstones (table, key)).
+
+    links: (child, its column, parent, the parent's key), parents before their children; gone: keys to delete,
+    by table. A child's row goes if its parent's key goes; its own key goes on to its children.
+    """
+    keys = {parent: key for _, _, parent, key in links}
+    dead = {name: checkpoint(df.distinct()) for name, df in gone.items()}
+    for child, column, parent, key in links:
+        if parent not in dead:
+            continue
+        hit = tables[child].join(dead[parent].select(F.col(key).alias(column)), column, "left_semi")
+        own = keys.get(child)
+        if own:
+            lost = hit.select(own).distinct()
+            dead[child] = checkpoint(dead[child].unionByName(lost).distinct() if child in dead else lost)
+        tables = {**tables, child: tables[child].join(dead[parent].select(F.col(key).alias(column)), column, "left_anti").select(tables[child].columns)}
+    marks = None
+    for name, df in dead.items():
+        tables = {**tables, name: tables[name].join(df, df.columns, "left_anti").select(tables[name].columns)}
+        part = df.select(F.lit(name).alias("table"), F.col(df.columns[0]).cast("string").alias("key"))
+        marks = part if marks is None else marks.unionByName(part)
+    return tables, marks
+
+
+def publish(df: DataFrame, folder: str) -> str:
+    """A new version of a table under ``folder``, made current by one small write once all its rows are there."""
+    version = uuid4().hex
+    df.write.parquet(f"{folder}/{version}")
+    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/current")
+    return version
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The version that was published last; readers of an older one aren't disturbed."""
+    version = spark.read.parquet(f"{folder}/current").orderBy(F.desc("at")).first()["version"]
+    return spark.read.parquet(f"{folder}/{version}")
+
+
+def property_names(tables: list[DataFrame], json_columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(name): the columns of some tables and the keys in some JSON columns, once each."""
+    spark = (tables or [json_columns[0][0]])[0].sparkSession
+    names = spark.createDataFrame([(c,) for t in tables for c in t.columns], "name string")
+    for df, column in json_columns:
+        names = names.unionByName(df.select(F.explode(F.json_object_keys(column)).alias("name")))
+    return names.filter("name is not null").distinct()
+
+
+def folder_counts(manifest: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, files) of each folder: the manifest's paths directly in it; folders without files have none."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    counts = manifest.groupBy(parent.alias("folder")).agg(F.count("*").alias("files"))
+    return folders.join(counts, "folder", "left").select("folder", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def without_details(cites: DataFrame, works: DataFrame, ref: str, key: str) -> DataFrame:
+    """(ref, n): cited works that have no row of their own, with how often they are cited."""
+    return cites.groupBy(F.col(ref).alias("ref")).agg(F.count("*").alias("n")).join(works.select(F.col(key).alias("ref")), "ref", "left_anti")
+
+
+def stale_since(df: DataFrame, fetched: str, now: Column, days: int = 7) -> DataFrame:
+    """Rows that were never fetched, or more than ``days`` before ``now``."""
+    return df.filter(F.col(fetched).isNull() | (F.col(fetched) < now - F.make_dt_interval(F.lit(days))))
+
+
+def merge_patch(target: Column, patch: Column) -> Column:
+    """A flat JSON merge patch of texts (map columns): the patch's values replace, its nulls remove."""
+    keep = F.map_filter(target, lambda k, v: ~F.coalesce(F.map_contains_key(patch, k), F.lit(False)))
+    return F.map_concat(keep, F.map_filter(patch, lambda k, v: v.isNotNull()))
+
+
 def directory(manifest: DataFrame, prefix: str, most: int = 5000) -> DataFrame:
-    """(name, is_dir): what is directly under ``prefix`` in a flat manifest (path), folders first, case ignored."""
+    """(name, is_dir, truncated): what is directly under ``prefix`` in a flat manifest (path), folders first, case ignored; ``truncated`` if there is more than ``most``."""
     start = prefix.rstrip("/") + "/" if prefix else ""
     rest = F.substring("path", len(start) + 1, 1 << 20)
     below = manifest.filter(F.col("path").startswith(start)).select(F.split(rest, "/")[0].alias("name"), (F.size(F.split(rest, "/")) > 1).alias("is_dir"))
-    return below.distinct().orderBy(F.desc("is_dir"), F.lower("name"), "name").limit(most)
+    listed = below.distinct().orderBy(F.desc("is_dir"), F.lower("name"), "name").limit(most + 1)
+    place = F.row_number().over(W.orderBy(F.desc("is_dir"), F.lower("name"), "name"))  # of at most ``most`` + 1 rows
+    more = F.count("*").over(W.partitionBy()) > most
+    return listed.select("name", "is_dir", more.alias("truncated"), place.alias("_place")).filter(F.col("_place") <= most).drop("_place")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions.formula import pivot_formula
+from lumenfold.operators.sheet import places
 
 # Aggregations of a data field.
 AGGREGATES = "sum count countNums average max min product".split()
@@ -117,6 +116,46 @@ def keep_members(df: DataFrame, member: str, value: str, how: str, test: str, *b
     return df.join(totals.select(member), member, "left_semi")
 
 
+def keep(df: DataFrame, labels: list[Column], values: list[tuple]) -> DataFrame:
+    """Label filters first, then every value filter on what they leave: value filters don't stack on one another."""
+    for test in labels:
+        df = df.filter(test)
+    out = df
+    for f in values:
+        out = out.join(keep_members(df, *f).select(f[0]).distinct(), f[0], "left_semi")
+    return out
+
+
+def guard(df: DataFrame, header: list[str], rows: int, members: dict[str, DataFrame]) -> DataFrame:
+    """(problem, name): why a saved pivot must not be refreshed: header drift, a narrowed source, items that are new.
+
+    header and rows: the source as it was saved; members: (name) of the fields whose items were listed. No row: go on.
+    """
+    spark = df.sparkSession
+    drift = [("header", c) for c in header if c not in df.columns] + [("header", c) for c in df.columns if c not in header]
+    out = spark.createDataFrame(drift, "problem string, name string")
+    out = out.unionByName(df.agg(F.count("*").alias("n")).filter(F.col("n") < rows).select(F.lit("narrowed").alias("problem"), F.col("n").cast("string").alias("name")))
+    for name, known in members.items():
+        if name in df.columns:
+            new = df.select(F.col(name).cast("string").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
+            out = out.unionByName(new.select(F.lit("new item").alias("problem"), "name"))
+    return out
+
+
+def grow(layout: DataFrame, df: DataFrame, name: str, order: str) -> DataFrame:
+    """(member, place): a saved layout with the members it lacks after it, in the order in which they are first seen."""
+    seen = member_order(df, name, order).join(layout.select(F.col("member").alias(name)), name, "left_anti")
+    last = layout.agg(F.max("place")).first()[0] or 0
+    placed = places(seen, [F.col("first_seen").asc(), F.col(name).asc()])
+    return layout.select("member", "place").unionByName(placed.select(F.col(name).alias("member"), (F.col("place") + last).alias("place")))
+
+
+def chart(cells: DataFrame, category: str, series: str | None, value: str) -> DataFrame:
+    """(category, series, value): a pivot's own cells as a chart's points; totals aren't points."""
+    points = cells.filter((F.col("row_level") == 1) & (F.col("column_level") == (1 if series else 0)))
+    return points.select(F.col(category).cast("string").alias("category"), (F.col(series).cast("string") if series else F.lit(value)).alias("series"), F.col(value).alias("value"))
+
+
 def date_group(c: Column, by: str) -> Column:
     """year, quarter (of any year) or month (of any year)."""
     return {"year": F.year(c).cast("string"), "quarter": F.concat(F.lit("Q"), F.quarter(c).cast("string")), "month": F.date_format(c, "MMM")}[by]

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of queries."""
-    from lumenfold.plans import catalog, library, retrieval, sheets, writes  # noqa: F401
+    from lumenfold.plans import catalog, library, retrieval, sheets, tools, writes  # noqa: F401

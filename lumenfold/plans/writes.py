@@ -107,7 +107,7 @@ def lookup_last_good(spark, sf):
     return merge.last_good(e, "user_id", "value", "ts", "error").select("user_id", "value", "ts")
 
 
-@query("with d as (select distinct source || '/' || lang as p from documents) select string_split(p, '/')[2] as name, false as is_dir from d where p like 'src0/%' union all select 'sub', true where exists (select 1 from documents where source = 'src0')")
+@query("with d as (select distinct source || '/' || lang as p from documents) select string_split(p, '/')[2] as name, false as is_dir, false as truncated from d where p like 'src0/%' union all select 'sub', true, false where exists (select 1 from documents where source = 'src0')")
 def directory_listing(spark, sf):
     d = table(spark, sf, "documents")
     paths = d.select(F.concat_ws("/", "source", "lang").alias("path")).unionByName(d.select(F.concat_ws("/", "source", F.lit("sub"), "lang").alias("path"))).distinct()

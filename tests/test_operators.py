@@ -236,4 +236,5 @@ def test_merges(spark):
     wanted = spark.createDataFrame([(1, "a", "A"), (2, "x", "B")], "k int, expected string, proposed string")
     assert rows(merge.update_expected(target, wanted, "k", "v").select("k", "v", "applied")) == [(1, "A", True), (2, "b", False)]
     paths = spark.createDataFrame([("r/a/x",), ("r/a/y",), ("r/B",), ("q/z",)], "path string")
-    assert [tuple(r) for r in merge.directory(paths, "r").collect()] == [("a", True), ("B", False)]
+    assert [tuple(r) for r in merge.directory(paths, "r").collect()] == [("a", True, False), ("B", False, False)]
+    assert [tuple(r) for r in merge.directory(paths, "r", 1).collect()] == [("a", True, True)]
