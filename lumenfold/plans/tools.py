@@ -14,6 +14,7 @@ from lumenfold.operators import pivot as pv
 from lumenfold.operators.filters import Field, Filter, apply
 from lumenfold.plans.registry import query
 from lumenfold.session import shared_folder
+from lumenfold.sources import delimited, library
 from lumenfold.sources.tables import table
 
 
@@ -317,3 +318,108 @@ def numeric_suggestion(spark, sf):
     field, op, value = facets.numeric_suggestion(">30")
     hit = {"gt": F.col("p_size") > value, "gte": F.col("p_size") >= value, "is": F.col("p_size") == value}[op]
     return table(spark, sf, "part").groupBy(F.when(hit, op).otherwise("rest").alias("op")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """with d as (select doc_id, n_chars from documents where contains(' ' || array_to_string(list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''), ' ') || ' ', ' license ') and doc_id in (select vec_id from embeddings))
+       select doc_id, (select count(*) from d)::bigint as total from d order by n_chars desc, doc_id limit 10 offset 10"""
+)
+def listing_page(spark, sf):
+    """The second page of the documents that hold a word and are in a project (those with vectors), and how many there are."""
+    from lumenfold.operators.search import phrase_filter
+
+    found = phrase_filter(table(spark, sf, "documents", spread=True), "text", "license")
+    found = found.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_chars")
+    total = found.count()
+    return found.orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(10).select("doc_id", F.lit(total).cast("long").alias("total"))
+
+
+@query(
+    """select 'r' || r_regionkey as id, 0 as depth, 'r' || r_regionkey as root from region union all select 'n' || n_nationkey, 1, 'r' || n_regionkey from nation
+       union all select 'c' || c_custkey, 2, 'r' || n_regionkey from customer join nation on c_nationkey = n_nationkey"""
+)
+def tree_levels(spark, sf):
+    """Regions, nations and customers as one tree."""
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    tree = table(spark, sf, "region").select(node("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    tree = tree.unionByName(table(spark, sf, "nation").select(node("n", "n_nationkey").alias("id"), node("r", "n_regionkey").alias("parent")))
+    tree = tree.unionByName(table(spark, sf, "customer").select(node("c", "c_custkey").alias("id"), node("n", "c_nationkey").alias("parent")))
+    return graph.levels(tree)
+
+
+@query(
+    """with r as (select p_partkey as ref, lower(p_brand) as s, (1950 + p_size)::varchar as y from part), c as (select s_suppkey as id, 'brand#' || (s_suppkey % 25) as s, (1950 + s_suppkey % 50)::varchar || case when s_suppkey % 4 = 0 then 'b' else '' end as y from supplier)
+       select id, ref from c join r using (s) where c.y = r.y or c.y[1:4] = r.y"""
+)
+def citation_entries(spark, sf):
+    """Author-year citations and the references that they can mean."""
+    refs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("surname"), (1950 + F.col("p_size")).cast("string").alias("year"))
+    year = F.concat((1950 + F.col("s_suppkey") % 50).cast("string"), F.when(F.col("s_suppkey") % 4 == 0, "b").otherwise(""))
+    cites = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("BRAND#"), (F.col("s_suppkey") % 25).cast("string")).alias("surname"), year.alias("year"))
+    return joins.citation_entries(cites, refs)
+
+
+@query("select p_partkey, p_name || ' ' || p_type || ' ' || p_name as text from part")
+def abstract_roundtrip(spark, sf):
+    """Texts turned into inverted indexes and back."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")
+    at = lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, at(w))))
+    return table(spark, sf, "part").select("p_partkey", tx.abstract_text(index).alias("text"))
+
+
+@query(
+    """select p_partkey, ['D', 'F', 'S', 'T'][p_partkey % 4 + 1] || p_size as topic, 'note' as kind, p_partkey::varchar as id, 's' || p_size as anchor, 'a wordsplit and Non-' || chr(10) || 'US' as joined, p_brand || ' ' || p_type as person from part"""
+)
+def text_extractors(spark, sf):
+    """Topic ids, note links, words split by line ends and display names, of texts made of the parts."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    topic = F.concat(F.lit("https://example.org/"), F.array(*map(F.lit, ("domains/", "fields/", "subfields/", "T")))[(F.col("p_partkey") % 4).cast("int")], size)
+    link = tx.note_links(F.concat(F.lit("see [this](lib://note/"), key, F.lit("#s"), size, F.lit(") and [that](http://x)")), "lib")[0]
+    person = F.struct(F.col("p_type").alias("family"), F.col("p_brand").alias("given"), F.lit(" ").alias("literal"))
+    from lumenfold.operators.filters import display_name
+
+    made = {"topic": tx.topic_id(topic), "kind": link["kind"], "id": link["id"], "anchor": link["anchor"], "joined": tx.dehyphenate(F.lit("a word-\nsplit and Non-\nUS")), "person": display_name(person)}
+    return table(spark, sf, "part").select("p_partkey", *(c.alias(n) for n, c in made.items()))
+
+
+@query(
+    """with p as (select *, (1950 + p_size)::varchar as y, '10.1/' || p_partkey as d from part)
+       select p_partkey, '@article{' || regexp_replace(lower(p_type), '[^a-z]', '', 'g') || y || ',' || chr(10) || '  title = {' || p_name || '},' || chr(10) || '  author = {' || p_type || ', Ada},' || chr(10) || '  year = {' || y || '},' || chr(10) || '  doi = {' || d || '},' || chr(10) || '}' as entry,
+              p_type || ', A. (' || y || '). ' || p_name || '. ' || p_brand || '.' as reference, p_name as title_again, y::int as year_again from p"""
+)
+def references_export(spark, sf):
+    """BibTeX and APA of the parts, and the BibTeX read again."""
+    part, year = table(spark, sf, "part"), 1950 + F.col("p_size")
+    authors = F.array(F.concat("p_type", F.lit(", Ada")))
+    doi = F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string"))
+    rows = part.select("p_partkey", library.bibtex(F.col("p_name"), authors, year, doi).alias("entry"), library.apa(F.col("p_name"), authors, year, F.col("p_brand")).alias("reference"), doi.alias("doi"))
+    again = library.parse_bibtex(rows, "entry").select("doi", F.col("title").alias("title_again"), F.col("year").alias("year_again"))
+    return rows.join(again, "doi").drop("doi")
+
+
+@query("select s_suppkey::double as s_suppkey, s_name || ', \"a\"' || chr(10) || 'b;c' as name, '00' || s_nationkey as code, s_acctbal from supplier")
+def delimited_roundtrip(spark, sf):
+    """A table written as CSV, with quotes, line ends and leading zeros, and read again with its numbers inferred."""
+    folder = f"{shared_folder(spark)}/csv-{uuid4()}"
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "a"\nb;c')).alias("name"), F.concat(F.lit("00"), F.col("s_nationkey").cast("string")).alias("code"), "s_acctbal")
+    delimited.write_csv(rows, folder)
+    return delimited.infer_numbers(delimited.read_delimited(spark, folder))
+
+
+@query(
+    "select s_suppkey, s_name || chr(9) || replace('^a ^^b^^^', '^', chr(34)) || chr(9) || coalesce(nullif(s_nationkey, 3)::varchar, '') as line from supplier"
+)
+def clipboard_rows(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.lit('a "b"').alias("x"), F.nullif("s_nationkey", F.lit(3)).alias("n"))
+    return s.select("s_suppkey", delimited.tsv_rows(s.drop("s_suppkey")).alias("line"))
+
+
+@query(
+    """with l as (select p_partkey, p_type as x from part) select p_partkey, x as cell, 'p_type' as "column" from l where contains(lower(x), 'promo') union all select p_partkey, p_name, 'p_name' from part where contains(lower(p_name), 'promo')"""
+)
+def cell_search(spark, sf):
+    from lumenfold.operators.sheet import find_cells
+
+    found = find_cells(table(spark, sf, "part"), ["p_name", "p_type"], "Promo")
+    return found.select("p_partkey", F.col("cell.value").alias("cell"), F.col("cell.column").alias("column"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import abstract_text, html_to_text
@@ -87,11 +88,23 @@ def apa(title: Column, authors: Column, year: Column, venue: Column) -> Column:
     return F.concat(joined, F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit("). "), title, F.lit("."), F.when(venue.isNotNull(), F.concat(F.lit(" "), venue, F.lit("."))).otherwise(F.lit("")))
 
 
-def folder(spark: SparkSession, path: str, most: int = 50_000) -> DataFrame:
-    """(path, name, size, modified) of the files under a folder, without their contents; hidden ones are left out."""
+# Folders that a walk doesn't enter.
+SKIPPED = ".git .svn node_modules __pycache__ .venv".split()
+
+
+def folder(spark: SparkSession, path: str, most: int = 50_000, depth: int = 32) -> DataFrame:
+    """(path, name, size, modified, truncated) of the files under a folder, without their contents.
+
+    Hidden files, SKIPPED folders and what is over ``depth`` folders down are left out; ``truncated`` says whether there are more than ``most``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(~F.col("name").startswith(".")).orderBy("path").limit(most)
+    below = F.regexp_replace("path", r"^.*?\Q" + path.split("://")[-1].rstrip("/") + r"\E/", "")
+    rest = F.split(below, "/")
+    files = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), rest.alias("_rest"))
+    files = files.filter(~F.col("name").startswith(".") & ~F.arrays_overlap("_rest", F.array(*map(F.lit, SKIPPED))) & (F.size("_rest") <= depth + 1)).drop("_rest")
+    listed = files.orderBy("path").limit(most + 1)
+    place = F.row_number().over(W.orderBy("path"))  # of at most ``most`` + 1 rows
+    return listed.select("*", (F.count("*").over(W.partitionBy()) > most).alias("truncated"), place.alias("_place")).filter(F.col("_place") <= most).drop("_place")
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:

@@ -16,14 +16,13 @@ def tail(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def upsert_batches(stream: DataFrame, key: str, version: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def upsert_batches(stream: DataFrame, key: str, version: str, target: str, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
     """Keep, in ``target``, the newest version of each key, batch by batch.
 
-    A batch only rewrites the buckets (of the key's hash) that it touches, into a new generation of files that
+    A batch only rewrites the buckets (of the key's hash) that it touches (more ``buckets`` for a larger table; their number stays as it is once chosen), into a new generation of files that
     dynamic partition overwrite swaps in; replaying a batch after a failure gives the same table.
     """
     spark = stream.sparkSession
-    buckets = 64
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
