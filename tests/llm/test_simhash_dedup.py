@@ -67,3 +67,9 @@ def test_crowds_give_the_same_parts(spark):
     for crowd in (4096, 5):
         got = classes([(f, f) for f in fps] + [(r.a % (1 << 64), r.b % (1 << 64)) for r in links(df, crowd).collect()])
         assert all((got[a] == got[b]) == (want[a] == want[b]) for a in fps for b in list(fps)[:40])
+
+
+def test_very_long_texts():
+    """More shingles than are counted at once."""
+    text = " ".join(f"w{k * 7919 % 100_003}" for k in range(150_000))
+    assert fingerprint(text) == plain_fingerprint(text)
