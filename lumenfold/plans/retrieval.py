@@ -180,7 +180,7 @@ _SILENT = "|".join(f"<{t}.*?</{t}" for t in "script style noscript svg nav foote
 @query(
     rf"""with a as (select page_id, regexp_replace(html, '(?is)(?:{_SILENT})[^>]*(?:>|$)|(<[^>]*>)', '\1', 'g') as x from pages),
         b as (select page_id, regexp_replace(x, '<[^>]*$', '') as x from a),
-        c as (select page_id, replace(regexp_replace(x, '(<)/*(?:p|div|br|li|h[1-5]|tr|section|article|blockquote)[^>]*>|<[^>]*>', '\\1', 'gi'), '<', chr(10)) as x from b)
+        c as (select page_id, replace(regexp_replace(x, '(<)/*(?:p|div|br|li|h[1-5]|tr|section|article|blockquote)[^>]*>|<[^>]*>', '\1', 'gi'), '<', chr(10)) as x from b)
         select page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') as text from c"""
 )
 def html_to_text(spark, sf):
