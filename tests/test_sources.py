@@ -51,7 +51,7 @@ def test_folder(spark, tmp_path):
     (tmp_path / "sub" / "b.bin").write_bytes(b"12345")
     files = {r["name"]: r["size"] for r in library.folder(spark, str(tmp_path)).collect()}
     assert files == {"a.html": 9, "b.bin": 5}
-    assert [(r.kind, r.text) for r in library.attachments(spark, str(tmp_path)).collect()] == [("html", "Hi")]
+    assert [(r.kind, r.text) for r in library.attachments(spark, str(tmp_path)).collect()] == [("html", "\nHi\n")]
 
 
 def test_streamed_upserts_equal_a_batch(spark, tmp_path):
