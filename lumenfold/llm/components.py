@@ -32,13 +32,22 @@ def forests(edges: DataFrame, flush: int = 1 << 21) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges (16 bytes each), after every task has thinned its own to a forest, up to which one task finds all parts.
+SMALL_EDGES = 1 << 20
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = SMALL_EDGES) -> DataFrame:
     """(node, root) for each node of the edges (a long, b long); root is the part's least node.
 
     Each step is an aggregation (least neighbour, combined before the shuffle) joined back to the edges, so
     a node with very many neighbours is split by the adaptive skew join. Stops when a round changes nothing.
+    Up to ``small`` edges, counted first, are put together in one task instead, with the same result.
     """
     edges = cut(forests(edges))
+    if edges.count() <= small:
+        # a forest of stars already: each node with the least of its part
+        edges = cut(forests(edges.coalesce(1), flush=2 * small + 2))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select("b", "b")).distinct()
     was = None
     for _ in range(rounds):
         # large star: each larger neighbour of a node is tied to the least in its neighbourhood

@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from lumenfold.llm.components import components
 from lumenfold.llm.simhash_dedup import fingerprint, links, simhash_dedup
 
 
@@ -73,3 +74,14 @@ def test_very_long_texts():
     """More shingles than are counted at once."""
     text = " ".join(f"w{k * 7919 % 100_003}" for k in range(150_000))
     assert fingerprint(text) == plain_fingerprint(text)
+
+
+def test_components_small_and_large(spark):
+    rnd = random.Random(6)
+    edges = [(rnd.randint(-400, 400), rnd.randint(-400, 400)) for _ in range(380)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 5000 + k) for k in range(1, 40)]
+    edges = [(a, b) for a, b in edges if a != b]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = sorted(classes(edges).items())
+    for small in (1 << 20, 0):
+        assert sorted((r.node, r.root) for r in components(df, small=small).collect()) == want
+    assert components(df.limit(0)).count() == 0
