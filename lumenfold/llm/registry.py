@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import ann, decontaminate, hard_negatives, language_id, license_scan, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, warc_audit
+from lumenfold.llm import ann, decontaminate, hard_negatives, language_id, license_scan, line_dedup, mixing, piece_codec, simhash_dedup, suffix_dedup, toxicity, warc_audit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9_language_id,
         "op10_ann": ann.op10_ann,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_sentencepiece": piece_codec.op12_sentencepiece,
     }
 
 
