@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import phrase, tokens, unaccented_text
+from lumenfold.functions.text import phrase, tokens
+from lumenfold.operators import postings
+from lumenfold.operators.postings import idf, query_terms, saturated, term_of
 from lumenfold.session import checkpoint
 
-K1, B = 1.2, 0.75
 RRF, TOP, DISTANCE = 60, 300, 0.27
 
 
@@ -23,70 +24,48 @@ def document_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataF
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_of(word: str) -> str:
-    """A query's word as tokens() writes it."""
-    return unaccented_text(word.lower())
+def bm25(docs: DataFrame, key: str, terms: list[str], text: str = "text", prefix: bool = False) -> DataFrame:
+    """(key, score) of the documents that hold any of the terms; with ``prefix`` the last one also as a beginning, from two letters."""
+    return weighted_bm25(docs, key, {text: 1.0}, terms, prefix)
 
 
-def _idf(n: Column | int, df: Column | int) -> Column:
-    return F.greatest(F.log((F.lit(n) - df + 0.5) / (F.lit(df) + 0.5)), F.lit(1e-6))
+def _has(term: str, begin: str | None):
+    return (lambda x: x.startswith(term)) if term == begin else (lambda x: x == term)
 
 
-def _saturated(tf: Column, dl: Column, average: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(average))))
+def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], prefix: bool = False) -> DataFrame:
+    """(key, score) of the rows that hold a term in a field: a field's frequencies are weighed and added up before they
+    saturate, against one document frequency and one length of the row (all fields together).
 
+    For rows without an index: a query has few terms, so each row's frequencies are counted in its own token
+    arrays, in one pass whose short rows are written; the corpus statistics and the scores come of those.
+    """
+    terms, begin = query_terms(terms, prefix)
+    parts = docs.select(key, *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)))
+    length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).alias("dl")
 
-def bm25(docs: DataFrame, key: str, terms: list[str], text: str = "text", prefix: bool = False) -> DataFrame:
-    """(key, score) of the documents that hold any of the terms; with ``prefix`` the last one also as a beginning, from two letters.
+    def frequency(term: str, weights) -> Column:
+        return sum((F.size(F.filter(f"t{i}", _has(term, begin))) * w for i, w in enumerate(weights)), F.lit(0))
 
-    For a corpus without an index: a query has few terms, so each document's term frequencies are counted in its own token
-    array, in one pass whose short rows are written; the corpus statistics and the scores come of those.
-    """
-    terms = list(dict.fromkeys(map(term_of, terms)))
-    begin = terms[-1] if prefix and terms and len(terms[-1]) >= 2 else None
-    test = lambda term: (lambda x: x.startswith(term)) if term == begin else (lambda x: x == term)
-    parts = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    counted = checkpoint(parts.select(key, F.size("t").alias("dl"), *(F.size(F.filter("t", test(t))).alias(f"tf{k}") for k, t in enumerate(terms))))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
+    counts = [frequency(t, [1] * len(fields)).alias(f"n{k}") for k, t in enumerate(terms)]
+    weighed = [frequency(t, [float(w) for w in fields.values()]).alias(f"tf{k}") for k, t in enumerate(terms)]
+    counted = checkpoint(parts.select(key, length, *counts, *weighed))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count_if(F.col(f"n{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
     score, any_term = F.lit(0.0), F.lit(False)
     for k in range(len(terms)):
-        score = score + _idf(stats["n"], stats[f"df{k}"]) * _saturated(F.col(f"tf{k}"), F.col("dl"), stats["avg"] or 1.0)
-        any_term = any_term | (F.col(f"tf{k}") > 0)
+        score = score + idf(stats["n"], stats[f"df{k}"]) * saturated(F.col(f"tf{k}"), F.col("dl"), stats["avg"] or 1.0)
+        any_term = any_term | (F.col(f"n{k}") > 0)
     return counted.filter(any_term).select(key, score.alias("score"))
 
 
 def write_index(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
-    """Postings (term, key, tf, dl), terms (term, df) and corpus (n, words) of a text column, as Parquet under ``path``.
-
-    Postings are range-dealt by term and key and sorted, so a term is in few neighbouring files, one that a
-    third of the documents hold is in many, and a query's filter on terms skips all other files and row groups.
-    """
-    spark = docs.sparkSession
-    parts = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    counts = parts.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    counts.repartitionByRange("term", key).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    parts.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).coalesce(1).write.parquet(f"{path}/corpus")
+    """An index of one text column under ``path``; ``postings`` has those of several fields and their upkeep."""
+    postings.build(docs, key, [text], path)
 
 
 def bm25_indexed(spark: SparkSession, path: str, key: str, terms: list[str], prefix: bool = False) -> DataFrame:
     """As bm25(), from what write_index() wrote: only the postings of the query's terms are read."""
-    terms = list(dict.fromkeys(map(term_of, terms)))
-    corpus = spark.read.parquet(f"{path}/corpus").first()
-    begin = terms[-1] if prefix and terms and len(terms[-1]) >= 2 else None
-    wanted = F.col("term").isin([t for t in terms if t != begin])
-    postings = spark.read.parquet(f"{path}/postings")
-    if begin is None:
-        df = spark.read.parquet(f"{path}/terms").filter(wanted)
-        scored = postings.filter(wanted).join(F.broadcast(df), "term")  # at most one row for each of the query's terms
-    else:
-        # the words that begin so count as one term
-        some = postings.filter(wanted | F.col("term").startswith(begin)).withColumn("term", F.when(F.col("term").startswith(begin), F.lit(begin)).otherwise(F.col("term")))
-        some = some.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-        scored = some.join(F.broadcast(some.groupBy("term").agg(F.count("*").alias("df"))), "term")
-    average = (corpus["words"] or 0) / max(corpus["n"], 1) or 1.0
-    return scored.groupBy(key).agg(F.sum(_idf(corpus["n"], F.col("df")) * _saturated(F.col("tf"), F.col("dl"), average)).alias("score"))
+    return postings.scores(postings.open_index(spark, path), terms, prefix=prefix)
 
 
 def phrase_filter(docs: DataFrame, text: str, words: str) -> DataFrame:
@@ -95,18 +74,10 @@ def phrase_filter(docs: DataFrame, text: str, words: str) -> DataFrame:
     return docs.filter(phrase(F.col(text), terms)) if terms else docs.limit(0)
 
 
-def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], prefix: bool = False) -> DataFrame:
-    """(key, score): BM25 of each field by its weight, added up."""
-    out = None
-    for name, weight in fields.items():
-        part = bm25(docs, key, terms, name, prefix).withColumn("score", F.col("score") * weight)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key).agg(F.sum("score").alias("score"))
-
-
-def metadata_lift(records: DataFrame, key: str, fields: dict[str, float], terms: list[str], top: int = TOP) -> DataFrame:
-    """(key, lift) of the records whose fields hold a term, the last as a beginning too: 2 / (60 + rank)."""
-    found = weighted_bm25(records, key, fields, terms, prefix=True).withColumn("score", F.round("score", 9))
+def metadata_lift(records: DataFrame | postings.Index, key: str, fields: dict[str, float], terms: list[str], top: int = TOP) -> DataFrame:
+    """(key, lift) of the records whose fields hold a term, the last as a beginning too: 2 / (60 + rank). records: the rows, or an index of their fields."""
+    found = postings.scores(records, terms, fields, prefix=True) if isinstance(records, postings.Index) else weighted_bm25(records, key, fields, terms, prefix=True)
+    found = found.withColumn("score", F.round("score", 9))
     return ranked(found, key, F.col("score").desc(), top).select(key, (F.lit(2.0) / (RRF + F.col("rank"))).alias("lift"))
 
 
@@ -140,23 +111,41 @@ def reciprocal_ranks(lists: list[tuple[DataFrame, float]], key: str) -> DataFram
     return out.groupBy(key).agg(F.sum("s").alias("score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], key: str, vector_key: str, column: str, eligible: DataFrame | None = None, top: int = TOP, distance: float = DISTANCE, mode: str = "hybrid") -> DataFrame:
+def holds_any(docs: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:
+    """(key) of the documents that hold any of the terms."""
+    terms = query_terms(terms)[0]
+    return docs.filter(F.exists(tokens(F.col(text)), lambda t: t.isin(terms))).select(key) if terms else docs.limit(0).select(key)
+
+
+def hybrid(docs: DataFrame | postings.Index, vectors: DataFrame, terms: list[str], query: list[float], key: str, vector_key: str, column: str, eligible: DataFrame | None = None, top: int = TOP, distance: float = DISTANCE, mode: str = "hybrid", vectors_of: str | None = None) -> DataFrame:
     """(key, score, keyword, semantic): keyword and vector hits fused by reciprocal rank; mode: hybrid, keyword or semantic, which leave one list out.
 
-    The vector list is cut to its top before eligibility; a hit that is neither near nor a keyword hit is dropped.
+    ``docs`` are rows (key, text) or an index of them. The vector list is the ``top`` nearest, less those that are neither
+    within ``distance`` nor match any keyword, however low, less those not eligible; ranks count what is left. ``vectors_of`` is the
+    fingerprint of the corpus the vectors were made from: where the index names another one, lists of two corpora
+    aren't fused, and the keyword list is the answer (semantic mode: none).
     """
     if mode not in ("hybrid", "keyword", "semantic"):
         raise ValueError(f"no search mode {mode}")
-    words = bm25(docs, key, terms).withColumn("score", F.round("score", 9))
-    if eligible is not None:
-        words = words.join(eligible.select(key), key, "left_semi")
-    words = checkpoint(ranked(words, key, F.col("score").desc(), top).select(key, "rank"))  # a short list, used thrice
-    near = nearest(vectors, vector_key, column, query, top).withColumnRenamed(vector_key, key)
-    if eligible is not None:
-        near = near.join(eligible.select(key), key, "left_semi")
-    near = near.join(words.select(key, F.lit(True).alias("is_word")), key, "left").filter((F.col("distance") <= distance) | F.col("is_word"))
-    near = checkpoint(near)
-    words, near = words.filter(F.lit(mode != "semantic")), near.filter(F.lit(mode != "keyword"))
+    indexed = isinstance(docs, postings.Index)
+    stale = indexed and vectors_of is not None and docs.corpus != vectors_of
+    only = lambda df: df if eligible is None else df.join(eligible.select(key), key, "left_semi")
+    no_list = vectors.sparkSession.createDataFrame([], vectors.select(F.col(vector_key).alias(key)).schema.add("rank", "integer"))
+    words, found = no_list, None
+    if mode != "semantic":
+        found = postings.scores(docs, terms) if indexed else bm25(docs, key, terms)
+        words = checkpoint(ranked(only(found.withColumn("score", F.round("score", 9))), key, F.col("score").desc(), top).select(key, "rank"))  # a short list, used twice
+    near = no_list
+    if mode != "keyword" and not stale:
+        hits = checkpoint(nearest(vectors, vector_key, column, query, top).select(F.col(vector_key).alias(key), "distance"))  # ``top`` rows
+        if indexed:
+            match = postings.matches(docs, terms).join(F.broadcast(hits.select(key)), key, "left_semi").select(key).distinct()
+        elif found is not None:
+            match = found.join(F.broadcast(hits.select(key)), key, "left_semi").select(key)
+        else:
+            match = holds_any(docs.join(F.broadcast(hits.select(key)), key, "left_semi"), key, terms)
+        hits = hits.join(match.withColumn("is_word", F.lit(True)), key, "left").filter((F.col("distance") <= distance) | F.col("is_word"))
+        near = checkpoint(ranked(only(hits), key, F.col("distance").asc(), top).select(key, "rank"))
     fused = reciprocal_ranks([(words, 1.0), (near, 1.0)], key)
     flags = words.select(key, F.lit(True).alias("w")).join(near.select(key, F.lit(True).alias("v")), key, "full")
     return fused.join(flags, key).select(key, "score", F.coalesce("w", F.lit(False)).alias("keyword"), F.coalesce("v", F.lit(False)).alias("semantic"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as tx
-from lumenfold.operators import chunk, search
+from lumenfold.operators import chunk, postings, search
 from lumenfold.plans.registry import query
 from lumenfold.session import shared_folder
+from lumenfold.sources import pointer
 from lumenfold.sources.tables import table
 
 TERMS = ["license", "thble", "version"]
@@ -43,12 +42,27 @@ def lexical_topk(spark, sf):
     return hits.orderBy(F.desc("score"), "doc_id").limit(search.TOP).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def kept_index(spark, sf: str, name: str, key: str, fields: list[str]) -> postings.Index:
+    """The index of a table's text columns, built when first asked for and kept in the shared folder under the fingerprint of the table's files."""
+    files = pointer.files_id(spark, f"{sf}/{name}.parquet")
+    path = f"{shared_folder(spark)}/index-{name}-{'-'.join(fields)}-{files[:24]}"
+    index = postings.open_index(spark, path)
+    if index is None:
+        try:
+            index = postings.build(table(spark, sf, name, spread=True).select(key, *fields), key, fields, path, corpus=files, base=0)
+        except pointer.Stale:  # another session was faster
+            index = postings.open_index(spark, path)
+    return index
+
+
+def _documents_index(spark, sf) -> postings.Index:
+    return kept_index(spark, sf, "documents", "doc_id", ["text"])
+
+
 @query(f"with {_BM25} select doc_id, round(score, 6) as score from bm order by round(score, 9) desc, doc_id limit 300")
 def indexed_topk(spark, sf):
-    """lexical_topk out of an index: once it is written, only the postings of the three terms are read."""
-    path = f"{shared_folder(spark)}/index-{uuid4()}"
-    search.write_index(table(spark, sf, "documents", spread=True), "doc_id", path)
-    hits = search.bm25_indexed(spark, path, "doc_id", TERMS).withColumn("score", F.round("score", 9))
+    """lexical_topk out of the kept index: only the postings of the three terms are read."""
+    hits = postings.scores(_documents_index(spark, sf), TERMS).withColumn("score", F.round("score", 9))
     return hits.orderBy(F.desc("score"), "doc_id").limit(search.TOP).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -58,27 +72,60 @@ def fulltext_phrase(spark, sf):
     return search.phrase_filter(docs, "text", "Under the Ápache License").select("doc_id", "source")
 
 
-def _lift_sql(score: str, column: str) -> str:
-    """BM25 of one column of part for 'green' and the beginning 'ga'."""
-    return rf"""
-      {score}t as (select p_partkey, list_filter(string_split_regex(strip_accents(lower({column})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') as t from part),
-      {score}c as (select p_partkey, len(t) as dl, len(list_filter(t, lambda x: x = 'green')) as f0, len(list_filter(t, lambda x: starts_with(x, 'ga'))) as f1 from {score}t),
-      {score}s as (select count(*) as n, avg(dl) as a, count(*) filter (where f0 > 0) as d0, count(*) filter (where f1 > 0) as d1 from {score}c),
-      {score} as (select p_partkey, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) as s
-        from {score}c, {score}s where f0 + f1 > 0)"""
+def _lift_sql(rows: str) -> str:
+    """Lifts of part-like rows (p_partkey, p_name, p_type) for 'green' and the beginning 'ga': BM25 whose frequency is 10 times the name's and 4 times the type's."""
+    t = r"list_filter(string_split_regex(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    count = "len(list_filter({}, lambda x: {}))"
+    g, b = "x = 'green'", "starts_with(x, 'ga')"
+    return f"""with p as (select p_partkey, {t.format("p_name")} as a, {t.format("p_type")} as b from ({rows})),
+      c as (select p_partkey, len(a) + len(b) as dl, {count.format("a", g)} as ga, {count.format("b", g)} as gb, {count.format("a", b)} as xa, {count.format("b", b)} as xb from p),
+      s as (select count(*) as n, avg(dl) as av, count(*) filter (where ga + gb > 0) as d0, count(*) filter (where xa + xb > 0) as d1 from c),
+      w as (select p_partkey, dl, 10 * ga + 4 * gb as f0, 10 * xa + 4 * xb as f1 from c where ga + gb + xa + xb > 0),
+      z as (select p_partkey, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / av)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / av)), 9) as z from w, s),
+      r as (select p_partkey, row_number() over (order by z desc, p_partkey) as place from z)
+      select p_partkey, round(2.0 / (60 + place), 9) as lift from r where place <= 300"""
 
 
-@query(
-    f"""with {_lift_sql("x", "p_name")}, {_lift_sql("y", "p_type")},
-        z as (select p_partkey, round(sum(s), 9) as s from (select p_partkey, 10 * s as s from x union all select p_partkey, 4 * s from y) group by 1),
-        r as (select p_partkey, row_number() over (order by s desc, p_partkey) as place from z)
-        select p_partkey, round(2.0 / (60 + place), 9) as lift from r where place <= 300"""
-)
+_LIFTED, _LIFT_TERMS = {"p_name": 10.0, "p_type": 4.0}, ["green", "ga"]
+
+
+@query(_lift_sql("select * from part"))
 def metadata_lift(spark, sf):
-    lifted = search.metadata_lift(table(spark, sf, "part"), "p_partkey", {"p_name": 10.0, "p_type": 4.0}, ["green", "ga"])
+    """From the kept index of two fields."""
+    lifted = search.metadata_lift(kept_index(spark, sf, "part", "p_partkey", list(_LIFTED)), "p_partkey", _LIFTED, _LIFT_TERMS)
+    return lifted.select("p_partkey", F.round("lift", 9).alias("lift"))
+
+
+@query(_lift_sql("select * from part"))
+def metadata_lift_scan(spark, sf):
+    """As metadata_lift, without an index: one pass over both fields."""
+    lifted = search.metadata_lift(table(spark, sf, "part"), "p_partkey", _LIFTED, _LIFT_TERMS)
     return lifted.select("p_partkey", F.round("lift", 9).alias("lift"))
 
 
+@query(
+    _lift_sql(
+        """select p_partkey, case when p_partkey % 5 = 0 then 'green ' || p_type || ' galley' else p_name end as p_name, case when p_partkey % 5 = 0 then p_name || ' gas' else p_type end as p_type from part where p_partkey % 7 <> 3
+           union all select p_partkey + 1000000000, 'new green gas', p_brand from part where p_partkey % 11 = 0"""
+    )
+)
+def index_update(spark, sf):
+    """The lift after every fifth part changed, some were removed and some came in: the index takes in the changed rows alone, in two generations."""
+    part = table(spark, sf, "part")
+    path = f"{shared_folder(spark)}/index-update-{pointer.files_id(spark, f'{sf}/part.parquet')[:24]}"
+    index = postings.open_index(spark, path)
+    if index is None:
+        index = postings.build(part.select("p_partkey", *_LIFTED), "p_partkey", list(_LIFTED), path, base=0)
+    if index.generation == 1:
+        swapped = part.filter("p_partkey % 5 = 0").select("p_partkey", F.concat_ws(" ", F.lit("green"), "p_type", F.lit("galley")).alias("p_name"), F.concat_ws(" ", "p_name", F.lit("gas")).alias("p_type"))
+        index = postings.update(index, swapped, part.filter("p_partkey % 7 = 2").select("p_partkey"))
+    if index.generation == 2:
+        new = part.filter("p_partkey % 11 = 0").select((F.col("p_partkey") + 1_000_000_000).alias("p_partkey"), F.lit("new green gas").alias("p_name"), F.col("p_brand").alias("p_type"))
+        back = part.filter("p_partkey % 7 = 2").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(" ", F.lit("green"), "p_type", F.lit("galley"))).otherwise(F.col("p_name")).alias("p_name"), F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(" ", "p_name", F.lit("gas"))).otherwise(F.col("p_type")).alias("p_type"))
+        index = postings.update(index, new.unionByName(back), part.filter("p_partkey % 7 = 3").select("p_partkey"))
+    return search.metadata_lift(index, "p_partkey", _LIFTED, _LIFT_TERMS).select("p_partkey", F.round("lift", 9).alias("lift"))
+
+
 @query(
     """with o as (select case l_linenumber % 3 when 0 then 'source' when 1 then 'note' else 'file' end as kind, l_suppkey as owner, round(sum(l_quantity), 4) as score from lineitem group by 1, 2),
             r as (select *, row_number() over (partition by kind order by score desc, owner) as place from o)
@@ -104,36 +151,57 @@ def vector_topk(spark, sf):
     return near.select("vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-HYBRID_SQL = f"""with {_BM25},
-  words as (select doc_id, row_number() over (order by round(score, 9) desc, doc_id) as rank from bm),
-  w as (select * from words where rank <= 300),
+def _hybrid_sql(eligible: str = "select doc_id from documents", lists: str = "wv") -> str:
+    """Fused ranks. A vector hit of the 300 nearest stays if it is near or holds any of the words, at whatever keyword rank; both lists are ranked after eligibility."""
+    parts = {"w": "select doc_id, 1.0 / (60 + rank) as s, 1 as kw, 0 as se from w where rank <= 300", "v": "select doc_id, 1.0 / (60 + rank) as s, 0 as kw, 1 as se from v"}
+    return f"""with {_BM25},
+  e as ({eligible}),
+  w as (select doc_id, row_number() over (order by round(score, 9) desc, doc_id) as rank from bm where doc_id in (from e)),
   q as (select embedding as e from embeddings order by vec_id limit 1),
-  dist as (select vec_id as doc_id, round(1 - list_cosine_similarity(embedding::double[], e::double[]), 9) as distance from embeddings, q),
-  near as (select *, row_number() over (order by distance, doc_id) as rank from dist),
-  v as (select n.doc_id, n.rank from near n left join w using (doc_id) where n.rank <= 300 and (n.distance <= 0.27 or w.doc_id is not null)),
-  f as (select doc_id, 1.0 / (60 + rank) as s, 1 as kw, 0 as se from w union all select doc_id, 1.0 / (60 + rank), 0, 1 from v)
+  knn as (select vec_id as doc_id, round(1 - list_cosine_similarity(embedding::double[], q.e::double[]), 9) as distance from embeddings, q order by distance, vec_id limit 300),
+  v as (select doc_id, row_number() over (order by distance, doc_id) as rank from knn where (distance <= 0.27 or doc_id in (select doc_id from bm)) and doc_id in (from e)),
+  f as ({" union all ".join(parts[x] for x in lists)})
 select doc_id, round(sum(s), 9) as score, max(kw) = 1 as keyword, max(se) = 1 as semantic from f group by doc_id order by 2 desc, doc_id limit 50"""
 
 
+HYBRID_SQL = _hybrid_sql()
+
+
+def _hybrid(spark, sf, docs, **how):
+    # the stored vectors are those of the documents as they are
+    made_from = pointer.files_id(spark, f"{sf}/documents.parquet")
+    hits = search.hybrid(docs, table(spark, sf, "embeddings"), TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding", vectors_of=made_from, **how)
+    return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
 @query(HYBRID_SQL)
 def hybrid_search(spark, sf):
-    hits = search.hybrid(table(spark, sf, "documents", spread=True).select("doc_id", "text"), table(spark, sf, "embeddings"), TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding")
-    return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+    return _hybrid(spark, sf, _documents_index(spark, sf))
+
+
+@query(HYBRID_SQL)
+def hybrid_scan(spark, sf):
+    """hybrid_search without an index: one pass over the texts."""
+    return _hybrid(spark, sf, table(spark, sf, "documents", spread=True).select("doc_id", "text"))
+
+
+@query(_hybrid_sql("select doc_id from documents where lang = 'en' and n_chars > 300"))
+def hybrid_filtered(spark, sf):
+    """Both lists are cut down to eligible documents before they are ranked."""
+    eligible = table(spark, sf, "documents").filter("lang = 'en' and n_chars > 300").select("doc_id")
+    return _hybrid(spark, sf, _documents_index(spark, sf), eligible=eligible)
 
 
 def _in_mode(mode: str):
     def f(spark, sf):
-        docs, vectors = table(spark, sf, "documents", spread=True).select("doc_id", "text"), table(spark, sf, "embeddings")
-        hits = search.hybrid(docs, vectors, TERMS, _query_vector(spark, sf), "doc_id", "vec_id", "embedding", mode=mode)
-        return hits.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
+        return _hybrid(spark, sf, _documents_index(spark, sf), mode=mode)
 
     f.__name__ = f"{mode}_search"
     return f
 
 
 for _mode, _list in (("keyword", "w"), ("semantic", "v")):
-    _all = "select doc_id, 1.0 / (60 + rank) as s, 1 as kw, 0 as se from w union all select doc_id, 1.0 / (60 + rank), 0, 1 from v"
-    query(HYBRID_SQL.replace(_all, f"select doc_id, 1.0 / (60 + rank) as s, {int(_list == 'w')} as kw, {int(_list == 'v')} as se from {_list}"))(_in_mode(_mode))
+    query(_hybrid_sql(lists=_list))(_in_mode(_mode))
 
 
 @query(
