@@ -7,7 +7,8 @@ changed since are passed over. What can't be merged is looked up; a letter that
 
 Where no piece holds U+2581 behind another sign (read off the vocabulary), no merge crosses from another sign to
 U+2581, so a text's words are merged apart with the same result, and each different word of an Arrow batch once; up to
-``WORDS`` short ones are remembered by a worker. Each word that is merged is encoded by the sentencepiece library too, in
+about ``WORDS`` short ones are remembered by a worker. The agendas of all new short words of a batch are worked off in step,
+as arrays: each round takes every word's best pair. A word of over ``LONG_WORD`` letters has a heap of its own. Each word that is merged is encoded by the sentencepiece library too, in
 the same batch; ``agrees`` says whether all of a text's words came out alike. Decoding is the library's decode.
 
 The model (a bounded file, some hundred kB) is read by the driver, or given as bytes, and broadcast.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from lumenfold.llm.sparkkit import read, small_batches
 
 BLANK = "▁"
-WORDS = 1 << 18
+WORDS = 1 << 19
 LONG_WORD = 64
 #: Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -105,6 +107,23 @@ class Vocabulary:
             self.bytes = {}
         self.front = BLANK if norm[3] else ""
         self.apart = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        # symbols as numbers: a piece by its id, a letter that is none by count + its code point
+        self.count = count
+        self.letter = np.arange(0x110000, dtype=np.int64) + count
+        single = {p: i for p, i in self.ids.items() if len(p) == 1}
+        self.letter[[ord(p) for p in single]] = list(single.values())
+        number = lambda part: self.ids.get(part, count + ord(part) if len(part) == 1 else -1)
+        self.span = count + 0x110000
+        joins = {}
+        for piece, i in self.ids.items():
+            for at in range(1, len(piece)):
+                a, b = number(piece[:at]), number(piece[at:])
+                if a >= 0 and b >= 0:
+                    joins[a * self.span + b] = i
+        self.pairs = np.array(sorted(joins), np.int64)
+        self.joined = np.array([joins[k] for k in self.pairs.tolist()], np.int64)
+        self.worth = np.full(count + 1, -np.inf)
+        self.worth[list(self.ids.values())] = [self.scores[p] for p in self.ids]
 
     def normal(self, text: str) -> str:
         return self.front + text.replace(" ", BLANK) if text else ""
@@ -151,47 +170,119 @@ class Vocabulary:
         return out
 
 
+    def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make, ``count`` where they make none."""
+        key = a * self.span + b
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.joined[at], self.count) if len(self.pairs) else np.full(len(key), self.count)
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, how many each word has); as merge(), the words' agendas worked off in step."""
+        sym = self.letter[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        made = np.full(len(sym), self.count)
+        pair = np.flatnonzero(word[1:] == word[:-1])
+        made[pair] = self._join(sym[pair], sym[pair + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            worth = self.worth[made]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            size = np.diff(first, append=len(sym))
+            best = np.maximum.reduceat(worth, first)
+            live = np.repeat(best > -np.inf, size)
+            done.append((word[~live], sym[~live]))
+            at = np.flatnonzero(live & (worth == np.repeat(best, size)))
+            at = at[np.diff(word[at], prepend=-1) > 0]  # the leftmost of equals
+            sym[at] = made[at]
+            live[at + 1] = False
+            place = np.cumsum(live) - 1
+            sym, word, made, at = sym[live], word[live], made[live], place[at]
+            for x in (at, at[at > 0] - 1):
+                x = x[(x + 1 < len(sym))]
+                x = x[word[x] == word[x + 1]]
+                made[x] = self._join(sym[x], sym[x + 1])
+            ends = at[(at + 1 == len(sym)) | (word[np.minimum(at + 1, len(sym) - 1)] != word[at])]
+            made[ends] = self.count
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(word, kind="stable")
+        word, sym = word[order], sym[order]
+        # letters that are no pieces become bytes, or the unknown piece
+        odd = np.flatnonzero(sym >= self.count)
+        spelled = {int(u): [self.bytes[b] for b in chr(u - self.count).encode()] if self.bytes else [self.unknown] for u in np.unique(sym[odd])}
+        size = np.ones(len(sym), np.int64)
+        size[odd] = [len(spelled[u]) for u in sym[odd].tolist()]
+        out = np.repeat(sym, size)
+        out[np.repeat(sym >= self.count, size)] = list(chain.from_iterable(spelled[u] for u in sym[odd].tolist()))
+        return out, np.bincount(word, weights=size, minlength=len(words)).astype(np.int64)
+
+
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 class Encoder:
-    """A worker's encoder: remembers short words, and compares each word it merges with the library."""
+    """A worker's encoder: remembers words, and compares each word it merges with the library."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
         self.vocabulary = Vocabulary(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.known: dict[str, list[int]] = {}
-        self.odd: set[str] = set()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # the word's place in what follows
+        self.flat, self.size, self.odd = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def words(self, text: str) -> list[str]:
         text = self.vocabulary.normal(text)
         return _WORD.findall(text) if self.vocabulary.apart else [text] if text else []
 
-    def batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    def _learn(self, new: list[str]) -> None:
+        short = [w for w in new if len(w) <= LONG_WORD]
+        flat, size = self.vocabulary.merge_all(short)
+        long = [w for w in new if len(w) > LONG_WORD]
+        more = [self.vocabulary.merge(w) for w in long]
+        flat = np.concatenate([flat, *(np.array(m, np.int64) for m in more)])
+        size = np.concatenate([size, np.array([len(m) for m in more], np.int64)])
+        self.known.update(zip(short + long, range(len(self.size), len(self.size) + len(new)), strict=True))
+        odd = self._differs(short + long, flat, size)
+        self.flat, self.size, self.odd = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.size, size]), np.concatenate([self.odd, odd])
+
+    def _differs(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which words the library encodes in another way. It puts its own blank in front, so a word is asked for without one."""
+        front = self.vocabulary.front
+        asked = [w[len(front) :].replace(BLANK, " ") for w in words]
+        theirs = self.library.encode(asked, num_threads=1)
+        odd = np.array([len(x) for x in theirs], np.int64) != size
+        same = np.flatnonzero(~odd)
+        mine = flat[np.repeat(~odd, size)]
+        wrong = mine != np.fromiter(chain.from_iterable(theirs[i] for i in same.tolist()), np.int64, len(mine))
+        odd[np.repeat(same, size[same])[wrong]] = True
+        for i, (w, text) in enumerate(zip(words, asked, strict=True)):
+            if not w.startswith(front):
+                odd[i] = False  # can't be asked for alone
+            elif not text:
+                # nor can a blank alone: of '' the library makes nothing, of ' ' two blanks
+                odd[i] = self.vocabulary.merge(w + BLANK) != self.library.encode(" ")
+        return odd
+
+    def batch(self, texts: list[str]) -> tuple[pa.ListArray, pa.BooleanArray]:
         """(ids, agrees) of each text."""
         cut = [self.words(t) for t in texts]
         new = [w for w in set(chain.from_iterable(cut)) if w not in self.known]
-        self.known.update((w, self.vocabulary.merge(w)) for w in new)
-        front = self.vocabulary.front
-        # the library puts its own blank in front
-        asked = [w for w in new if w.startswith(front)]
-        theirs = self.library.encode([w[len(front) :].replace(BLANK, " ") if len(w) > len(front) else " " for w in asked], num_threads=1)
-        for w, ids in zip(asked, theirs, strict=True):
-            # a blank alone can't be asked for: of '' the library makes nothing, of ' ' two blanks
-            if (self.vocabulary.merge(w + BLANK) if len(w) == len(front) else self.known[w]) != ids:
-                self.odd.add(w)
-        out = [list(chain.from_iterable(map(self.known.__getitem__, ws))) for ws in cut]
-        agrees = [self.odd.isdisjoint(ws) for ws in cut] if self.odd else [True] * len(cut)
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.known[w]
-                self.odd.discard(w)
-        if len(self.known) > WORDS:
-            self.known.clear()
-            self.odd.clear()
-        return out, agrees
+        if new:
+            self._learn(new)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
+        begin, size = np.cumsum(self.size) - self.size, self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], size)]
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        wrong = np.concatenate([[0], np.cumsum(self.odd[at])])
+        if len(self.known) > WORDS or len(self.flat) > 16 * WORDS:
+            self._forget()
+        return pa.ListArray.from_arrays(pa.array(ends[edge].astype(np.int32)), pa.array(flat)), pa.array(wrong[edge[1:]] == wrong[edge[:-1]])
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +304,7 @@ def encode(documents: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ids, agrees = own.batch([t or "" for t in batch[text].to_pylist()])
-                yield pa.record_batch([*[batch[c] for c in rest], pa.array(ids, pa.list_(pa.int32())), pa.array(agrees, pa.bool_())], [*rest, "ids", "agrees"])
+                yield pa.record_batch([*[batch[c] for c in rest], ids, agrees], [*rest, "ids", "agrees"])
 
     return documents.select(*rest, text).mapInArrow(run, schema)
 

@@ -25,11 +25,12 @@ def test_agenda_and_words_give_the_librarys_ids():
     rng = random.Random(5)
     signs = list("abcdeéß .,\n" + BLANK) + ["the ", "ing", "日本", "🙂", "  "]
     texts = ODD + ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(2000)]
-    ids, agrees = own.batch(texts)
+    ids, agrees = (x.to_pylist() for x in own.batch(texts))
     assert all(agrees) and ids == theirs.encode(texts)
     # the agenda over whole texts, not word by word
     v = Vocabulary(MODEL)
     assert [v.merge(v.normal(t)) for t in texts] == ids
+    assert own.batch(texts)[0].to_pylist() == ids  # all remembered
 
 
 def test_query_over_all_documents(spark):
@@ -68,6 +69,17 @@ def test_refusals():
 
 def test_disagreement_shows():
     own = Encoder(MODEL)
-    own.vocabulary.ids[BLANK + "the"] = 5
+    the = own.vocabulary.ids[BLANK + "the"]
+    own.vocabulary.joined[own.vocabulary.joined == the] = 5
+    own.vocabulary.worth[5] = 0.0
     _, agrees = own.batch(["the", "a"])
-    assert agrees == [False, True]
+    assert agrees.to_pylist() == [False, True]
+
+
+def test_agendas_in_step_are_the_agenda():
+    v, rng = Vocabulary(MODEL), random.Random(6)
+    words = ["".join(rng.choices("aeinrstlhdu" + BLANK + "éß\n日🙂", k=rng.randint(1, 40))) for _ in range(3000)]
+    flat, size = v.merge_all(words)
+    want = [v.merge(w) for w in words]
+    assert size.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+    assert v.merge_all([])[1].tolist() == []
