@@ -84,23 +84,6 @@ def html_to_text(c: Column) -> Column:
     return reduce(lambda o, e: F.replace(o, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
 
 
-def html_to_markdown(c: Column) -> Column:
-    """Markdown of a note's HTML: headings, bold, italic, links, lists, quotes and line breaks; other tags go, entities are decoded last."""
-    out = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1[^>]*>", "")
-    out = F.regexp_replace(out, r"\s+", " ")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?i) ?<h{level}\b[^>]*> ?(.*?) ?</h{level}> ?", "\n\n" + "#" * level + " $1\n\n")
-    out = F.regexp_replace(out, r"(?i)<(?:b|strong)\b[^>]*>(.+?)</(?:b|strong)>", "**$1**")
-    out = F.regexp_replace(out, r"(?i)<(?:i|em)\b[^>]*>(.+?)</(?:i|em)>", "*$1*")
-    out = F.regexp_replace(out, r"""(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>""", "[$2]($1)")
-    out = F.regexp_replace(out, r"(?i) ?<blockquote\b[^>]*> ?(?:<p\b[^>]*>)? ?", "\n\n> ")
-    out = F.regexp_replace(out, r"(?i) ?<li\b[^>]*> ?", "\n- ")
-    out = F.regexp_replace(out, r"(?i) ?<br\b[^>]*> ?", "\n")
-    out = F.regexp_replace(out, r"(?i) ?</?(?:p|div|ul|ol|blockquote)\b[^>]*> ?", "\n\n")
-    out = F.regexp_replace(F.regexp_replace(out, "<[^>]*>", ""), r"\n{3,}", "\n\n")
-    return F.regexp_replace(reduce(lambda o, e: F.replace(o, F.lit(e[0]), F.lit(e[1])), ENTITIES, out), r"^\s+|\s+$", "")
-
-
 def text_lines(c: Column) -> Column:
     """The lines of a text with blanks drawn together, but for those without a letter or digit."""
     return F.filter(F.transform(F.split(c, "\n"), squeeze), lambda x: x.rlike(r"[\p{L}\p{N}]"))

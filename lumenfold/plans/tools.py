@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from lumenfold.functions import sheet as fn
+from lumenfold.functions import markup
 from lumenfold.functions import text as tx
 from lumenfold.functions.formula import pivot_formula
 from lumenfold.operators import facets, graph, joins, merge, people
@@ -198,13 +199,30 @@ def financial(spark, sf):
 
 
 @query(
-    r"""select o_orderkey, '## ' || o_orderpriority || chr(10) || chr(10) || 'Order **' || o_orderstatus || '** and *' || o_custkey || '* & [more](http://x/' || o_orderkey || ')' || chr(10) || chr(10) || '- one' || chr(10) || '- two <b>' as note from orders"""
+    r"""select o_orderkey, '## ' || o_orderpriority || chr(10) || chr(10) || 'Order **' || o_orderstatus || '** and *' || o_custkey || '* & [more](http://x/' || o_orderkey || ')' || chr(10) || chr(10) || '- one' || chr(10) || '- two \<b>' as note from orders"""
 )
 def note_markdown(spark, sf):
     """Notes made of the orders, from HTML to Markdown."""
     cell = {k: F.col(k).cast("string") for k in ("o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey")}
     html = F.concat(F.lit("<h2 class='x'>"), cell["o_orderpriority"], F.lit("</h2>\n<p>Order <b>"), cell["o_orderstatus"], F.lit("</b> and <em>"), cell["o_custkey"], F.lit('</em> &amp; <a href="http://x/'), cell["o_orderkey"], F.lit('">more</a></p> <ul>\n <li>one</li><li>two &lt;b&gt;</li></ul><script>x</script>'))
-    return table(spark, sf, "orders").select("o_orderkey", tx.html_to_markdown(html).alias("note"))
+    return table(spark, sf, "orders").select("o_orderkey", markup.html_to_markdown(html).alias("note"))
+
+
+@query()
+def page_markdown(spark, sf):
+    """Every page as Markdown."""
+    return table(spark, sf, "pages", spread=True).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(
+    r"""with b as (select page_id, regexp_replace(html, '(?i)<(?:[^>]*<)?/*(?:p|br|div|li|h[1-4]|tr|blockquote)(?:[\s/][^<>]*)?>', chr(10), 'g') as x from pages),
+        t as (select page_id, regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '<[^>]*$', '') as x from b),
+        e as (select page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as x from t)
+        select page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)) as note from e"""
+)
+def note_plain(spark, sf):
+    """Every page as a note's plain text."""
+    return table(spark, sf, "pages", spread=True).select("page_id", markup.note_text(F.col("html")).alias("note"))
 
 
 @query(
