@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as tx
-from lumenfold.operators import chunk, postings, search
+from lumenfold.operators import bibliography, chunk, postings, search
 from lumenfold.plans.registry import query
 from lumenfold.session import shared_folder
 from lumenfold.sources import pointer
@@ -334,6 +334,37 @@ def author_year(spark, sf):
     return c.select("c_custkey", key["first"].alias("first"), key["year"].alias("year"), F.coalesce(F.size(F.when(key.isNotNull(), named)), F.lit(0)).alias("cited")).withColumn("cited", F.greatest("cited", F.lit(0)))
 
 
+def _with_references(docs):
+    """Each document with a list of references of its own behind it, in one of seven styles; their names and titles are words of the text."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "), " "), lambda w: F.char_length(w) > 3)
+    docs = docs.withColumn("w", F.concat(F.slice(words, 1, 40), F.array(F.lit("Anonymous"))))
+    style, size = F.col("doc_id") % 7, F.size("w")
+
+    def entry(k):
+        word = lambda n: F.initcap(F.get("w", (k * 3 + n) % size))
+        year = (F.lit(1950) + (F.col("doc_id") + k * 7) % 75).cast("string")
+        mark = F.when(style == 0, F.concat(F.lit("["), k, F.lit("] "))).when(style == 1, F.concat(k, F.lit(". "))).when(style == 2, F.concat(F.lit("("), k, F.lit(") ")))
+        mark = F.coalesce(mark.when((style == 3) & (k % 3 == 0), F.concat(k * 11, F.lit(" "))), F.lit(""))
+        fold = F.when(style == 4, "\n    ").when(style == 5, "\n").otherwise(" ")
+        return F.concat(mark, word(0), F.lit(", J. A., & "), word(1), F.lit(", K. ("), year, F.lit("). On "), F.lower(word(2)), F.lit(","), fold, F.lower(word(0)), F.lit(" and "), word(1), F.lit(" in 2021. doi:10.1000/x"), k.cast("string"), F.lit("."))
+
+    head = F.when(style == 6, "Further words").when(style == 2, "7. BIBLIOGRAPHY").otherwise("References ")
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 11 + 2).cast("int")), entry), "\n")
+    return docs.select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), F.lit(""), head, entries).alias("text"))
+
+
+@query()
+def reference_texts(spark, sf):
+    """What reference_rows reads."""
+    return _with_references(table(spark, sf, "documents", spread=True))
+
+
+@query()
+def reference_rows(spark, sf):
+    """The entries of the reference list behind every document, as rows."""
+    return bibliography.reference_rows(_with_references(table(spark, sf, "documents", spread=True)), "doc_id")
+
+
 @query(
     """with e as (select sha256(doc_id::varchar) as k, sha256(concat_ws(chr(31), doc_id::varchar, text)) as h from documents),
             a as (select k[1:6] as k, sha256(string_agg(h, '' order by k, h)) as h from e group by k[1:6]),
