@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from lumenfold.llm.sparkkit import read, small_batches
 
 BLANK = "▁"
-WORDS = 1 << 19
+WORDS = 3 << 18
 LONG_WORD = 64
 #: Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -180,7 +180,7 @@ class Vocabulary:
     def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, how many each word has); as merge(), the words' agendas worked off in step."""
         sym = self.letter[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
         made = np.full(len(sym), self.count)
         pair = np.flatnonzero(word[1:] == word[:-1])
         made[pair] = self._join(sym[pair], sym[pair + 1])
@@ -252,19 +252,22 @@ class Encoder:
     def _differs(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Which words the library encodes in another way. It puts its own blank in front, so a word is asked for without one."""
         front = self.vocabulary.front
-        asked = [w[len(front) :].replace(BLANK, " ") for w in words]
+        asked = [w[len(front) :] for w in words]
         theirs = self.library.encode(asked, num_threads=1)
-        odd = np.array([len(x) for x in theirs], np.int64) != size
-        same = np.flatnonzero(~odd)
-        mine = flat[np.repeat(~odd, size)]
-        wrong = mine != np.fromiter(chain.from_iterable(theirs[i] for i in same.tolist()), np.int64, len(mine))
-        odd[np.repeat(same, size[same])[wrong]] = True
-        for i, (w, text) in enumerate(zip(words, asked, strict=True)):
-            if not w.startswith(front):
+        their_size = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        their_flat = np.fromiter(chain.from_iterable(theirs), np.int64, their_size.sum())
+        odd = their_size != size
+        if odd.any():
+            mine, own = flat[np.repeat(~odd, size)], their_flat[np.repeat(~odd, their_size)]
+        else:
+            mine, own = flat, their_flat
+        odd[np.repeat(np.flatnonzero(~odd), size[~odd])[mine != own]] = True
+        for i in np.flatnonzero(odd).tolist():
+            if not words[i].startswith(front):
                 odd[i] = False  # can't be asked for alone
-            elif not text:
+            elif not asked[i]:
                 # nor can a blank alone: of '' the library makes nothing, of ' ' two blanks
-                odd[i] = self.vocabulary.merge(w + BLANK) != self.library.encode(" ")
+                odd[i] = self.vocabulary.merge(words[i] + BLANK) != self.library.encode(" ")
         return odd
 
     def batch(self, texts: list[str]) -> tuple[pa.ListArray, pa.BooleanArray]:
