@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The words of a clause (a run of words without a break, cut every ``CLAUSE_WORDS`` words) become symbols: insult,
-threat, target (the person spoken to or of), negation, report, or any other word. Small transducers rewrite them,
-are composed, and run over the clause:
+The words of a clause (a run of words without a full stop, colon, semicolon, exclamation or question mark, bracket or line end, however long)
+become symbols: insult, threat, the person spoken to, other persons, negation, report, copula, words that lead a
+noun phrase or follow one, or any other word. Small transducers rewrite them, are composed, and run over the clause:
 
 * negation: an insult or threat within three words of a negation becomes a denied one;
 * report: after a reporting verb or an opening quotation mark they become reported ones;
-* target: with a target before it in the clause (or after it: the mirrored machine) an insult is aimed; a threat
-  counts only when aimed;
-* join: an insult with another one before or after it in the clause is joined.
-
-A last machine reads the document's matches from clause to clause: an insult that nothing in its clause composes with
-is *repeated* if another clause of the document insults too, and *lone* if none does. A match scores the
-weight of its word plus the offset of its pattern. Clauses without a match count against the document, at the rate by
-which matches are commoner in toxic text. The score is the logistic of the prior's log odds plus all
-that, but a document whose one match is a lone insult never gets more than ``LONE``: an isolated word decides nothing.
+* target: behind the person spoken to, with nothing but copulas, articles and the like between, or right before it, an insult is aimed
+  ("you utter idiot"); a threat is aimed if a person follows within two words ("kill you", not "you kill time");
+* predicate: an insult up to three words behind a copula or word of likeness ("they are trash");
+* join: an insult within ``JOINED`` words of another one ("worthless scum");
+* phrase: an insult that a determiner or preposition leads, or that one follows ("a clown", "idiot of").
+
+Only matched clauses are scored: a match of these patterns gains the weight of its word plus the offset of its pattern.
+Denied and reported matches gain nothing. An insult that nothing in its clause composes with is lone, and alone it gains nothing either;
+it strengthens by ``HELP`` of its weight where the document has a firm match (any but a phrase) or two phrases, or, being at
+least two, beside one phrase. A document with one phrase and less never gets more than ``LONE``. Clauses without a match count
+against the document, at the rate by which matches are commoner in toxic text. The score is the logistic of the prior's
+log odds plus all that.
 
 All weights are learned from a bounded sample of labelled rows (``TRAIN_ROWS``, documented), near copies
 thinned. Insult arcs are words and beginnings of words of ``HEADS`` bytes that are, or are at least twice, in toxic texts significantly
@@ -51,7 +54,8 @@ MIN_SUPPORT = 5
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 LONE = 0.5
-CLAUSE_WORDS = 24
+HELP = 0.5
+JOINED = 12
 #: Matches of a pattern at which what is counted weighs as much as the starting offset.
 DRAWN = 20
 #: Share of the expected matches that a document may lack without its being held against it: documents differ in rate.
@@ -60,14 +64,29 @@ SLACK = 0.5
 # The grammar's closed word classes.
 INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clown imbecile bastard vermin dumm trottel abschaum arschloch wertlos ekelhaft stupide imbécile connard ordure minable idiota estúpido imbécil basura asqueroso".split()
 THREATS = "kill hurt destroy beat burn shoot stab töten umbringen schlagen erschießen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split()
-TARGETS = "you your yours yourself u he she they him her them his their du dich dir dein deine ihr euch euer er ihn tu te toi ton ta vous votre il elle eux tú ti usted ustedes vosotros él ella ellos".split()
+TARGETS = "you your yours yourself u dich dir dein deine ihr euch euer tu te toi ton ta vous votre tú ti usted ustedes vosotros".split()
+PERSONS = "he she they him her them his their er ihn ihm sie il elle eux lui él ella ellos ellas me us mich mir uns moi nous mí nosotros".split()
 NEGATIONS = "not no never nor none isn aren wasn don doesn didn nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca tampoco jamás".split()
 REPORTS = "said says say wrote writes called calls quoted claimed told sagte sagt schrieb schreibt nannte nennt behauptet dit disait écrit appelle dijo dice escribió llamó llama".split()
-OFFSETS = {"aimed insult": 0.5, "joined insult": 0.5, "repeated insult": 0.0, "lone insult": -2.0, "denied insult": -3.0, "reported insult": -1.5, "aimed threat": 0.0, "reported threat": -1.5}
+COPULAS = "is are am was were be been re s bin bist ist sind seid war waren es est sont êtes sommes était suis eres son sois soy era eran como like wie comme as".split()
+LEADS = (
+    "a an the this that these those some any all of by to with for from at on in and or both so too very just more such what "
+    "der die das den dem des ein eine einen einem eines von zu mit für auf bei aus im am zum zur und oder so sehr nur auch mehr "
+    "le la les un une des du de ce cet cette ces par pour avec dans sur à au aux et ou si très trop plus "
+    "el los las una unos unas del este esta estos por para con en a al y o tan muy más"
+).split()
+FOLLOWS = (
+    "of in on at for with from to by and or who that which than as "
+    "der die das von zu mit für auf im am und oder als wie den des "
+    "de du des la le les et ou qui que dans en pour avec par sur "
+    "del el los y o con por para"
+).split()
+OFFSETS = {"aimed insult": 0.5, "predicate insult": 0.5, "joined insult": 0.5, "phrased insult": -0.5, "aimed threat": 0.0}
+FIRM = OFFSETS.keys() - {"phrased insult"}
 THREAT_WEIGHT = 3.0
 
 QUOTES = (b'"', "“".encode(), "«".encode())
-_BREAK = np.isin(np.arange(256), list(b".,;:!?\n()"))
+_BREAK = np.isin(np.arange(256), list(b".;:!?\n()"))
 
 
 class Transducer:
@@ -114,23 +133,44 @@ def _negation(reach: int = 3) -> Transducer:
     return Transducer(arcs)
 
 
+def _within(marks: list[str], reach: int, made: dict[str, str]) -> Transducer:
+    """Up to ``reach`` words behind a mark, symbols become what ``made`` says."""
+    arcs = {(str(k), m): (str(reach), "*") for k in range(reach + 1) for m in marks}
+    for k in range(1, reach + 1):
+        arcs[str(k), "*"] = (str(k - 1), "*")
+        for was, now in made.items():
+            arcs[str(k), was] = (str(reach if was in marks else k - 1), now)
+    return Transducer(arcs)
+
+
+_PASSED = ("C", "D", "A", "DA", "N", "denied insult", "reported insult")  # what may stand between a person and the insult
 _REPORT = Transducer({("0", "R"): ("1", "*"), ("1", "insult"): ("1", "reported insult"), ("1", "threat"): ("1", "reported threat")})
-_TARGET = Transducer({("0", "T"): ("1", "*"), ("1", "insult"): ("1", "aimed insult"), ("1", "threat"): ("1", "aimed threat")})
-_JOIN = Transducer({("0", s): ("1", "*") for s in ("insult", "aimed insult", "joined insult")} | {("1", "insult"): ("1", "joined insult")})
-_ALPHABET = ["insult", "threat", "T", "N", "R", "O"]
-_FORWARD = compose(compose(_negation(), _REPORT, _ALPHABET), _TARGET, _ALPHABET)
+_TARGET = Transducer({("0", "T"): ("1", "*"), ("1", "*"): ("0", "*"), ("1", "insult"): ("1", "aimed insult"), ("1", "T"): ("1", "*")} | {("1", s): ("1", "*") for s in _PASSED})
+_PREDICATE = _within(["C"], 3, {"insult": "predicate insult"})
+_CALLED = _within(["T"], 1, {"insult": "aimed insult"})
+_THREATENED = _within(["T", "P"], 2, {"threat": "aimed threat"})
+_JOIN = _within(["insult", "aimed insult", "predicate insult", "joined insult"], JOINED, {"insult": "joined insult"})
+_LED, _FOLLOWED = _within(["D", "DA"], 1, {"insult": "phrased insult"}), _within(["A", "DA"], 1, {"insult": "phrased insult"})
+_ALPHABET = ["insult", "threat", "T", "P", "N", "R", "C", "D", "A", "DA", "O"]
 
 
-def matches(symbols: list[str]) -> list[str]:
-    """What the composed grammar makes of a clause; the mirrored machines see targets and insults further on."""
-    aimed = _TARGET.run(_FORWARD.run(symbols)[::-1])[::-1]
-    return _JOIN.run(_JOIN.run(aimed)[::-1])[::-1]
+def _composed(*machines: Transducer) -> Transducer:
+    out = machines[0]
+    for m in machines[1:]:
+        out = compose(out, m, _ALPHABET)
+    return out
+
+
+_FORWARD = _composed(_negation(), _REPORT, _TARGET, _PREDICATE)
+_BACKWARD = compose(_CALLED, _THREATENED, [*_ALPHABET, "aimed insult", "predicate insult", "denied insult", "reported insult", "denied threat", "reported threat"])
 
 
-def discourse(kinds: list[str]) -> list[str]:
-    """The matches of a document, in order: insults left alone by their clauses are repeated or lone."""
-    found = sum(k in ("insult", "aimed insult", "joined insult") for k in kinds)
-    return [("repeated insult" if found > 1 else "lone insult") if k == "insult" else k for k in kinds]
+def matches(symbols: list[str]) -> list[str]:
+    """What the grammar makes of a clause; mirrored machines see what stands further on. What is left an insult is lone."""
+    made = _BACKWARD.run(_FORWARD.run(symbols)[::-1])[::-1]
+    made = _JOIN.run(_JOIN.run(made)[::-1])[::-1]
+    made = _FOLLOWED.run(_LED.run(made)[::-1])[::-1]
+    return ["lone insult" if s == "insult" else s for s in made]
 
 
 def _hash_of(word: str) -> int:
@@ -164,13 +204,18 @@ class Model:
         return cls(prior, hashes, np.array([arcs[h] for h in hashes.tolist()]), **more)
 
     def weigh(self, kinds: list[str], weights: list[float], n_words: int) -> float:
-        """The log odds of a document with these matches, after discourse()."""
-        gained = sum(max(0.0, w + self.offsets[k]) for k, w in zip(kinds, weights, strict=True) if k in self.offsets)
-        total = self.prior + gained - self.rate * n_words
-        return min(total, math.log(LONE / (1 - LONE))) if "lone insult" in kinds and len(kinds) == 1 else total
-
-
-_CLOSED = {_hash_of(w): s for s, group in (("threat", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in group}
+        """The log odds of a document with these matches."""
+        total = self.prior - self.rate * n_words
+        total += sum(max(0.0, w + self.offsets[k]) for k, w in zip(kinds, weights, strict=True) if k in self.offsets)
+        firm, phrases, lone = any(k in FIRM for k in kinds), kinds.count("phrased insult"), kinds.count("lone insult")
+        if firm or phrases > 1 or (phrases and lone > 1):
+            return total + HELP * sum(w for k, w in zip(kinds, weights, strict=True) if k == "lone insult")
+        return min(total, math.log(LONE / (1 - LONE))) if phrases else total
+
+
+_GROUPS = [("A", FOLLOWS), ("D", LEADS), ("DA", [w for w in LEADS if w in FOLLOWS]), ("C", COPULAS), ("R", REPORTS), ("N", NEGATIONS), ("P", PERSONS), ("T", TARGETS), ("threat", THREATS)]
+#: A word of several groups belongs to the last of them.
+_CLOSED = {_hash_of(w): s for s, group in _GROUPS for w in group}
 _THREATS = np.array(sorted(h for h, s in _CLOSED.items() if s == "threat"), np.uint64)
 
 
@@ -194,23 +239,25 @@ def _found(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple
                 opens[first[:-1][first[:-1] < len(start)]] = True
                 opens = np.r_[np.flatnonzero(opens), len(start)]
                 run = np.searchsorted(opens, hot, side="right") - 1
-                lo = opens[run] + (hot - opens[run]) // CLAUSE_WORDS * CLAUSE_WORDS
-                hi = np.minimum(lo + CLAUSE_WORDS, opens[run + 1])
+                lo, hi = opens[run], opens[run + 1]
                 new = np.flatnonzero(np.r_[True, lo[1:] != lo[:-1]])
                 doc = np.searchsorted(first, lo[new], side="right") - 1
                 raw = data.tobytes()
                 for a, b, d in zip(lo[new].tolist(), hi[new].tolist(), doc.tolist(), strict=True):
-                    symbols = ["insult" if gain[j] > 0 else _CLOSED.get(int(h[j]), "O") for j in range(a, b)]
+                    symbols, words_at = [], []
                     for j in range(a, b):
+                        # a quotation mark reports too; it is a symbol of its own before its word
                         before = raw[end[j - 1] if j > first[d] else offsets[d] : start[j]]
-                        if symbols[j - a] == "O" and any(q in before for q in QUOTES):
-                            symbols[j - a] = "R"
-                    for j, kind in enumerate(matches(symbols), a):
+                        if any(q in before for q in QUOTES):
+                            symbols.append("R")
+                            words_at.append(-1)
+                        symbols.append("insult" if gain[j] > 0 else _CLOSED.get(int(h[j]), "O"))
+                        words_at.append(j)
+                    for j, kind in zip(words_at, matches(symbols), strict=True):
                         if kind.endswith(("insult", "threat")):
                             out[d].append((a - int(first[d]), b - int(first[d]), kind, float(gain[j]) if gain[j] > 0 else THREAT_WEIGHT))
         for d, rows in enumerate(out):
-            kinds = discourse([m[2] for m in rows])
-            yield begin + d, int(first[d + 1] - first[d]), [(*m[:2], k, m[3]) for m, k in zip(rows, kinds, strict=True)]
+            yield begin + d, int(first[d + 1] - first[d]), rows
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
