@@ -223,7 +223,28 @@ def markdown_kind(line: Column) -> Column:
 
 def fuzzy_match(c: Column, query: str) -> Column:
     """The query's letters occur in this order."""
-    return F.lower(c).rlike(".*".join(rf"\Q{ch}\E" for ch in query.lower()))
+    return fuzzy_score(c, query) >= 0
+
+
+def fuzzy_score(c: Column, query: str) -> Column:
+    """How well a text fits what was typed, more is better, -1 not at all: its beginning, a word's beginning, anywhere, or its letters in
+    order, where each that follows right behind the one before counts 6 and any other 1."""
+    t, q = F.lower(c), query.lower()
+    if not q:
+        return F.when(c.isNotNull(), 0)
+    at = lambda s: F.locate(s, t) - 1
+    walk = F.aggregate(
+        F.array(*map(F.lit, q)),
+        F.struct(F.lit(0).alias("score"), F.lit(0).alias("last")),  # last: places from 1
+        lambda s, x: F.when(s["score"] < 0, s).otherwise(_walked(s, F.call_function("locate", x, t, s["last"] + 1))),
+        lambda s: s["score"],
+    )
+    return F.when(t.startswith(q), 1000 - F.char_length(t)).when(at(" " + q) >= 0, 800 - at(" " + q)).when(at(q) >= 0, 600 - at(q)).otherwise(walk)
+
+
+def _walked(state: Column, found: Column) -> Column:
+    gain = F.when(found == state["last"] + 1, 6).otherwise(1)
+    return F.when(found == 0, F.struct(F.lit(-1).alias("score"), F.lit(0).alias("last"))).otherwise(F.struct((state["score"] + gain).alias("score"), found.alias("last")))
 
 
 def positions(c: Column, query: str) -> Column:
@@ -232,6 +253,81 @@ def positions(c: Column, query: str) -> Column:
     return _starts(parts, len(query))
 
 
+# Blanks, signs that a search passes over, and bounds of a search.
+_BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_PASSED = r"[\x{0}\x{AD}]*"
+_BLANK = {*map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])}
+MAX_HITS, MAX_QUERY, CONTEXT = 20_000, 256, 28
+
+
+def search_pattern(query: str) -> str:
+    """A regular expression for the places that read like ``query``: letters in either case, any run of blanks for a blank, and between
+    any two signs soft hyphens and zero signs. Hits of it are places in the text itself, so nothing has to be mapped back."""
+    out, n = [], 0
+    for sign in query.replace("\0", "").replace("\xad", ""):
+        if sign in _BLANK:
+            if out and out[-1] is None:
+                continue
+            out.append(None)
+        else:
+            out += sign.lower()
+        n = len(out)
+    if not n:
+        raise ValueError("the search query is empty")
+    if n > MAX_QUERY:
+        raise ValueError(f"the search query has more than {MAX_QUERY} signs")
+    pieces = []
+    for i, sign in enumerate(out):
+        if sign is None:
+            pieces.append(rf"{_BLANKS}(?:{_PASSED}{_BLANKS})*")
+            continue
+        upper = {u for u in {sign.upper(), sign.title(), *_FOLDED.get(sign, ())} if len(u) == 1 and u.lower() == sign}
+        pieces.append("[" + "".join(rf"\x{{{ord(u):X}}}" for u in sorted({sign, *upper})) + "]")
+    return _PASSED.join(pieces)
+
+
+#: Letters by what they are in lower case, where that isn't found by going to upper case and back.
+_FOLDED = {"k": ("\u212a",), "å": ("\u212b",), "ω": ("\u2126",)}
+
+
+def find_exact(c: Column, query: str, most: int = MAX_HITS) -> Column:
+    """array<struct<start, end>> (from 0, end included) of the places that read like ``query``, from the left, not overlapping, at most ``most``."""
+    pattern = search_pattern(query)
+    between, hits = F.split(c, pattern, most + 1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    sizes = F.transform(F.slice(hits, 1, most), lambda h: F.char_length(h))
+    return F.transform(
+        F.zip_with(F.slice(_starts_by(between, sizes), 1, most), sizes, lambda a, n: F.struct(a.alias("a"), n.alias("n"))),
+        lambda x: F.struct((x["a"] - 1).alias("start"), (x["a"] + x["n"] - 2).alias("end")),
+    )
+
+
+def preview(c: Column, start: Column, end: Column, context: int = CONTEXT) -> Column:
+    """The text about a hit, ``context`` signs on either side, blanks drawn together, with an ellipsis where it is cut."""
+    lo, hi = F.greatest(start - context, F.lit(0)), F.least(end + context + 1, F.char_length(c))
+    clean = F.regexp_replace(F.regexp_replace(F.substr(c, lo + 1, hi - lo), r"[\x{0}\x{AD}]", ""), rf"{_BLANKS}+", " ")
+    return F.concat(F.when(lo > 0, "…").otherwise(""), F.trim(clean), F.when(hi < F.char_length(c), "…").otherwise(""))
+
+
+def _starts_by(parts: Column, steps: Column) -> Column:
+    """Where (from 1) each step begins, if parts and steps take turns."""
+    n = F.size(steps)
+    before = F.slice(F.concat(F.array(F.lit(0)), steps), 1, n)  # the step that went before each part
+    lengths = F.zip_with(F.transform(F.slice(parts, 1, n), lambda p: F.char_length(p)), before, lambda p, s: p + s)
+    return F.transform(_running(lengths), lambda x: x + 1)
+
+
+def _running(x: Column) -> Column:
+    """Running sums of an array of ints, block by block, so that long arrays aren't copied for every element."""
+    block = 512
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(block)), lambda b: F.slice(x, b + 1, block))
+    none = F.array().cast("array<int>")
+    add = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+    sums = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), add, lambda a: a["out"])
+    total = lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.aggregate(blocks, start, lambda a, b: F.struct((a["at"] + total(b)).alias("at"), F.concat(a["out"], F.array(sums(b, a["at"]))).alias("out")), lambda a: F.flatten(a["out"]))
+
+
 def _starts(parts: Column, step: int) -> Column:
     """1 and the lengths of the parts before, with ``step`` for each, of all parts but the last."""
     lengths = F.transform(parts, lambda p: F.char_length(p))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,39 @@ def _frontier(first: DataFrame, edges: DataFrame, columns: list[str], step: dict
 
     ``columns``: what tells rows apart, "id" among them; ``step``: other columns' values one edge further on.
     """
-    seen = new = checkpoint(first.distinct())
+    new = checkpoint(first.distinct())
+    parts = [new]  # what each round added; none is written again
     edges = edges.distinct()
     while not new.isEmpty():
         further = new.join(edges, new["id"] == edges["up"]).select(*(edges["down"].alias("id") if c == "id" else step.get(c, F.col(c)).alias(c) for c in new.columns))
+        seen = reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
         new = checkpoint(further.dropDuplicates(columns).join(seen, columns, "left_anti"))
-        seen = checkpoint(seen.unionByName(new))
-    return seen
+        parts.append(new)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of the links (a, b); root is the least node of its connected part.
+
+    Each round ties a node's larger neighbours to the least of its neighbourhood, then the node itself and its smaller ones (large and small
+    stars), so long chains halve. Neighbourhoods are aggregated to their least node before the shuffle; the join back to the links is a plain
+    equi-join that adaptive execution splits where a node has very many. Ends when a round changes nothing.
+    """
+    links = checkpoint(edges.select("a", "b").filter("a <> b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).filter("node is not null").distinct()
+    was = None
+    for _ in range(rounds):
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        tied = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        links = tied.select("a", F.col("m").alias("b")).unionAll(tied.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        links = checkpoint(links.filter("a <> b").distinct())
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == was:
+            return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        was = now
+    raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
 def descendants(tree: DataFrame, root: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.session import checkpoint
+from lumenfold.sources import pointer
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -127,18 +128,33 @@ def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]
     return tables, marks
 
 
-def publish(df: DataFrame, folder: str) -> str:
-    """A new version of a table under ``folder``, made current by one small write once all its rows are there."""
-    version = uuid4().hex
+def publish(df: DataFrame, folder: str, base: int | None = None, **told) -> int:
+    """A new version of a table under ``folder``, made current by moving a pointer once all its rows are there.
+
+    ``base`` is the generation the writer started from (else the current one): where another writer has published since, the move is refused
+    (``pointer.Stale``) and the rows are removed again. ``told`` goes into the pointer, such as the fingerprint of what it was made from.
+    """
+    spark, version = df.sparkSession, uuid4().hex
+    base = pointer.read(spark, folder)[0] if base is None else base
     df.write.parquet(f"{folder}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/current")
-    return version
+    try:
+        return pointer.advance(spark, folder, base, {"version": version, **told})
+    except pointer.Stale:
+        pointer.drop(spark, f"{folder}/{version}")
+        raise
+
+
+def current(spark: SparkSession, folder: str, generation: int | None = None) -> DataFrame:
+    """The version of the greatest generation, or of the one asked for; readers of an older one aren't disturbed."""
+    _, told = pointer.read(spark, folder, generation)
+    if told is None:
+        raise ValueError(f"nothing is published under {folder}")
+    return spark.read.parquet(f"{folder}/{told['version']}")
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that was published last; readers of an older one aren't disturbed."""
-    version = spark.read.parquet(f"{folder}/current").orderBy(F.desc("at")).first()["version"]
-    return spark.read.parquet(f"{folder}/{version}")
+def accept_results(results: DataFrame, files: DataFrame, key: str, version: str) -> DataFrame:
+    """The results (key, version, ...) of files (key, version) that are still what they were read from; late ones and those of files gone are left out."""
+    return results.join(files.select(key, version), [key, version], "left_semi")
 
 
 def property_names(tables: list[DataFrame], json_columns: list[tuple[DataFrame, str]]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenfold.operators.graph import components
+
 
 def identify(seen: DataFrame, known: DataFrame) -> DataFrame:
     """seen (row, orcid, work_id) with ``person``: the known person (id, orcid, work_id) by ORCID, else by work id; ``merge_with`` where the two disagree."""
@@ -15,6 +17,27 @@ def identify(seen: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("row", F.coalesce("by_orcid", "by_work").alias("person"), F.when(F.col("by_orcid") != F.col("by_work"), F.col("by_work")).alias("merge_with"))
 
 
+def merge_people(people: DataFrame, identities: list[str]) -> DataFrame:
+    """(id, person) of every row of ``people`` (id, identities): rows that share an identity are one person, and so on over chains; the least id names it.
+
+    Rows of one identity are tied to its least id alone, so an identity that very many rows share makes no pairs.
+    """
+    links = None
+    for name in identities:
+        known = people.filter(F.col(name).isNotNull()).select("id", name)
+        least = known.groupBy(name).agg(F.min("id").alias("b"))
+        part = known.join(least, name).select(F.col("id").alias("a"), "b")
+        links = part if links is None else links.unionByName(part)
+    roots = components(links)
+    return people.select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("person"))
+
+
+def merged(people: DataFrame, persons: DataFrame, identities: list[str]) -> DataFrame:
+    """(person, rows, and the identities as sorted arrays): the union of what each person's rows know."""
+    own = people.join(persons, "id").groupBy("person")
+    return own.agg(F.count("*").alias("rows"), *(F.array_sort(F.collect_set(c)).alias(c) for c in identities))
+
+
 def _initials(given: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(given, F.lit(""))), r"[\s.\-]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")

@@ -260,3 +260,29 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``df`` with ``broken``: the names of the data-validation rules that a row breaks."""
     marks = F.array(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()))
     return df.withColumn("broken", F.filter(marks, lambda m: m.isNotNull()))
+
+
+SHEET_NAME = 31
+
+
+def free_names(names: Column, taken: Column) -> Column:
+    """The names in order, each made free of those ``taken`` and of those before it, case ignored: "x", "x (2)", "x (3)".
+
+    A name with a suffix keeps within 31 letters: it is cut to make room, without a blank or apostrophe at the cut.
+    """
+
+    def candidate(name: Column, n: Column) -> Column:
+        suffix = F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))
+        return F.concat(F.regexp_replace(F.substr(name, F.lit(1), SHEET_NAME - F.char_length(suffix)), r"[\s']+$", ""), suffix)
+
+    def place(state: Column, name: Column) -> Column:
+        used = state["used"]
+        free = F.when(~F.array_contains(used, F.lower(name)), name)
+        # of as many suffixes as there are names in use and one more, one is free
+        tried = F.filter(F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: candidate(name, n)), lambda x: ~F.array_contains(used, F.lower(x)))
+        free = F.coalesce(free, F.get(tried, F.lit(0)))
+        return F.struct(F.concat(used, F.array(F.lower(free))).alias("used"), F.concat(state["out"], F.array(free)).alias("out"))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.coalesce(F.transform(taken, lambda x: F.lower(x)), none).alias("used"), none.alias("out"))
+    return F.aggregate(names, start, place, lambda s: s["out"])

@@ -22,6 +22,29 @@ def identity_resolution(spark, sf):
     return people.identify(seen, known)
 
 
+_PEOPLE = """p as (select c_custkey as id, case when c_custkey % 4 <> 0 then 'o' || (c_custkey // 3) end as orcid, case when c_custkey % 5 <> 1 and c_custkey % 3 <> 1 then 'w' || ((c_custkey + 2) // 5) end as work_id from customer)"""
+_PERSONS = f"""{_PEOPLE}, e as (select x.id as a, y.id as b from p x join p y on x.orcid = y.orcid or x.work_id = y.work_id), r as (select id as a, id as b from p union select r.a, e.b from r join e on r.b = e.a), who as (select a as id, min(b) as person from r group by a)"""
+
+
+def _people(spark, sf):
+    k = F.col("c_custkey")
+    orcid = F.when(k % 4 != 0, F.concat(F.lit("o"), F.floor(k / 3).cast("string")))
+    work = F.when((k % 5 != 1) & (k % 3 != 1), F.concat(F.lit("w"), F.floor((k + 2) / 5).cast("string")))
+    return table(spark, sf, "customer").select(k.alias("id"), orcid.alias("orcid"), work.alias("work_id"))
+
+
+@query(f"with recursive {_PERSONS} select id, person from who")
+def person_merge(spark, sf):
+    """Rows that share an identity, over chains, are one person."""
+    return people.merge_people(_people(spark, sf), ["orcid", "work_id"])
+
+
+@query(f"with recursive {_PERSONS} select person, count(*)::bigint as rows, coalesce(list_sort(list(distinct orcid) filter (where orcid is not null)), []) as orcid, coalesce(list_sort(list(distinct work_id) filter (where work_id is not null)), []) as work_id from who join p using (id) group by person")
+def person_identities(spark, sf):
+    """What each merged person's rows know."""
+    return people.merged(_people(spark, sf), person_merge(spark, sf), ["orcid", "work_id"])
+
+
 @query(
     """with n as (select n_nationkey::varchar as id, n_name as name, n_regionkey::varchar as parent from nation), r as (select r_regionkey::varchar as id, r_name as name from region)
        select c.c_custkey, n.name as nation, r.name as region from customer c left join n on c.c_nationkey::varchar = n.id left join r on n.parent = r.id"""
@@ -67,6 +90,23 @@ def exact_search(spark, sf):
     return table(spark, sf, "documents").select("doc_id", found.alias("f")).select("doc_id", F.size("f").alias("hits"), F.try_element_at("f", F.lit(1)).alias("first"))
 
 
+_HIT = "[oO]\\x{AD}*[fF](?:\\x{AD}*[\\s\\x{A0}])+\\x{AD}*[tT]\\x{AD}*[hH]\\x{AD}*[eE]"
+
+
+@query(
+    f"""with t as (select doc_id, replace(replace(text, ' the', '  ' || chr(10) || 'th' || chr(173) || 'e'), 'of', 'o' || chr(173) || chr(173) || 'f' || chr(160)) as t from documents),
+            p as (select doc_id, t, string_split_regex(t, '{_HIT}') as p, regexp_extract_all(t, '{_HIT}') as h from t),
+            r as (select doc_id, t, p, h, unnest(range(1, len(h) + 1)) as k from p),
+            s as (select doc_id, t, k, (list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: length(x))), 0))::int as start, length(h[k])::int as n from r)
+       select doc_id, k::int as hit, start, start + n - 1 as "end" from s"""
+)
+def exact_places(spark, sf):
+    """Every place that reads "of the" in all documents, across line ends, soft hyphens and runs of blanks put into them."""
+    text = F.replace(F.replace(F.col("text"), F.lit(" the"), F.lit("  \nth\xade")), F.lit("of"), F.lit("o\xad\xadf\xa0"))
+    hits = table(spark, sf, "documents", spread=True).select("doc_id", F.posexplode(tx.find_exact(text, "Of  THE")).alias("hit", "h"))
+    return hits.select("doc_id", (F.col("hit") + 1).alias("hit"), "h.start", "h.end")
+
+
 @query("select l_orderkey::varchar as source, (l_linenumber - 1)::int as seq, 'A' || l_suppkey as person, 'Supplier ' || l_suppkey as name from (select distinct l_orderkey, l_linenumber, l_suppkey from (select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by l_suppkey) as l_linenumber from (select distinct l_orderkey, l_suppkey from lineitem)))")
 def work_people(spark, sf):
     """Authorship rows out of work records, JSON text made of the orders' suppliers."""

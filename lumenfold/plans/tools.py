@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -10,12 +12,12 @@ from lumenfold.functions import sheet as fn
 from lumenfold.functions import markup
 from lumenfold.functions import text as tx
 from lumenfold.functions.formula import pivot_formula
-from lumenfold.operators import facets, graph, joins, merge, people
+from lumenfold.operators import facets, graph, joins, merge, people, sheet, snapshots
 from lumenfold.operators import pivot as pv
 from lumenfold.operators.filters import Field, Filter, apply
 from lumenfold.plans.registry import query
 from lumenfold.session import shared_folder
-from lumenfold.sources import delimited, library
+from lumenfold.sources import delimited, library, pointer, ranges
 from lumenfold.sources.tables import table
 
 
@@ -102,14 +104,64 @@ def delete_cascade(spark, sf):
 
 @query("select s_suppkey, s_acctbal + 1 as s_acctbal from supplier")
 def publish_versions(spark, sf):
-    """Two versions published one after the other; what is current is the second."""
-    folder = f"{shared_folder(spark)}/published-{uuid4()}"
+    """Two versions published one after the other, and a third from the base of the second, which comes too late and is refused: the second is current."""
+    folder = f"{shared_folder(spark)}/published-{pointer.files_id(spark, f'{sf}/supplier.parquet')[:24]}"
+    pointer.drop(spark, folder)
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
-    merge.publish(supplier, folder)
-    merge.publish(merge.current(spark, folder).withColumn("s_acctbal", F.col("s_acctbal") + 1), folder)
+    first = merge.publish(supplier, folder)
+    merge.publish(merge.current(spark, folder).withColumn("s_acctbal", F.col("s_acctbal") + 1), folder, first)
+    with contextlib.suppress(pointer.Stale):
+        merge.publish(supplier.withColumn("s_acctbal", F.lit(0.0)), folder, first)
     return merge.current(spark, folder)
 
 
+@query("select o_orderkey, o_orderstatus from orders where o_orderkey % 3 <> 0 and o_custkey % 5 <> 0")
+def late_results(spark, sf):
+    """Results read from the orders as they were; a third of the orders changed and some are gone meanwhile."""
+    orders = table(spark, sf, "orders")
+    results = orders.select("o_orderkey", F.col("o_custkey").alias("version"), "o_orderstatus")
+    now = orders.filter("o_custkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("version"))
+    return merge.accept_results(results, now, "o_orderkey", "version").select("o_orderkey", "o_orderstatus")
+
+
+@query(
+    """with r as (select p_partkey, row_number() over (order by p_retailprice desc, p_partkey) as place from part)
+       select p_partkey, place::int as place, -1.0 as price_now from r where place between 31 and 60 and p_partkey % 7 <> 2"""
+)
+def snapshot_page(spark, sf):
+    """The second page of a search by price, read after all prices changed and a seventh of the parts went."""
+    part = table(spark, sf, "part")
+    folder = f"{shared_folder(spark)}/snapshots-{pointer.files_id(spark, f'{sf}/part.parquet')[:24]}"
+    token = snapshots.keep(spark, folder, part.select("p_partkey", "p_retailprice"), "p_partkey", [F.desc("p_retailprice")])
+    now = part.filter("p_partkey % 7 <> 2").select("p_partkey", F.lit(-1.0).alias("price_now"))
+    _, cursor, _ = snapshots.page(spark, folder, token, now, "p_partkey")
+    return snapshots.page(spark, folder, cursor, now, "p_partkey")[0].select("p_partkey", "place", "price_now")
+
+
+@query()
+def range_hashes(spark, sf):
+    """The stored documents' file in ranges of 256 KiB, each read by itself: (file, offset, size, sha256)."""
+    files = [f for f in spark.read.parquet(f"{sf}/documents.parquet").inputFiles()]
+    read = ranges.byte_ranges(spark, files, 256 << 10)
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "offset", F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+
+
+@query(
+    r"""with recursive n as (select p_brand as book, p_partkey % 4 as part, list(p_name || case when p_partkey % 3 = 0 then ' of the summer''s work' else '' end order by p_partkey) as names from part where p_partkey < 40000 group by all),
+         c as (select *, [upper(names[1])] as taken from n),
+         r as (select book, part, 0 as i, list_transform(taken, lambda x: lower(x)) as used, null::varchar as name, names from c
+           union all select book, part, i + 1, list_append(used, lower(f)), f, names from (select *, coalesce(case when not list_contains(used, lower(names[i + 1])) then names[i + 1] end,
+             list_filter(list_transform(range(2, len(used) + 3), lambda k: regexp_replace(names[i + 1][1:31 - length(' (' || k || ')')], '[\s'']+$', '') || ' (' || k || ')'), lambda x: not list_contains(used, lower(x)))[1]) as f from r where i < len(names)))
+       select book, part, i::int as seq, name from r where i > 0"""
+)
+def sheet_names(spark, sf):
+    """Names of parts as those of sheets put into one workbook per brand and quarter, where they clash in chains."""
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " of the summer's work").otherwise(""))
+    books = table(spark, sf, "part").filter("p_partkey < 40000").groupBy(F.col("p_brand").alias("book"), (F.col("p_partkey") % 4).alias("part")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("n")))).alias("x"))
+    free = sheet.free_names(F.col("x.n"), F.array(F.upper(F.col("x")[0]["n"])))
+    return books.select("book", "part", F.posexplode(free).alias("seq", "name")).withColumn("seq", F.col("seq") + 1)
+
+
 @query("select distinct unnest(json_keys(props)) as name from events union select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'])")
 def property_names(spark, sf):
     events = table(spark, sf, "events")
@@ -243,9 +295,25 @@ def markdown_blocks(spark, sf):
     return lines.select("conv_id", "turn", "seq", tx.markdown_kind(F.col("line")).alias("kind"))
 
 
-@query("select p_partkey, regexp_matches(lower(p_name || ' ' || p_type), 'r.*d.*e') as fits from part")
+@query(
+    """with t as (select p_partkey, lower(p_name || ' ' || p_type) as t from part), a as (select *, instr(t, 'r') as a from t), b as (select *, case when a > 0 and instr(t[a + 1:], 'd') > 0 then a + instr(t[a + 1:], 'd') else 0 end as b from a),
+            c as (select *, case when b > 0 and instr(t[b + 1:], 'e') > 0 then b + instr(t[b + 1:], 'e') else 0 end as c from b),
+            s as (select p_partkey, case when starts_with(t, 'rde') then 1000 - length(t) when contains(t, ' rde') then 801 - instr(t, ' rde') when contains(t, 'rde') then 601 - instr(t, 'rde')
+              when c = 0 then -1 else case when a = 1 then 6 else 1 end + case when b = a + 1 then 6 else 1 end + case when c = b + 1 then 6 else 1 end end as score from c)
+       select p_partkey, score::int as score, (row_number() over (order by score desc, p_partkey))::int as place from s where score >= 0"""
+)
 def palette_fuzzy(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", tx.fuzzy_match(F.concat_ws(" ", "p_name", "p_type"), "RDe").alias("fits"))
+    """What was typed fits these parts, best first."""
+    found = table(spark, sf, "part").select("p_partkey", tx.fuzzy_score(F.concat_ws(" ", "p_name", "p_type"), "RDe").alias("score")).filter("score >= 0")
+    return sheet.places(found, [F.col("score").desc(), F.col("p_partkey").asc()])
+
+
+@query(
+    """with t as (select p_partkey, lower(p_name) as t from part) select p_partkey, (case when starts_with(t, 're') then 1000 - length(t) when contains(t, ' re') then 801 - instr(t, ' re') when contains(t, 're') then 601 - instr(t, 're')
+         when regexp_matches(t, 'r.*e') then case when instr(t, 'r') = 1 then 6 else 1 end + 1 else -1 end)::int as score from t"""
+)
+def palette_scores(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tx.fuzzy_score(F.col("p_name"), "Re").alias("score"))
 
 
 @query(
