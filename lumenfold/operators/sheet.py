@@ -101,13 +101,19 @@ def kth(df: DataFrame, by: list[str], column: str, k: int, greatest: bool = True
     return rows.withColumn("_place", place).filter(F.col("_place") <= k).filter(F.col("_place") == k).drop("_place")
 
 
-# The function numbers of SUBTOTAL; 100 more leaves out rows hidden by hand too.
-SUBTOTALS = {1: F.avg, 2: F.count, 3: F.count, 4: F.max, 5: F.min, 6: F.product, 7: F.stddev_samp, 8: F.stddev_pop, 9: F.sum, 10: F.var_samp, 11: F.var_pop}
-
-
-def subtotal(number: int, column: str, visible: Column) -> Column:
-    """SUBTOTAL: an aggregate of the rows that are visible."""
-    return SUBTOTALS[number % 100](F.when(visible, F.col(column)))
+# The function numbers of SUBTOTAL over numbers; 2 counts numbers, 3 what isn't blank.
+SUBTOTALS = {1: F.avg, 2: F.count, 4: F.max, 5: F.min, 6: F.product, 7: F.stddev_samp, 8: F.stddev_pop, 9: F.sum, 10: F.var_samp, 11: F.var_pop}
+
+
+def subtotal(number: int, column: str, visible: Column, hidden: Column | None = None) -> Column:
+    """SUBTOTAL over the rows that a filter leaves ``visible``: texts aren't numbers, 3 counts what isn't blank, and 101 to 111 leave out rows ``hidden`` by hand too."""
+    if number % 100 not in {*SUBTOTALS, 3} or number // 100 > 1 or number < 1:
+        raise ValueError(f"no subtotal {number}")
+    seen = visible if number < 100 or hidden is None else visible & ~hidden
+    text = F.col(column).cast("string")
+    if number % 100 == 3:
+        return F.count_if(seen & text.isNotNull() & (text != ""))
+    return SUBTOTALS[number % 100](F.when(seen, text.try_cast("double")))
 
 
 def range_stats(df: DataFrame, columns: list[str]) -> DataFrame:

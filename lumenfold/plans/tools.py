@@ -12,9 +12,10 @@ from lumenfold.functions import sheet as fn
 from lumenfold.functions import markup
 from lumenfold.functions import text as tx
 from lumenfold.functions.formula import pivot_formula
-from lumenfold.operators import facets, graph, joins, merge, people, sheet, snapshots
+from lumenfold.operators import facets, graph, joins, merge, people, rules, sheet, snapshots
 from lumenfold.operators import pivot as pv
 from lumenfold.operators.filters import Field, Filter, apply
+from lumenfold.operators.rules import Rule
 from lumenfold.plans.registry import query
 from lumenfold.session import shared_folder
 from lumenfold.sources import delimited, library, pointer, ranges
@@ -138,6 +139,51 @@ def snapshot_page(spark, sf):
     return snapshots.page(spark, folder, cursor, now, "p_partkey")[0].select("p_partkey", "place", "price_now")
 
 
+_RULES = [
+    Rule("text", "containsErrors", stop=True),
+    Rule("text", "containsText", "GREEN"),
+    Rule("text", "beginsWith", "r"),
+    Rule("formula", value='=AND($B2>B1, MOD(D1,2)=0, LEFT(C1,5)<>"PROMO")'),
+    Rule("formula", value='=OR(B1>$B$3*1.5, LEN(A1)+D1=12)', stop=True),
+    Rule("duplicates"),
+    Rule("text", "notEqual", "Red Widget"),
+]
+
+
+def _cells(spark, sf):
+    """Parts as rows of a sheet: A the name or an error, B the price, C the type, D the size, in the order of their keys."""
+    name = F.when(F.col("p_partkey") % 13 == 0, "#N/A").otherwise(F.col("p_name"))
+    part = table(spark, sf, "part").select("p_partkey", name.alias("a"), F.col("p_retailprice").alias("b"), F.col("p_type").alias("c"), F.col("p_size").alias("d"))
+    return sheet.places(part, [F.col("p_partkey").asc()])
+
+
+_LETTERS = dict(zip("ABCD", "abcd", strict=True))
+_CELLS_SQL = """select row_number() over (order by p_partkey) as place, p_partkey, case when p_partkey % 13 = 0 then '#N/A' else p_name end as a, p_retailprice as b, p_type as c, p_size as d from part"""
+
+
+@query(
+    f"""with p as ({_CELLS_SQL}), t as (select *, lead(b) over (order by place) as b_next, (select b from p where place = 3) as b3, count(*) over (partition by lower(a)) as n from p),
+            r as (select *, a = '#N/A' as r0, contains(lower(a), 'green') as r1, starts_with(lower(a), 'r') as r2, coalesce(b_next > b and d % 2 = 0 and c[1:5] <> 'PROMO', false) as r3, b > b3 * 1.5 or length(a) + d = 12 as r4, n > 1 as r5, lower(a) <> 'red widget' as r6 from t)
+       select p_partkey, array_to_string(case when r0 then [0] else list_filter([case when r1 then 1 end, case when r2 then 2 end, case when r3 then 3 end, case when r4 then 4 end, case when r5 and not r4 then 5 end, case when r6 and not r4 then 6 end], lambda x: x is not null) end, ',') as rules from r"""
+)
+def rules_compiled(spark, sf):
+    """Conditional formats of a column, in order of priority: errors, texts, formulas with cells of this and the next row, duplicates."""
+    marked = rules.marked(_cells(spark, sf), "a", _RULES, columns=_LETTERS)
+    return marked.select("p_partkey", F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"))
+
+
+@query(
+    f"""with p as ({_CELLS_SQL}), s as (select *, lag(d) over (order by place) as d_before, avg(b) over () as mean from p)
+       select p_partkey, array_to_string(list_filter([case when not (b between 950 and 1500) then 'b' end, case when split_part(c, ' ', 1) not in ('PROMO', 'STANDARD', 'SMALL') then 'brand' end, case when length(c) >= 20 then 'c' end, case when not coalesce(d <> d_before, false) then 'd' end], lambda x: x is not null), ',') as broken from s"""
+)
+def validation_rules(spark, sf):
+    """Validation out of a list of rules: a number between bounds, one of a list, a text's length, and a formula about the row before."""
+    cells = _cells(spark, sf).withColumn("brand", F.split("c", " ")[0])
+    checks = {"b": Rule("decimal", "between", [1500, 950]), "brand": Rule("list", value=["promo", "Standard", "small"]), "c": Rule("textLength", "lessThan", 20), "d": Rule("custom", value="=D2<>D1")}
+    broken = rules.invalid(cells, checks, columns=_LETTERS, anchor=2)
+    return broken.select("p_partkey", F.array_join("broken", ",").alias("broken"))
+
+
 @query()
 def range_hashes(spark, sf):
     """The stored documents' file in ranges of 256 KiB, each read by itself: (file, offset, size, sha256)."""
