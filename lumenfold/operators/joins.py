@@ -12,6 +12,7 @@ from lumenfold.operators.sheet import places
 
 #: Distinct keys in a block of an approximate lookup.
 BLOCK_ROWS = 200_000
+MOST_BLOCKS = 2_048
 
 
 def owner(df: DataFrame, owners: list[tuple[DataFrame, str, str]], key: str, default: Column) -> DataFrame:
@@ -83,18 +84,27 @@ def lookup_approximate(df: DataFrame, table: DataFrame, key: str, table_key: str
     keys' order; what a block begins with is the last table row before it. So there is no range join. Equal wanted
     keys are looked up once, so a key that a third of the rows hold is one row here, and blocks have as many rows at any size.
     """
-    blocks = blocks or max(8, -(-df.select(key).distinct().count() // BLOCK_ROWS))
     wanted = df.select(F.col(key).alias("_w")).distinct()
-    found = _approximate(wanted, table, "_w", table_key, value, blocks).select(F.col("_w"), "found")
+    # of equal keys in the table the greatest value, before anything is put in order
+    once = table.filter(F.col(table_key).isNotNull()).groupBy(F.col(table_key).cast("double").alias("_t")).agg(F.max(value).alias(value))
+    found = _approximate(wanted, once, "_w", "_t", value, blocks).select(F.col("_w"), "found")
     return df.join(found, df[key].eqNullSafe(found["_w"]), "left").drop("_w")
 
 
-def _approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int) -> DataFrame:
+def _edges(marks: DataFrame, blocks: int | None) -> list[float]:
+    """Borders of blocks of about equal numbers of rows of both sides, in one aggregation."""
+    places = [i / MOST_BLOCKS for i in range(1, MOST_BLOCKS)]
+    told = marks.agg(F.count("*").alias("n"), F.percentile_approx("k", places, 4 * MOST_BLOCKS).alias("at")).first()
+    blocks = min(blocks or max(8, -(-told["n"] // BLOCK_ROWS)), MOST_BLOCKS)
+    at = told["at"] or [0.0]
+    return sorted({at[i * len(at) // blocks] for i in range(1, blocks)} or {at[0]})
+
+
+def _approximate(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, blocks: int | None) -> DataFrame:
     kind = table.schema[value].dataType
     rows = df.select(F.col(key).cast("double").alias("k"), F.lit(1).alias("side"), F.struct(*(df[c] for c in df.columns)).alias("row"), F.lit(None).cast(kind).alias("v"))
-    marks = rows.filter("k is not null").unionByName(table.filter(F.col(table_key).isNotNull()).select(F.col(table_key).cast("double").alias("k"), F.lit(0).alias("side"), F.col(value).alias("v")), allowMissingColumns=True)
-    # blocks of about equal numbers of rows, by the wanted keys' quantiles
-    edges = sorted(set(df.withColumn("_k", F.col(key).cast("double")).approxQuantile("_k", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) or [0.0]
+    marks = rows.filter("k is not null").unionByName(table.select(F.col(table_key).alias("k"), F.lit(0).alias("side"), F.col(value).alias("v")), allowMissingColumns=True)
+    edges = _edges(marks, blocks)
     marks = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="k", outputCol="block").transform(marks)
     marks = marks.withColumn("block", F.col("block").cast("int"))
     carry = marks.filter("side = 0").groupBy("block").agg(F.max_by("v", "k").alias("last"))
@@ -129,8 +139,11 @@ def consolidate_position(areas: list[DataFrame], how: str = "sum") -> DataFrame:
 def citation_entries(citations: DataFrame, references: DataFrame) -> DataFrame:
     """Author-year citations (id, surname, year) with the references (id, surname, year) they can mean; the year may carry a letter."""
     y = references.select(F.col("id").alias("ref"), F.lower("surname").alias("s"), F.col("year").cast("string").alias("y"))
-    x = citations.withColumn("s", F.lower("surname"))
-    return x.join(y, "s").filter((F.col("year").cast("string") == F.col("y")) | (F.substring(F.col("year").cast("string"), 1, 4) == F.col("y"))).select("id", "ref")
+    year = F.col("year").cast("string")
+    x = citations.select("id", F.lower("surname").alias("s"), year.alias("whole"), F.substring(year, 1, 4).alias("bare"))
+    # the year as it is, and, where it has a letter, without it: two equi-joins
+    same = x.join(y, (x["s"] == y["s"]) & (x["whole"] == y["y"])).select("id", "ref")
+    return same.unionAll(x.filter("whole <> bare").join(y, (x["s"] == y["s"]) & (x["bare"] == y["y"])).select("id", "ref"))
 
 
 def federate(parts: dict[str, DataFrame]) -> DataFrame:

@@ -44,10 +44,19 @@ def _initials(given: Column) -> Column:
 
 
 def same_name(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) of names (id, family, given) with one family name, where the initials of one begin with the other's."""
-    x = a.select(F.col("id").alias("a_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("x"))
-    y = b.select(F.col("id").alias("b_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("y"))
-    return x.join(y, "f").filter(F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x"))).select("a_id", "b_id")
+    """(a_id, b_id) of names (id, family, given) with one family name, where the initials of one begin with the other's.
+
+    Names with initials meet over the family name and the first of them; only a name without any meets its whole family.
+    """
+    x = a.select(F.col("id").alias("a_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("x")).withColumn("i", F.substring("x", 1, 1))
+    y = b.select(F.col("id").alias("b_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("y")).withColumn("i", F.substring("y", 1, 1))
+    both = x.filter("x <> ''").join(y.filter("y <> ''"), ["f", "i"]).filter(F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x")))
+    parts = [both, x.filter("x = ''").join(y, "f"), x.filter("x <> ''").join(y.filter("y = ''"), "f")]
+    out = None
+    for p in parts:
+        p = p.select("a_id", "b_id")
+        out = p if out is None else out.unionAll(p)
+    return out
 
 
 def hierarchy(leaves: DataFrame, parents: list[tuple[DataFrame, str]], key: str) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions import sheet as fn
 from lumenfold.functions import markup
+from lumenfold.functions import sheet as fn
 from lumenfold.functions import text as tx
 from lumenfold.functions.formula import pivot_formula
 from lumenfold.operators import facets, graph, joins, merge, people, rules, sheet, snapshots
@@ -17,7 +16,7 @@ from lumenfold.operators import pivot as pv
 from lumenfold.operators.filters import Field, Filter, apply
 from lumenfold.operators.rules import Rule
 from lumenfold.plans.registry import query
-from lumenfold.session import shared_folder
+from lumenfold.session import checkpoint, shared_folder
 from lumenfold.sources import delimited, library, pointer, ranges
 from lumenfold.sources.tables import table
 
@@ -462,6 +461,7 @@ def listing_page(spark, sf):
 
     found = phrase_filter(table(spark, sf, "documents", spread=True), "text", "license")
     found = found.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_chars")
+    found = checkpoint(found)  # two short columns, read for the number and for the page
     total = found.count()
     return found.orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(10).select("doc_id", F.lit(total).cast("long").alias("total"))
 

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import chunk, merge
 from lumenfold.plans.registry import query
+from lumenfold.session import shared_folder
+from lumenfold.sources import pointer
 from lumenfold.sources.tables import table
+from lumenfold.streaming import ingest, statistics
 from lumenfold.streaming.ingest import windowed
 
 
@@ -122,3 +125,20 @@ def leading_text(spark, sf):
 @query("""select date_trunc('hour', ts) as start, date_trunc('hour', ts) + interval 1 hour as "end", event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2, 3""")
 def event_tumbling(spark, sf):
     return windowed(table(spark, sf, "events"), "ts", "1 hour", ["event_type"], {"n": F.count("*"), "total": F.round(F.sum("value"), 4)})
+
+
+@query(
+    """with c as (select 'p_size' as "column", p_size::varchar as t from part union all select 'p_retailprice', p_retailprice::varchar from part union all select 'p_brand', p_brand from part)
+       select "column", count(*)::bigint as cells, count(*) filter (where t <> '')::bigint as non_empty, count(distinct t)::bigint as "distinct", count(try_cast(t as double))::bigint as numbers,
+              round(sum(try_cast(t as double)), 2) as sum, min(try_cast(t as double)) as min, max(try_cast(t as double)) as max, round(avg(try_cast(t as double)), 4) as average from c group by 1"""
+)
+def range_stats_stream(spark, sf):
+    """range_stats of the parts as a stream of five chunks, with the aggregators as state."""
+    folder = f"{shared_folder(spark)}/stream-{pointer.files_id(spark, f'{sf}/part.parquet')[:24]}"
+    pointer.drop(spark, folder)
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    part.repartition(5, "p_partkey").write.parquet(f"{folder}/in")
+    chunks = ingest.tail(spark, f"{folder}/in", "p_partkey long, p_size int, p_retailprice double, p_brand string", files_per_batch=1)
+    ingest.run_to_end(statistics.run(chunks, ["p_size", "p_retailprice", "p_brand"], f"{folder}/out", f"{folder}/checkpoint", salts=8))
+    s = statistics.result(spark, f"{folder}/out")
+    return s.withColumn("sum", F.round("sum", 2)).withColumn("average", F.round("average", 4))
