@@ -1,7 +1,9 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is fitted on a sample of at most about ``SAMPLE`` vectors (a documented bound); every vector is then filed
-in the leaf it descends to. A query walks the tree best bin first: a priority queue holds the open nodes by
+The tree is fitted on a sample of at most about ``SAMPLE`` vectors (a documented bound). Where a table is so large that leaves hold
+more than ``LARGE`` vectors, each of these grows a tree of its own, fitted in a task of its own on at most about ``INNER`` of its members,
+so leaves follow the table: up to some 400 x 128 of them, and a bounded number of centres in all. Every vector is then filed in the leaf it
+descends to. A query walks the tree best bin first: a priority queue holds the open nodes by
 distance to their centres, the nearest is opened next, and a leaf that is popped is visited. How many leaves
 are visited is calibrated (a walk goes on past that until its leaves hold k + 1 vectors): for at most about ``PROBES`` queries the true neighbours are found by brute force over all
 vectors, and visits are widened until ``recall`` of them are reached.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.sparkkit import cut, map_arrow
 
 SAMPLE = 20_000
+LARGE = 2_048
+INNER = 8_192
 PROBES = 200
 RECALL = 0.97
 BRANCH = 8
@@ -63,6 +67,25 @@ class Tree:
             self.children[node] = [self._grow(p, branch, leaf, rng) for p in parts]
         return node
 
+    def graft(self, leaf: int, inner: Tree) -> None:
+        """Put a tree in a leaf's place."""
+        base = len(self.centres)
+        self.centres += inner.centres
+        self.children += [[kid + base for kid in kids] for kids in inner.children]
+        self.children[leaf] = self.children[base]
+        self.stacked = np.array(self.centres)
+
+    @property
+    def leaves(self) -> list[int]:
+        """The leaves that can be reached."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += self.children[node]
+            if not self.children[node]:
+                out.append(node)
+        return out
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
         open_nodes = [(0, np.arange(len(x)))]
@@ -151,6 +174,35 @@ def _threshold(x: DataFrame, rows: int, salt: str) -> DataFrame:
     return x.filter(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 31)) < int((1 << 31) * rows / there))
 
 
+def grown(x: DataFrame, tree: Tree, large: int = LARGE, inner: int = INNER) -> Tree:
+    """The tree with trees of their own in leaves that hold more than ``large`` of the vectors."""
+    shared = x.sparkSession.sparkContext.broadcast(tree)
+
+    def file(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array(shared.value.leaf_of(_matrix(batch["v"]))), batch["vec_id"], batch["v"]], ["leaf", "vec_id", "v"])
+
+    filed = map_arrow(x.select("vec_id", "v"), file, "leaf long, vec_id long, v array<double>")
+    crowded = filed.groupBy("leaf").count().filter(F.col("count") > large)
+    share = F.least(F.lit(1.0), F.lit(float(inner)) / F.col("count")) * (1 << 31)
+    some = filed.join(F.broadcast(crowded), "leaf").filter(F.pmod(F.xxhash64("vec_id", F.lit("inner")), F.lit(1 << 31)) < share)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        own = Tree(_matrix(rows["v"].combine_chunks()))
+        kids = pa.array(own.children, pa.list_(pa.int64()))
+        return pa.table([pa.array([rows["leaf"][0].as_py()] * len(own.centres), pa.int64()), pa.array(np.arange(len(own.centres))), pa.array(list(own.stacked), pa.list_(pa.float64())), kids], ["leaf", "node", "centre", "kids"])
+
+    made: dict[int, list] = {}
+    # at most some 150 centres for each leaf of the first tree
+    for r in some.groupBy("leaf").applyInArrow(fit, "leaf long, node long, centre array<double>, kids array<long>").collect():
+        made.setdefault(r["leaf"], []).append((r["node"], r["centre"], r["kids"]))
+    for leaf in sorted(made):
+        own = Tree.__new__(Tree)
+        rows = sorted(made[leaf])
+        own.centres, own.children = [np.array(c) for _, c, _ in rows], [list(k) for _, _, k in rows]
+        tree.graft(leaf, own)
+    return tree
+
+
 def calibrate(x: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, probes: int = PROBES) -> int:
     """The least number of leaf visits that reaches ``recall`` of the true neighbours of some queries."""
     some = [(r["vec_id"], r["v"]) for r in _threshold(queries, probes, "probe").collect()]
@@ -165,15 +217,15 @@ def calibrate(x: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: floa
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, piece: int = PIECE, askers: int = ASKERS) -> DataFrame:
-    """query_id, rank, vec_id, score and visited (leaves searched for the query): the k nearest found of each row whose id is divisible by ``every``."""
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, piece: int = PIECE, askers: int = ASKERS, large: int = LARGE) -> DataFrame:
+    """query_id, rank, vec_id, score, visited (leaves searched for the query) and leaves (there are): the k nearest found of each row whose id is divisible by ``every``."""
     x = cut(usable(embeddings))
     spark = embeddings.sparkSession
     fit = [r["v"] for r in _threshold(x.select("vec_id", "v"), sample, "fit").select("v").collect()]
-    schema = "query_id long, rank int, vec_id long, score double, visited int"
+    schema = "query_id long, rank int, vec_id long, score double, visited int, leaves int"
     if not fit:
         return spark.createDataFrame([], schema)
-    tree = Tree(np.array(fit))
+    tree = grown(x, Tree(np.array(fit)), large)
     queries = x.filter(F.col("vec_id") % every == 0).distinct()
     visits = calibrate(x, queries, tree, k, recall)
     shared = spark.sparkContext.broadcast(tree)
@@ -197,7 +249,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
     filed = cut(filed)
     # one short row for each leaf, of which the tree has a bounded number; ids are counted up to k + 1 for equal vectors
     held = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()}
-    held = {node: held.get(node, 0) for node, kids in enumerate(tree.children) if not kids}
+    held = {node: held.get(node, 0) for node in tree.leaves}
     walks = cut(map_arrow(queries, walk, "query_id long, query binary, leaves array<long>").select("query_id", "query", F.size("leaves").alias("visited"), F.explode("leaves").alias("leaf")))
     pieces = filed.groupBy("leaf").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
     turns = walks.groupBy("leaf").agg(F.ceil(F.count("*") / askers).cast("int").alias("turns"))
@@ -219,7 +271,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, recall: float =
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double, visited int")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.first("visited").alias("visited"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "visited")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "visited", F.lit(len(held)).alias("leaves"))
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:

@@ -62,3 +62,24 @@ def test_queries_among_small_leaves_get_k_rows(spark):
         per_query.setdefault(r.query_id, []).append(r["rank"])
     assert len(per_query) == 30 and all(sorted(x) == list(range(1, 11)) for x in per_query.values())
     assert len({r.visited for r in found}) > 1
+
+
+def clustered(n, groups, wide=16, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, wide))
+    return [(i, (centres[i % groups] + rng.normal(size=wide) * 0.08).tolist()) for i in range(n)]
+
+
+def test_leaves_follow_the_table_and_few_are_visited(spark):
+    rows = clustered(12_000, 150)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 100, 10)
+    for sample, large in ((20_000, 2_048), (600, 256)):  # one tree; a small one whose leaves grow trees
+        found = search(df, sample=sample, large=large).collect()
+        near = {}
+        for r in found:
+            near.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = sum(len(near[q] & {v for _, v in w}) for q, w in want.items()) / (10 * len(want))
+        share = sum(r.visited for r in found) / sum(r.leaves for r in found)
+        assert recall >= 0.95 and share < 0.2, (recall, share)
+        assert found[0].leaves > 100, found[0].leaves
