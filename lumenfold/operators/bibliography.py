@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as tx
+from lumenfold.session import checkpoint
 
 # Bounds of a list and of its entries, and words that are no surnames.
 MAX_ENTRIES, MAX_ENTRY, MIN_LETTERS, MAX_AUTHORS = 1000, 2000, 12, 220
@@ -22,18 +23,17 @@ _YEAR = r"(?<![\p{L}\p{N}])(?:19|20)[0-9]{2}[a-z]?(?![\p{L}\p{N}])"
 _MARKER = r"^(?:\[([0-9]{1,4})\]|\(([0-9]{1,4})\)|([0-9]{1,4})(?=[.:\s]|$))"
 
 
-def heading_end(text: Column) -> Column:
-    """How many letters lie up to the end of the heading of the reference list; null without one.
+def below_heading(text: Column) -> Column:
+    """What stands below the heading of the reference list; null without one.
 
     The heading is ``references``, else ``bibliography``, a word of its own on a line with at most six other signs before it, none of them a letter.
     """
 
-    def found(word: str) -> Column:
+    def cut(word: str) -> Column:
         line = rf"(?i)(?<![^\r\n])[^\p{{L}}\r\n]{{0,6}}{word}(?=[^\S\r\n]{{0,3}}(?:[\r\n]|$))"
-        at = F.regexp_instr(text, F.lit(line))
-        return F.when(at > 0, at - 1 + F.char_length(F.regexp_substr(text, F.lit(line))))
+        return F.get(F.split(text, line, 2), F.lit(1))
 
-    return F.coalesce(found("references"), found("bibliography"))
+    return F.coalesce(cut("references"), cut("bibliography"))
 
 
 def collapse(c: Column) -> Column:
@@ -69,8 +69,8 @@ def _begins(line: Column, indent: Column, before: Column, indent_before: Column)
 
 def list_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, seq, line, indent) of the lines under each document's heading that aren't blank."""
-    tail = docs.select(key, F.substr(F.col(text), heading_end(F.col(text)) + 1).alias("tail")).filter("tail is not null")
-    lines = tail.select(key, F.posexplode(F.split("tail", "[\r\n]")).alias("seq", "raw"))
+    # exploding null gives no rows, so the heading is looked for once
+    lines = docs.select(key, F.posexplode(F.split(below_heading(F.col(text)), "[\r\n]")).alias("seq", "raw"))
     return lines.select(key, "seq", collapse(F.col("raw")).alias("line"), F.char_length(F.regexp_extract("raw", r"(?U)^(\s*)", 1)).alias("indent")).filter("line <> ''")
 
 
@@ -92,7 +92,7 @@ def reference_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     heading inside running text, or a list without one, isn't looked for. ``key`` names a row: texts of one key are read as one.
     """
     order = W.partitionBy(key).orderBy("seq")
-    lines = list_lines(docs, key, text)
+    lines = checkpoint(list_lines(docs, key, text))  # both readings start from the lists' lines alone
     mark = F.regexp_extract("line", _MARKER, 0)
     number = F.when(mark != "", F.regexp_replace(mark, "[^0-9]", "").cast("int"))
     lines = lines.withColumn("number", F.when(number.between(1, MAX_ENTRIES), number)).withColumn("begins", _begins(F.col("line"), F.col("indent"), F.lag("line").over(order), F.lag("indent").over(order)))
