@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -71,6 +72,31 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.?!]) (?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+# Abbreviations whose stop ends no sentence, and what may close a sentence behind its stop.
+ABBREVIATIONS = "mr mrs ms dr prof fig eq sec vs etc al e.g i.e".split()
+_CLOSING = r"[.!?”’\"')\]}]"
+
+
+def plausible_sentences(c: Column) -> Column:
+    """The sentences of a paragraph that read like some.
+
+    A sentence ends with . ! or ? and what closes it, before a blank or the end; a stop behind an abbreviation or a single letter ends none. What is left
+    at the end is one too. Kept are those without @, with five letters, letters being 45 of 100 signs, and two words, or four without an end.
+    """
+    short = "|".join(re.escape(a) for a in ABBREVIATIONS)
+    stop = rf"(?<!(?:^|\s)[^\p{{L}}\p{{N}}.\s]{{0,8}}(?:(?i:{short})|[A-Za-z])[^\p{{L}}\p{{N}}.\s]{{0,8}})\."
+    found = F.regexp_extract_all(c, F.lit(rf"(?s)(?=\S).*?(?:(?:{stop}|[!?]){_CLOSING}*+(?=\s|\z)|(?=\s*\z))"), F.lit(0))
+    letters = lambda x: F.char_length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"\p{L}")))
+    ended = lambda x: x.rlike(r"[.!?][”’\"')\]}]*$")
+
+    def plausible(x: Column) -> Column:
+        visible = F.char_length(F.regexp_replace(x, r"\s", ""))
+        return ~x.contains("@") & (letters(x) >= 5) & (letters(x) * 100 >= visible * 45) & (words(x) >= F.when(ended(x), 2).otherwise(4))
+
+    return F.filter(found, plausible)
+
+
 def html_to_text(c: Column) -> Column:
     """Text of a page: silent elements go with what they hold, block tags break lines, other tags go, entities are decoded (``&amp;lt;`` twice).
 

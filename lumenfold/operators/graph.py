@@ -112,3 +112,23 @@ def backlinks(links: DataFrame, kind: str, node: str, own: DataFrame) -> DataFra
 def broken(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links whose target (kind, id) isn't there."""
     return links.join(nodes.select(F.col("kind").alias("to_kind"), F.col("id").alias("to_id")), ["to_kind", "to_id"], "left_anti")
+
+
+def mended(links: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
+    """The links (to_kind, to_id, to_anchor, broken_at, ...) with ``broken_at`` brought up to date.
+
+    nodes (kind, id, anchors): what is there, and which anchors it has (null: none are known). A link whose target is gone is broken since ``now``, one
+    that was broken before keeps its time; one whose target is back is whole again, but a link to an anchor only if that is
+    there too.
+    """
+    there = nodes.groupBy(F.col("kind").alias("to_kind"), F.col("id").alias("to_id")).agg(F.flatten(F.collect_list(F.coalesce("anchors", F.array().cast("array<string>")))).alias("_anchors"))
+    found = links.join(there, ["to_kind", "to_id"], "left")
+    whole = F.col("_anchors").isNotNull() & (F.col("to_anchor").isNull() | F.coalesce(F.array_contains("_anchors", F.col("to_anchor")), F.lit(False)))
+    return found.withColumn("broken_at", F.when(~whole, F.coalesce("broken_at", now))).select(*links.columns)
+
+
+def cited_both_ways(cites: DataFrame, works: DataFrame) -> DataFrame:
+    """(work, other, direction): the works that each one ``cites``, and those it is ``cited by``; cites (citing, ref) are matched as in match_cited()."""
+    pairs = match_cited(cites, works).select("citing", "cited").distinct()
+    there = pairs.select(F.col("citing").alias("work"), F.col("cited").alias("other"), F.lit("cites").alias("direction"))
+    return there.unionAll(pairs.select("cited", "citing", F.lit("cited by")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import phrase, tokens
+from lumenfold.functions.text import excerpt, phrase, tokens
 from lumenfold.operators import postings
 from lumenfold.operators.postings import idf, query_terms, saturated, term_of
 from lumenfold.session import checkpoint
@@ -181,6 +181,22 @@ def best_passages(hits: DataFrame, owner: str, key: str, n: int = 3) -> DataFram
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+def hit_passages(hits: DataFrame, passages: DataFrame, key: str, owner: str, snippet: Column, shown: DataFrame | None = None, n: int = 3) -> DataFrame:
+    """(owner, key, place, score, related, snippet) of each owner's n best passages.
+
+    hits (key, score, keyword); passages (key, owner, text, note, page, seconds). A passage found by meaning alone is ``related`` and shows its
+    beginning, others the words that were found (``snippet``). An abstract is a passage too (of no note, page or time): for
+    owners in ``shown``, whose abstract shows as a field, it is left out, and the next best moves up.
+    """
+    found = hits.join(passages, key)
+    if shown is not None:
+        abstract = F.col("note").isNull() & F.col("page").isNull() & F.col("seconds").isNull()
+        found = found.join(shown.select(owner, F.lit(True).alias("_shown")), owner, "left").filter(~(abstract & F.coalesce("_shown", F.lit(False))))
+    best = best_passages(found, owner, key, n)
+    text = F.when(F.col("keyword"), snippet).otherwise(excerpt(F.col("text"), 220))
+    return best.select(owner, key, "place", "score", (~F.col("keyword")).alias("related"), text.alias("snippet"))
+
+
 def name_lift(files: DataFrame, name: str, words: list[str], n: int = 50) -> DataFrame:
     """Files whose name holds all words of two letters or more, shortest names first, with their rank."""
     test = F.lit(True)

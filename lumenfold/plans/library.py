@@ -219,6 +219,21 @@ def citation_match_self_join(spark, sf):
     return graph.match_cited(cites, works)
 
 
+@query(
+    """with works as (select p_partkey as id, 'W' || p_partkey as openalex_id, case when p_partkey % 3 = 0 then '10.1000/' || p_partkey end as doi from part),
+            cites as (select distinct l_suppkey % 500 as citing, case when l_partkey % 3 = 0 then 'https://doi.org/10.1000/' || l_partkey else 'W' || l_partkey end as ref from lineitem),
+            m as (select c.citing, c.ref, min(w.id) as cited from cites c join works w on (c.ref = w.openalex_id or lower(c.ref) = 'https://doi.org/' || lower(w.doi)) and w.id <> c.citing group by c.citing, c.ref)
+       select distinct citing as work, cited as other, 'cites' as direction from m union all select distinct cited, citing, 'cited by' from m"""
+)
+def citations_both_ways(spark, sf):
+    """What each work cites and what cites it."""
+    part, line = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    key, k = F.col("p_partkey").cast("string"), F.col("l_partkey").cast("string")
+    works = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("W"), key).alias("openalex_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("10.1000/"), key)).alias("doi"))
+    ref = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), k)).otherwise(F.concat(F.lit("W"), k))
+    return graph.cited_both_ways(line.select((F.col("l_suppkey") % 500).alias("citing"), ref.alias("ref")).distinct(), works)
+
+
 @query(
     """with l as (select 'source' as from_kind, (l_orderkey % 1000)::varchar as from_id, 'source' as to_kind, (l_partkey % 1000)::varchar as to_id, l_linenumber as pos from lineitem
                   union all select 'note', (l_suppkey % 50)::varchar, 'source', (l_partkey % 1000)::varchar, l_linenumber from lineitem)

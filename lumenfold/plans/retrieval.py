@@ -273,6 +273,29 @@ def sentence_context(spark, sf):
     return chunk.sentence_context(table(spark, sf, "documents", spread=True), "doc_id")
 
 
+@query()
+def sentence_recognise(spark, sf):
+    """The sentences of every document's lines that read like some."""
+    lines = table(spark, sf, "documents", spread=True).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", F.posexplode(tx.plausible_sentences(F.col("text"))).alias("seq", "sentence"))
+
+
+@query(
+    f"""with h as ({HYBRID_SQL}), p as (select doc_id, source, case when doc_id % 3 > 0 then 1 end as page, text from documents),
+            f as (select h.*, p.source, p.text, row_number() over (partition by source order by score desc, doc_id) as place from h join p using (doc_id) where not (page is null and source in ('src0', 'src1', 'src2', 'src3', 'src4')))
+       select source, doc_id, place::int as place, not keyword as related, case when keyword then 'found' when length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 220 then trim(regexp_replace(text, '\\s+', ' ', 'g'))
+              else coalesce(nullif(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:220], '^(.*) ', 1), ''), trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:220]) || '…' end as snippet from f where place <= 3"""
+)
+def hit_passages(spark, sf):
+    """Each source's best passages; of some sources the abstract (here every third document) shows elsewhere."""
+    docs = table(spark, sf, "documents")
+    none = F.lit(None).cast("string")
+    passages = docs.select("doc_id", "source", "text", none.alias("note"), F.when(F.col("doc_id") % 3 > 0, 1).alias("page"), none.alias("seconds"))
+    shown = docs.select("source").filter(F.col("source").isin([f"src{k}" for k in range(5)])).distinct()
+    found = search.hit_passages(hybrid_search(spark, sf), passages, "doc_id", "source", F.lit("found"), shown)
+    return found.select("source", "doc_id", "place", "related", "snippet")
+
+
 @query()
 def passage_chunk(spark, sf):
     """Every document packed into passages."""

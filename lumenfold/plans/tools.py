@@ -183,6 +183,19 @@ def validation_rules(spark, sf):
     return broken.select("p_partkey", F.array_join("broken", ",").alias("broken"))
 
 
+@query(
+    """select l_orderkey, l_linenumber, case when l_suppkey % 5 = 0 or (l_linenumber % 3 = 0 and not (l_linenumber % 2 = 0 and l_suppkey % 2 = 0)) then case when l_partkey % 4 = 0 then 7 else 100 end end::bigint as broken_at from lineitem"""
+)
+def links_mended(spark, sf):
+    """Links of line items to suppliers, some to anchors; every fifth supplier is gone, some links were broken before, some targets are back."""
+    line = table(spark, sf, "lineitem")
+    anchor = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("highlight:"), (F.col("l_linenumber") % 2).cast("string")))
+    links = line.select("l_orderkey", "l_linenumber", F.lit("source").alias("to_kind"), F.col("l_suppkey").alias("to_id"), anchor.alias("to_anchor"), F.when(F.col("l_partkey") % 4 == 0, F.lit(7).cast("long")).alias("broken_at"))
+    there = line.filter("l_suppkey % 5 <> 0").select(F.lit("source").alias("kind"), F.col("l_suppkey").alias("id")).distinct()
+    nodes = there.withColumn("anchors", F.when(F.col("id") % 2 == 0, F.array(F.lit("highlight:0"))))
+    return graph.mended(links, nodes, F.lit(100).cast("long")).select("l_orderkey", "l_linenumber", "broken_at")
+
+
 @query()
 def range_hashes(spark, sf):
     """The stored documents' file in ranges of 256 KiB, each read by itself: (file, offset, size, sha256)."""
