@@ -25,7 +25,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -198,10 +198,10 @@ class Vocabulary:
             live[at + 1] = False
             place = np.cumsum(live) - 1
             sym, word, made, at = sym[live], word[live], made[live], place[at]
-            for x in (at, at[at > 0] - 1):
-                x = x[(x + 1 < len(sym))]
-                x = x[word[x] == word[x + 1]]
-                made[x] = self._join(sym[x], sym[x + 1])
+            x = np.concatenate([at, at[at > 0] - 1])
+            x = x[x + 1 < len(sym)]
+            x = x[word[x] == word[x + 1]]
+            made[x] = self._join(sym[x], sym[x + 1])
             ends = at[(at + 1 == len(sym)) | (word[np.minimum(at + 1, len(sym) - 1)] != word[at])]
             made[ends] = self.count
         word, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
@@ -273,11 +273,14 @@ class Encoder:
     def batch(self, texts: list[str]) -> tuple[pa.ListArray, pa.BooleanArray]:
         """(ids, agrees) of each text."""
         cut = [self.words(t) for t in texts]
-        new = [w for w in set(chain.from_iterable(cut)) if w not in self.known]
-        if new:
-            self._learn(new)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
+        every = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [every[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
         begin, size = np.cumsum(self.size) - self.size, self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], size)]
