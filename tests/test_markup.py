@@ -236,5 +236,5 @@ def test_pages(spark):
 def test_columns(spark):
     df = spark.createDataFrame([("<b>x</b>", {"K": "s"}), (None, None)], "h string, k map<string,string>")
     assert [r[0] for r in df.select(markup.html_to_markdown(F.col("h"), F.col("k"))).collect()] == ["**x**", None]
-    text = spark.createDataFrame([("<p>One &amp; two</p><P class='a'>Three<br/>four<b>\n  five  </b><x <li>six</ul>&lt;&amp;lt;<p",)], "h string").select(markup.note_text(F.col("h"))).first()[0]
-    assert text == "One & two\nThree\nfour\nfive\nsix<&lt;"
+    text = spark.createDataFrame([("<p>Salt &amp; tin</p><P class='a'>Lead<br/>zinc<b>\n  iron  </b><x <li>gold</ul>&lt;&amp;lt;<p",)], "h string").select(markup.note_text(F.col("h"))).first()[0]
+    assert text == "Salt & tin\nLead\nzinc\niron\ngold<&lt;"
