@@ -205,19 +205,19 @@ def range_hashes(spark, sf):
 
 
 @query(
-    r"""with recursive n as (select p_brand as book, p_partkey % 4 as part, list(p_name || case when p_partkey % 3 = 0 then ' of the summer''s work' else '' end order by p_partkey) as names from part where p_partkey < 40000 group by all),
+    r"""with recursive n as (select p_partkey // 40 as book, list(p_name || case when p_partkey % 3 = 0 then ' of the summer''s work' else '' end order by p_partkey) as names from part group by all),
          c as (select *, [upper(names[1])] as taken from n),
-         r as (select book, part, 0 as i, list_transform(taken, lambda x: lower(x)) as used, null::varchar as name, names from c
-           union all select book, part, i + 1, list_append(used, lower(f)), f, names from (select *, coalesce(case when not list_contains(used, lower(names[i + 1])) then names[i + 1] end,
+         r as (select book, 0 as i, list_transform(taken, lambda x: lower(x)) as used, null::varchar as name, names from c
+           union all select book, i + 1, list_append(used, lower(f)), f, names from (select *, coalesce(case when not list_contains(used, lower(names[i + 1])) then names[i + 1] end,
              list_filter(list_transform(range(2, len(used) + 3), lambda k: regexp_replace(names[i + 1][1:31 - length(' (' || k || ')')], '[\s'']+$', '') || ' (' || k || ')'), lambda x: not list_contains(used, lower(x)))[1]) as f from r where i < len(names)))
-       select book, part, i::int as seq, name from r where i > 0"""
+       select book, i::int as seq, name from r where i > 0"""
 )
 def sheet_names(spark, sf):
-    """Names of parts as those of sheets put into one workbook per brand and quarter, where they clash in chains."""
+    """Names of parts as those of sheets, forty to a workbook, where they clash in chains."""
     name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " of the summer's work").otherwise(""))
-    books = table(spark, sf, "part").filter("p_partkey < 40000").groupBy(F.col("p_brand").alias("book"), (F.col("p_partkey") % 4).alias("part")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("n")))).alias("x"))
+    books = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("book")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("n")))).alias("x"))
     free = sheet.free_names(F.col("x.n"), F.array(F.upper(F.col("x")[0]["n"])))
-    return books.select("book", "part", F.posexplode(free).alias("seq", "name")).withColumn("seq", F.col("seq") + 1)
+    return books.select("book", F.posexplode(free).alias("seq", "name")).withColumn("seq", F.col("seq") + 1)
 
 
 @query("select distinct unnest(json_keys(props)) as name from events union select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'])")
