@@ -28,11 +28,12 @@ class RangeAggregator(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", _TOTALS, self.ttl_ms)
-        self.seen = handle.getMapState("seen", "text string", "once boolean", self.ttl_ms)
+        self.seen = handle.getListState("seen", "text string", self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         known = self.totals.get()
         cells, non_empty, numbers, total, least, greatest, different = known if known else (0, 0, 0, 0.0, None, None, 0)
+        fresh: set[str] = set()
         for frame in rows:
             text = frame["text"]
             filled = text[text.notna() & (text != "")]
@@ -42,14 +43,16 @@ class RangeAggregator(StatefulProcessor):
                 numbers, total = numbers + len(number), total + float(number.sum())
                 least, greatest = min(x for x in (least, float(number.min())) if x is not None), max(x for x in (greatest, float(number.max())) if x is not None)
             if different >= 0:
-                for value in filled.unique():
-                    if not self.seen.containsKey((value,)):
-                        self.seen.updateValue((value,), (True,))
-                        different += 1
-                        if different > self.most:
-                            different = -1  # too many to be told; they aren't kept any longer
-                            self.seen.clear()
-                            break
+                fresh.update(filled.unique())
+        if different >= 0:
+            # the part's values are read once a chunk and the new ones put behind them together
+            fresh.difference_update(text for (text,) in self.seen.get())
+            different += len(fresh)
+            if different > self.most:
+                different = -1  # too many to be told; they aren't kept any longer
+                self.seen.clear()
+            elif fresh:
+                self.seen.appendList([(text,) for text in sorted(fresh)])
         self.totals.update((cells, non_empty, numbers, total, least, greatest, different))
         yield pd.DataFrame([[*key, cells, non_empty, numbers, total, least, greatest, different]], columns=[c.split()[0] for c in _OUT.split(", ")])
 
