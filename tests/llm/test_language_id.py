@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from lumenfold.llm.language_id import Profiles, language_id
@@ -34,3 +37,32 @@ def test_defined_cases(spark):
     nothing = df.withColumn("lang", df.lang.substr(99, 1).cast("string")).filter("doc_id > 900").drop("lang").selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in language_id(nothing).collect()} == {"und"}
     assert language_id(df.limit(0)).count() == 0
+
+
+def test_predictions_against_plain_profiles(spark):
+    """Every prediction and score again, gram by gram, without batches or tables."""
+    dims, letters = 128, Profiles(128, 3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    made = {}
+
+    def vector(text):
+        signs = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        out = np.zeros(dims)
+        for gram, n in Counter(signs[i : i + 3] for i in range(len(signs) - 2)).items():
+            if "  " not in gram:
+                if gram not in made:
+                    made[gram] = np.prod([np.roll(letters.letter(ord(c)), k) for k, c in enumerate(gram)], axis=0)
+                out += n * made[gram]
+        return out
+
+    vectors = {i: vector(t) for i, t, _ in rows}
+    prototypes = {}
+    for i, _, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            prototypes[lang] = prototypes.get(lang, 0) + vectors[i]
+    for r in language_id(docs, dims=dims).collect():
+        v = vectors[r.doc_id]
+        near = {lang: v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-12) for lang, p in prototypes.items()}
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert near[r.lang_pred] > max(near.values()) - 1e-5 and abs(r.score - max(near.values())) < 1e-5

@@ -55,3 +55,13 @@ def test_many_templates(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for r in license_scan(df, many).collect():
         assert {f"L{r.doc_id}", f"L{r.doc_id + 1}"} <= {m["license"] for m in r.matches}
+
+
+def test_very_long_texts(spark):
+    """A text of a million bytes is scanned to its end, one without a blank too."""
+    header = next(t[2] for t in TEMPLATES if t[:2] == ("MIT", "notice"))
+    words = " ".join(f"w{k % 977}" for k in range(200_000))
+    df = spark.createDataFrame([(1, f"{header} {words} {header}"), (2, "x" * 900_000), (3, words)], "doc_id long, text string")
+    got = {r.doc_id: [(m["license"], m["lo"], m["hi"]) for m in r.matches if m["license"] == "MIT"] for r in license_scan(df).collect()}
+    n = len(tokens(header))
+    assert got == {1: [("MIT", 0, n), ("MIT", n + 200_000, 2 * n + 200_000)], 2: [], 3: []}
