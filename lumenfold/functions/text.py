@@ -131,7 +131,8 @@ _SURNAME = r"((?:(?:van|von|de|der|den|del|della|di|la|le|du|ten|ter) )*\p{Lu}[\
 
 
 def entry_key(c: Column) -> Column:
-    """(first, year) of a reference entry that begins with its authors: the first surname, folded, and the year."""
+    """(first, year) of a reference entry that begins with its authors: the first surname with its particles, folded, and the year, looked for in
+    the first 300 letters, where authors stand. ``operators.bibliography.author_year`` tells surnames without particles and second authors."""
     first = F.lower(F.regexp_extract(c, rf"^\s*{_SURNAME}", 1))
     year = F.regexp_extract(F.substring(c, 1, 300), rf"(?<![\p{{L}}\p{{N}}]){_YEAR}(?![\p{{L}}\p{{N}}])", 1)
     return F.when((first != "") & (year != ""), F.struct(first.alias("first"), year.alias("year")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -546,7 +545,8 @@ def references_export(spark, sf):
 @query("select s_suppkey::double as s_suppkey, s_name || ', \"a\"' || chr(10) || 'b;c' as name, '00' || s_nationkey as code, s_acctbal from supplier")
 def delimited_roundtrip(spark, sf):
     """A table written as CSV, with quotes, line ends and leading zeros, and read again with its numbers inferred."""
-    folder = f"{shared_folder(spark)}/csv-{uuid4()}"
+    folder = f"{shared_folder(spark)}/csv-{pointer.files_id(spark, f'{sf}/supplier.parquet')[:24]}"
+    pointer.drop(spark, folder)
     rows = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "a"\nb;c')).alias("name"), F.concat(F.lit("00"), F.col("s_nationkey").cast("string")).alias("code"), "s_acctbal")
     delimited.write_csv(rows, folder)
     return delimited.infer_numbers(delimited.read_delimited(spark, folder))
