@@ -315,6 +315,15 @@ def encode(documents: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     return documents.select(*rest, text).mapInArrow(run, schema)
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """An Arrow column of ids as lists; nulls in it are left out."""
+    if column.null_count or column.values.null_count:
+        return [[i for i in x or [] if i is not None] for x in column.to_pylist()]
+    ends = column.offsets.to_pylist()
+    flat = column.values[ends[0] : ends[-1]].to_numpy().tolist()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     """The rows with their decoded text in the column ``decoded``."""
     spark = tokens.sparkSession
@@ -327,7 +336,7 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
         own = _encoder(shared.value).library
         for batch in batches:
             if batch.num_rows:
-                texts = own.decode([[i for i in x or [] if i is not None] for x in batch[ids].to_pylist()], num_threads=1)
+                texts = own.decode(_lists(batch[ids]), num_threads=1)
                 yield pa.record_batch([*[batch[c] for c in rest], pa.array(texts, pa.string())], [*rest, "decoded"])
 
     return tokens.select(*rest).mapInArrow(run, schema)

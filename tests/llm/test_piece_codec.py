@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from lumenfold.llm.piece_codec import BLANK, Encoder, Vocabulary, decode, encode, model_bytes, op12_sentencepiece
+from lumenfold.llm.piece_codec import BLANK, Encoder, Vocabulary, _lists, decode, encode, model_bytes, op12_sentencepiece
 
 SF = "/root/testdata/sf0.01"
 MODEL = model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,3 +84,9 @@ def test_agendas_in_step_are_the_agenda():
     want = [v.merge(w) for w in words]
     assert size.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
     assert v.merge_all([])[1].tolist() == []
+
+
+def test_lists_of_slices():
+    column = pa.array([[1, 2], [], [3], [4, 5]], pa.list_(pa.int32()))
+    assert _lists(column.slice(1, 2)) == [[], [3]] and _lists(column) == column.to_pylist() and _lists(column.slice(0, 0)) == []
+    assert _lists(pa.array([[1, None], None], pa.list_(pa.int32()))) == [[1], []]
