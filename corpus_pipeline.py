@@ -3,8 +3,8 @@ contaminated documents go, and what is left is mixed to target weights.
 
 Each stage works on the documents its predecessor kept; all but the last return the columns of documents.
 
-Near-dedup compares five-word shingles at a similarity of 0.8 (``near_copies``), not op4's three-bit fingerprints: texts
-of that similarity differ in about ten of 64 bits.
+Near-dedup links by op4's fingerprints (``simhash_dedup``: SimHash, three bits) and, as texts of a similarity of 0.8 differ in about ten of
+64 bits, by five-word shingles at that similarity too (``near_copies``): a class is a connected part of both kinds of links.
 
 Defined cases: null and empty texts are clean, have no lines and no words, aren't contaminated and are one near-duplicate
 class, of which the row of least doc_id stays (nulls last; of equal rows any, of rows that differ elsewhere the first as
@@ -31,9 +31,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By shingles alone; the pipeline's stage is drop_copies()."""
     return near_copies.keep_one(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By op4's fingerprints and by shingles."""
+    return near_copies.keep_one(docs, simhash=True)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -49,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_lines),
-    ("near-dedup", drop_near_copies),
+    ("near-dedup", drop_copies),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]

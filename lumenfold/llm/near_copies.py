@@ -13,6 +13,9 @@ original, the original or what is nearest to it), and then joined on their rares
 still have in common from there on (exact prefix and positional filters): copies with edits of their own don't meet
 each other, so a large family of them costs work in proportion to its size.
 
+With ``simhash`` the links of ``simhash_dedup`` (fingerprints of three-word shingles within three bits) count too: classes are the connected
+parts of both kinds of links, found among the classes of each.
+
 Defined cases: words are split at white space, A-Z is folded; null and blank texts are one class; fewer words than
 a shingle give one shingle of all of them; the document of least doc_id (nulls last) stays.
 """
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm import simhash_dedup
 from lumenfold.llm.components import components
 from lumenfold.llm.sparkkit import DECISION_ROWS, cut, map_arrow, small, without
 from lumenfold.llm.textkit import LOWER, NON_SPACE, blocks, gram_hashes, mix, word_hashes, words
@@ -60,8 +64,8 @@ def _sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield begin, np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
 
 
-def _signatures(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, fp, size, bands): fp stands for the set of shingles, size is how many it has."""
+def _signatures(documents: DataFrame, shingle: int, simhash: bool = False) -> DataFrame:
+    """(doc_id, th, fp, size, bands, sim): fp stands for the set of shingles, size is how many it has; sim is the SimHash, where asked for."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for begin, h, at in _sets(batch["text"], shingle):
@@ -76,10 +80,13 @@ def _signatures(documents: DataFrame, shingle: int) -> DataFrame:
             ends = np.cumsum(np.where(size > 0, BANDS, 0))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values))
             rows = slice(begin, begin + n)
-            yield pa.record_batch([batch["doc_id"][rows], batch["th"][rows], pa.array(fp.view(np.int64)), pa.array(size, pa.int64()), lists], ["doc_id", "th", "fp", "size", "bands"])
+            sim = pa.nulls(n, pa.int64())
+            if simhash:
+                sim = pa.array(np.fromiter((simhash_dedup.fingerprint(t.as_py()) for t in batch["text"][rows]), np.uint64, n).view(np.int64))
+            yield pa.record_batch([batch["doc_id"][rows], batch["th"][rows], pa.array(fp.view(np.int64)), pa.array(size, pa.int64()), lists, sim], ["doc_id", "th", "fp", "size", "bands", "sim"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    return map_arrow(docs, run, "doc_id long, th long, fp long, size long, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, th long, fp long, size long, bands array<long>, sim long")
 
 
 def _whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -203,11 +210,23 @@ def classes(documents: DataFrame, by_doc: DataFrame, shingle: int = SHINGLE) ->
     return nodes.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def _with_simhash(by_doc: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` (fp, root) with those put together that a class of SimHash fingerprints touches."""
+    alike = simhash_dedup.classes(by_doc.select(F.col("sim").alias("fp"))).select(F.col("fp").alias("sim"), F.col("root").alias("class"))
+    touched = by_doc.select("fp", "sim").distinct().join(parts, "fp").select("sim", "root").distinct()
+    touched = cut(touched.join(alike, "sim").select("class", "root").distinct())
+    links = touched.join(touched.groupBy("class").agg(F.min("root").alias("a")), "class").filter("a <> root")
+    whole = components(links.select("a", F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return parts.join(whole, "root", "left").select("fp", F.coalesce("whole", "root").alias("root"))
+
+
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, simhash: bool = False) -> DataFrame:
     """One document of each class, the one of least doc_id (nulls last), with its own columns."""
-    by_doc = cut(_signatures(documents, shingle))
+    by_doc = cut(_signatures(documents, shingle, simhash))
     # what a hot set or class is joined with is written first, so that the adaptive join can split it
     parts = cut(classes(documents, by_doc, shingle))
+    if simhash:
+        parts = cut(_with_simhash(by_doc, parts))
     rows = by_doc.groupBy("fp", "doc_id", "th").agg(F.count("*").alias("copies")).join(parts, "fp")
     rows = cut(rows.select("root", "doc_id", "th", "copies"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")

@@ -191,7 +191,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return _bucket_links(rest, crowd).unionAll(_crowd_links(looked, crowded))
 
 
-def _classes(by_doc: DataFrame, crowd: int) -> DataFrame:
+def classes(by_doc: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(fp, root): the part of each distinct fingerprint."""
     distinct = cut(by_doc.select("fp").distinct())
     parts = components(links(distinct, crowd))
@@ -201,7 +201,7 @@ def _classes(by_doc: DataFrame, crowd: int) -> DataFrame:
 def simhash_dedup(documents: DataFrame, shingle: int = 3, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     by_doc = cut(fingerprints(documents, shingle))
-    root = _classes(by_doc, crowd)
+    root = classes(by_doc, crowd)
     least = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = cut(root.join(least, "fp"))
     smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))

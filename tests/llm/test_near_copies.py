@@ -84,3 +84,21 @@ def test_stage_equals_brute_force(spark):
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(best.values(), key=repr)
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_links_by_fingerprints_too(spark):
+    """Texts whose fingerprints are alike and whose sets of shingles aren't, and a chain over both kinds of links."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    tail = lambda: " ".join(word() for _ in range(40))
+    refrain, other = "one two three " * 200, "four five six " * 200
+    base = [word() for _ in range(200)]
+    near = [*base[:190], *(word() for _ in range(10))]
+    texts = [refrain + tail(), refrain + tail(), other + tail(), tail(), " ".join(base), " ".join(near), " ".join(near) + " " + tail()]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8 or (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() <= 3]
+    part = classes(links)
+    assert similarity(sets[0], sets[1]) < 0.8 and (1, 0) in links and (5, 4) in links
+    want = sorted({min(k for k in range(len(texts)) if part.get(k, k) == part.get(i, i)) for i in range(len(texts))})
+    got = dict(corpus_pipeline.STAGES)["near-dedup"](spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
