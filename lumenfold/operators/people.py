@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.operators.graph import components
+from lumenfold.session import checkpoint
+
+#: Ids of one name to a block, and pairs that one task takes apart.
+BLOCK, TASK_PAIRS = 1024, 1 << 24
 
 
 def identify(seen: DataFrame, known: DataFrame) -> DataFrame:
@@ -46,17 +50,32 @@ def _initials(given: Column) -> Column:
 def same_name(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id) of names (id, family, given) with one family name, where the initials of one begin with the other's.
 
-    Names with initials meet over the family name and the first of them; only a name without any meets its whole family.
+    A row for each pair makes very many of a common name. So ids of one family name and the same initials are put together in blocks, blocks
+    meet instead of ids (with initials over the family name and the first of them, without any over the family name), and a task takes
+    apart at most about TASK_PAIRS pairs, however many a name has.
     """
-    x = a.select(F.col("id").alias("a_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("x")).withColumn("i", F.substring("x", 1, 1))
-    y = b.select(F.col("id").alias("b_id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("y")).withColumn("i", F.substring("y", 1, 1))
+    x = _blocks(a).select("f", F.col("initials").alias("x"), F.col("ids").alias("a_ids"), F.substring("initials", 1, 1).alias("i"))
+    y = _blocks(b).select("f", F.col("initials").alias("y"), F.col("ids").alias("b_ids"), F.substring("initials", 1, 1).alias("i"))
     both = x.filter("x <> ''").join(y.filter("y <> ''"), ["f", "i"]).filter(F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x")))
-    parts = [both, x.filter("x = ''").join(y, "f"), x.filter("x <> ''").join(y.filter("y = ''"), "f")]
-    out = None
-    for p in parts:
-        p = p.select("a_id", "b_id")
-        out = p if out is None else out.unionAll(p)
-    return out
+    met = None
+    for p in (both, x.filter("x = ''").join(y, "f"), x.filter("x <> ''").join(y.filter("y = ''"), "f")):
+        p = p.select("a_ids", "b_ids")
+        met = p if met is None else met.unionAll(p)
+    met = checkpoint(met)
+    pairs = met.agg(F.sum(F.size("a_ids").cast("long") * F.size("b_ids"))).first()[0] or 0
+    tasks = max(met.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
+    dealt = met.repartition(int(tasks))
+    return dealt.select(F.explode("a_ids").alias("a_id"), "b_ids").select("a_id", F.explode("b_ids").alias("b_id"))
+
+
+def _blocks(names: DataFrame) -> DataFrame:
+    """(f, initials, ids): the ids of each family name and initials, about BLOCK to a row."""
+    rows = names.select(F.col("id"), F.lower("family").alias("f"), _initials(F.col("given")).alias("initials")).filter("f is not null")
+    sizes = rows.groupBy("f", "initials").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = rows.join(sizes, ["f", "initials"], "left")
+    # null ids stay: collect_list would leave them out
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).alias("block")
+    return rows.groupBy("f", "initials", block).agg(F.transform(F.collect_list(F.struct("id")), lambda s: s["id"]).alias("ids"))
 
 
 def hierarchy(leaves: DataFrame, parents: list[tuple[DataFrame, str]], key: str) -> DataFrame:
