@@ -40,7 +40,8 @@ _MARKED, _PLAIN = _plain_letters()
 
 def unaccented(c: Column) -> Column:
     """Without the marks of Latin letters, be they part of a letter or behind it."""
-    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[\u0300-\u036F]+", "")
+    marked = F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[\u0300-\u036F]+", "")
+    return F.when(F.octet_length(c) != F.char_length(c), marked).otherwise(c)  # most texts have ASCII alone
 
 
 def unaccented_text(value: str) -> str:

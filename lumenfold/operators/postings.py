@@ -6,8 +6,9 @@ rows only, and a later segment's word on a key overrides an earlier one's. Corpu
 and moved by what changed. A pointer's move names the generation it started from, so of two writers from one base
 the second is refused.
 
-Postings are range-dealt by term and key and sorted, so a term is in few neighbouring files, one that a third of
-the rows hold is in many, and a query's filter on terms skips all other files and row groups.
+Postings stay with the task that read their rows: each row's terms are counted in its own array, and each task writes its postings
+sorted by term, so an index is built in one pass that shuffles nothing, and a query's filter on terms reads only the row groups and pages
+of each file that hold them. Every row also has a posting of the empty term, which no text holds: with its length, be there terms or not.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ class Index:
     extra: dict[str, Any] = field(default_factory=dict)
 
     def part(self, name: str, since: int = 0) -> DataFrame | None:
-        """postings, rows or gone of all segments, with the segment's place."""
-        parts = [self.spark.read.parquet(f"{self.path}/{s}/{name}").withColumn("place", F.lit(i)) for i, s in enumerate(self.segments) if i >= since]
+        """postings, rows, terms or gone of all segments, with the segment's place."""
+        parts = [_read(self.spark, f"{self.path}/{s}", name).withColumn("place", F.lit(i)) for i, s in enumerate(self.segments) if i >= since]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def live(self, df: DataFrame) -> DataFrame:
@@ -84,20 +85,43 @@ def open_index(spark: SparkSession, path: str, generation: int | None = None) ->
     return Index(spark, path, number, **payload) if payload else None
 
 
+#: Bytes of a row group of postings: a query reads those that hold its terms.
+GROUP_BYTES = 8 << 20
+
+
+def _read(spark: SparkSession, segment: str, name: str) -> DataFrame:
+    if name != "rows":
+        return spark.read.parquet(f"{segment}/{name}")
+    postings = spark.read.parquet(f"{segment}/postings")
+    return postings.filter("term = ''").drop("term", "tf")
+
+
+def _write_postings(postings: DataFrame, segment: str) -> None:
+    """postings (term, key, tf, dl) and, of those, terms (term, df)."""
+    postings.sortWithinPartitions("term").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{segment}/postings")
+    df = postings.sparkSession.read.parquet(f"{segment}/postings").filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    df.sortWithinPartitions("term").write.parquet(f"{segment}/terms")
+
+
 def _write_segment(docs: DataFrame, key: str, fields: list[str], path: str) -> str:
-    spark, name = docs.sparkSession, f"segment-{uuid4().hex}"
-    lists = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)]
-    parts = docs.select(F.col(key), *lists).withColumn("dl", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
-    # one explode over all fields, each term with its field
+    name, many = f"segment-{uuid4().hex}", len(fields)
+    # a row's terms in order, each with its field; runs of one term are counted by where they begin
     tag = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("f"))
-    tagged = F.flatten(F.array(*(F.transform(f"t{i}", tag(i)) for i in range(len(fields)))))
-    rows = parts.select(key, "dl", F.explode(tagged).alias("x")).select(key, "dl", "x.term", "x.f")
-    tfs = F.array(*(F.count_if(F.col("f") == i).cast("int") for i in range(len(fields))))
-    counts = rows.groupBy("term", key).agg(tfs.alias("tf"), F.first("dl").alias("dl"))
-    counts.repartitionByRange("term", key).sortWithinPartitions("term").write.parquet(f"{path}/{name}/postings")
-    parts.select(key, "dl").write.parquet(f"{path}/{name}/rows")
-    df = spark.read.parquet(f"{path}/{name}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
+    tagged = F.flatten(F.array(*(F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), tag(i)) for i, f in enumerate(fields))))
+    rows = docs.select(F.col(key), F.array_sort(tagged).alias("s"))
+    of = lambda i: lambda x: x["f"] == i
+    begins = lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["term"] != x["term"]), i)
+    rows = rows.select(key, "s", F.filter(F.transform("s", begins), lambda i: i.isNotNull()).alias("at"))
+
+    def posting(begin: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("at", k + 1), F.size("s")) - begin
+        run = F.slice("s", begin + 1, n)
+        tf = [n] if many == 1 else [F.size(F.filter(run, of(i))) for i in range(many)]
+        return F.struct(F.get("s", begin)["term"].alias("term"), F.array(*tf).alias("tf"))
+
+    whole = F.struct(F.lit("").alias("term"), F.array(*[F.lit(0)] * many).alias("tf"))
+    counts = rows.select(key, F.size("s").alias("dl"), F.explode(F.concat(F.array(whole), F.transform("at", posting))).alias("p"))
+    _write_postings(counts.select("p.term", key, "p.tf", "dl"), f"{path}/{name}")
     return name
 
 
@@ -106,7 +130,7 @@ def build(docs: DataFrame, key: str, fields: list[str], path: str, corpus: str |
     spark = docs.sparkSession
     base = pointer.read(spark, path)[0] if base is None else base
     name = _write_segment(docs, key, fields, path)
-    total = spark.read.parquet(f"{path}/{name}/rows").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).first()
+    total = _read(spark, f"{path}/{name}", "rows").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).first()
     index = Index(spark, path, base + 1, key, fields, [name], total["n"], total["words"] or 0, corpus)
     return _move(index, base)
 
@@ -127,7 +151,7 @@ def update(index: Index, changed: DataFrame, removed: DataFrame | None = None, c
     """
     key, spark = index.key, index.spark
     name = _write_segment(changed, key, index.fields, index.path)
-    own = spark.read.parquet(f"{index.path}/{name}/rows")
+    own = _read(spark, f"{index.path}/{name}", "rows")
     gone = own.select(key) if removed is None else own.select(key).unionByName(removed.select(key)).distinct()
     gone.write.parquet(f"{index.path}/{name}/gone")
     gone = spark.read.parquet(f"{index.path}/{name}/gone")
@@ -140,10 +164,7 @@ def update(index: Index, changed: DataFrame, removed: DataFrame | None = None, c
 def compact(index: Index) -> Index:
     """The next generation: the same postings in one segment, without what later segments replaced."""
     name = f"segment-{uuid4().hex}"
-    index.live(index.part("postings")).repartitionByRange("term", index.key).sortWithinPartitions("term").write.parquet(f"{index.path}/{name}/postings")
-    index.live(index.part("rows")).write.parquet(f"{index.path}/{name}/rows")
-    df = index.spark.read.parquet(f"{index.path}/{name}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{index.path}/{name}/terms")
+    _write_postings(index.live(index.part("postings")), f"{index.path}/{name}")
     return _move(Index(index.spark, index.path, index.generation + 1, index.key, index.fields, [name], index.rows, index.words, index.corpus), index.generation)
 
 

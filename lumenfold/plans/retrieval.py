@@ -45,7 +45,7 @@ def lexical_topk(spark, sf):
 def kept_index(spark, sf: str, name: str, key: str, fields: list[str]) -> postings.Index:
     """The index of a table's text columns, built when first asked for and kept in the shared folder under the fingerprint of the table's files."""
     files = pointer.files_id(spark, f"{sf}/{name}.parquet")
-    path = f"{shared_folder(spark)}/index-{name}-{'-'.join(fields)}-{files[:24]}"
+    path = f"{shared_folder(spark)}/postings-{name}-{'-'.join(fields)}-{files[:24]}"
     index = postings.open_index(spark, path)
     if index is None:
         try:
@@ -112,7 +112,7 @@ def metadata_lift_scan(spark, sf):
 def index_update(spark, sf):
     """The lift after every fifth part changed, some were removed and some came in: the index takes in the changed rows alone, in two generations."""
     part = table(spark, sf, "part")
-    path = f"{shared_folder(spark)}/index-update-{pointer.files_id(spark, f'{sf}/part.parquet')[:24]}"
+    path = f"{shared_folder(spark)}/postings-update-{pointer.files_id(spark, f'{sf}/part.parquet')[:24]}"
     index = postings.open_index(spark, path)
     if index is None:
         index = postings.build(part.select("p_partkey", *_LIFTED), "p_partkey", list(_LIFTED), path, base=0)
@@ -209,7 +209,7 @@ for _mode, _list in (("keyword", "w"), ("semantic", "v")):
         select source, round(best + 0.15 * all_scores, 7) as score, hits::bigint as hits from g"""
 )
 def owner_ranking(spark, sf):
-    hits = hybrid_search(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    hits = F.broadcast(hybrid_search(spark, sf)).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return search.owners(hits, "source").select("source", F.round("score", 7).alias("score"), "hits")
 
 
@@ -218,7 +218,7 @@ def owner_ranking(spark, sf):
         select source, doc_id, place::int as place from r where place <= 3"""
 )
 def best_passages(spark, sf):
-    hits = hybrid_search(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    hits = F.broadcast(hybrid_search(spark, sf)).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     return search.best_passages(hits, "source", "doc_id", 3).select("source", "doc_id", "place")
 
 
@@ -292,7 +292,7 @@ def hit_passages(spark, sf):
     none = F.lit(None).cast("string")
     passages = docs.select("doc_id", "source", "text", none.alias("note"), F.when(F.col("doc_id") % 3 > 0, 1).alias("page"), none.alias("seconds"))
     shown = docs.select("source").filter(F.col("source").isin([f"src{k}" for k in range(5)])).distinct()
-    found = search.hit_passages(hybrid_search(spark, sf), passages, "doc_id", "source", F.lit("found"), shown)
+    found = search.hit_passages(F.broadcast(hybrid_search(spark, sf)), passages, "doc_id", "source", F.lit("found"), shown)
     return found.select("source", "doc_id", "place", "related", "snippet")
 
 

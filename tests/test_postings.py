@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.operators import postings, search
 from lumenfold.sources import pointer
@@ -118,3 +119,14 @@ def test_hybrid_by_plain_rules(spark, tmp_path):
     keyword = got(search.hybrid(index, vectors, ["emu"], [1.0, 0.0], "id", "vid", "e", mode="keyword"))
     assert got(search.hybrid(index, vectors, ["emu"], [1.0, 0.0], "id", "vid", "e", vectors_of="two")) == keyword
     assert got(search.hybrid(index, vectors, ["emu"], [1.0, 0.0], "id", "vid", "e", vectors_of="two", mode="semantic")) == {}
+
+
+def test_postings_stay_with_their_rows(spark, tmp_path):
+    """Nothing is shuffled to build an index: a row's postings are in one file, those of a term in order; rows without terms count."""
+    docs = made(60, 5) | {900: ("", "")}
+    index = postings.build(frame(spark, docs).repartition(3), "id", ["title", "body"], str(tmp_path / "i"))
+    part = index.part("postings").withColumn("file", F.input_file_name())
+    assert part.select("id", "file").distinct().count() == part.select("id").distinct().count() == index.rows == 61
+    assert part.select("file").distinct().count() > 1
+    got = {(r.id, r.term): list(r.tf) for r in index.part("postings").filter("term <> ''").collect()}
+    assert got == {(k, w): [t.split().count(w), b.split().count(w)] for k, (t, b) in docs.items() for w in {*t.split(), *b.split()}}
