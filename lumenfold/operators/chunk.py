@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lumenfold.functions.text import is_heading, sentences, text_lines
+from lumenfold.session import small_batches
 
 MIN_BYTES, TARGET_BYTES, MAX_BYTES, MIN_LETTERS = 320, 1400, 2400, 20
 
@@ -65,13 +68,17 @@ def _cut(text: str, target: int, most: int) -> list[str]:
 
 
 def passages(docs: DataFrame, key: str, text: str = "text", least: int = MIN_BYTES, target: int = TARGET_BYTES, most: int = MAX_BYTES) -> DataFrame:
-    """(key, seq, passage): the lines of each text packed into passages."""
+    """(key, seq, passage): the lines of each text packed into passages, one text at a time in small batches, whatever a partition holds."""
 
-    @F.pandas_udf("array<string>")
-    def packed(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: _pack([] if x is None else list(x), least, target, most))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array((_pack(x.as_py() or [], least, target, most) for x in batch["lines"]), pa.list_(pa.string()))
+            yield pa.record_batch([batch["key"], packed], ["key", "packed"])
 
-    return docs.select(key, F.posexplode(packed(text_lines(F.col(text)))).alias("seq", "passage"))
+    small_batches(docs.sparkSession)
+    lines = docs.select(F.col(key).alias("key"), text_lines(F.col(text)).alias("lines"))
+    made = lines.mapInArrow(run, StructType([StructField("key", lines.schema["key"].dataType), StructField("packed", ArrayType(StringType()))]))
+    return made.select(F.col("key").alias(key), F.posexplode("packed").alias("seq", "passage"))
 
 
 def headings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
