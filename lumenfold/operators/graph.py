@@ -17,11 +17,12 @@ def _frontier(first: DataFrame, edges: DataFrame, columns: list[str], step: dict
     """
     new = checkpoint(first.distinct())
     parts = [new]  # what each round added; none is written again
-    edges = edges.distinct()
+    # neither the edges nor what was seen is broadcast: each round's copy would pass through the driver
+    edges = checkpoint(edges.distinct()).hint("merge")
     while not new.isEmpty():
         further = new.join(edges, new["id"] == edges["up"]).select(*(edges["down"].alias("id") if c == "id" else step.get(c, F.col(c)).alias(c) for c in new.columns))
         seen = reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
-        new = checkpoint(further.dropDuplicates(columns).join(seen, columns, "left_anti"))
+        new = checkpoint(further.dropDuplicates(columns).join(seen.hint("merge"), columns, "left_anti"))
         parts.append(new)
     return reduce(DataFrame.unionByName, parts)
 

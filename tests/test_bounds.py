@@ -1,8 +1,9 @@
 """Steps whose cost must not outgrow the input."""
 
+from pyspark.sql import functions as F
 
 from lumenfold import session
-from lumenfold.operators import chunk
+from lumenfold.operators import chunk, graph
 
 
 def test_passages_take_small_batches(spark):
@@ -11,3 +12,17 @@ def test_passages_take_small_batches(spark):
     got = {r["name"]: (r.seq, r.passage) for r in chunk.passages(docs, "name").collect()}
     assert got == {f"k{i}": (0, f"some words of text {i} which are long enough") for i in range(30)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= session.BATCH_BYTES
+
+
+def test_closure_broadcasts_nothing(spark, monkeypatch):
+    plans, plain = [], graph.checkpoint
+
+    def recorded(df):
+        out = plain(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "checkpoint", recorded)
+    edges = spark.range(1, 200).select(F.col("id").alias("a"), F.expr("id div 2").alias("b"))
+    assert graph.closure(edges).count() == sum(i.bit_length() for i in range(1, 200))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
