@@ -86,13 +86,15 @@ def plausible_sentences(c: Column) -> Column:
     """
     short = "|".join(re.escape(a) for a in ABBREVIATIONS)
     stop = rf"(?<!(?:^|\s)[^\p{{L}}\p{{N}}.\s]{{0,8}}(?:(?i:{short})|[A-Za-z])[^\p{{L}}\p{{N}}.\s]{{0,8}})\."
-    found = F.regexp_extract_all(c, F.lit(rf"(?s)(?=\S).*?(?:(?:{stop}|[!?]){_CLOSING}*+(?=\s|\z)|(?=\s*\z))"), F.lit(0))
-    letters = lambda x: F.char_length(F.regexp_replace(x, r"[^\p{L}]", ""))
-    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"\p{L}")))
+    end = rf"(?:{stop}|[!?]){_CLOSING}*+(?=\s|\z)"
+    # whole runs at a time, and no step is ever taken back: only at . ! ? is an end looked for, only behind blanks the text's
+    found = F.regexp_extract_all(c, F.lit(rf"(?=\S)(?:[^.!?\s]++|\s++(?!\z)|(?!{end})[.!?])*+(?:{end}|(?=\s*+\z))"), F.lit(0))
+    letters = lambda x: F.char_length(F.regexp_replace(x, r"[^\p{L}]++", ""))
+    words = lambda x: F.regexp_count(x, F.lit(r"(?<!\S)[^\s\p{L}]*+\p{L}\S*+"))
     ended = lambda x: x.rlike(r"[.!?][”’\"')\]}]*$")
 
     def plausible(x: Column) -> Column:
-        visible = F.char_length(F.regexp_replace(x, r"\s", ""))
+        visible = F.char_length(F.regexp_replace(x, r"\s++", ""))
         return ~x.contains("@") & (letters(x) >= 5) & (letters(x) * 100 >= visible * 45) & (words(x) >= F.when(ended(x), 2).otherwise(4))
 
     return F.filter(found, plausible)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenfold import session
+from lumenfold.functions import text as tx
 from lumenfold.operators import chunk, graph
 
 
@@ -26,3 +27,10 @@ def test_closure_broadcasts_nothing(spark, monkeypatch):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), F.expr("id div 2").alias("b"))
     assert graph.closure(edges).count() == sum(i.bit_length() for i in range(1, 200))
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_sentences_of_very_long_blanks(spark):
+    """A run of blanks within a line isn't looked through again from each of them."""
+    rows = spark.createDataFrame([("Words are here" + " " * 300_000 + "and more of them. The next has five words",)], "t string")
+    got = rows.select(tx.plausible_sentences(F.col("t")).alias("s")).first().s
+    assert [" ".join(s.split()) for s in got] == ["Words are here and more of them.", "The next has five words"]
