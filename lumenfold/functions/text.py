@@ -180,15 +180,29 @@ def citation_numbers(c: Column, most: int = MAX_CITATIONS) -> Column:
 
     A range that runs backwards, a number of 0 or over ``MAX_REFERENCE``, or more than ``most`` numbers reject the whole.
     """
+
+    def inner(clean: Column) -> Column:
+        return F.when(clean.rlike(r"^(\[.*\]|\(.*\))$"), F.substring(clean, 2, F.char_length(clean) - 2)).when(~clean.rlike(r"^[\[(]|[\])]$"), clean)
+
+    well_formed = lambda parts: F.forall(parts, lambda x: x.rlike(r"^[0-9]{1,9}( ?[-–—] ?[0-9]{1,9})?$"))
+    number = lambda x: x.try_cast("int")
+    # of a well-formed part: what stands before the dash, and behind it
+    ends = lambda x: F.split(F.translate(x, "–— ", "--"), "-")
+    span = lambda e: F.struct(number(F.get(e, 0)).alias("lo"), number(F.coalesce(F.get(e, 1), F.get(e, 0))).alias("hi"))
+    bounded = lambda ranges: F.forall(ranges, lambda r: (r["lo"] >= 1) & (r["hi"] >= r["lo"]) & (r["hi"] <= MAX_REFERENCE) & (r["hi"] - r["lo"] < most))
+    distinct = lambda ranges: F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"]))))
+    few = lambda numbers: F.when(F.size(numbers).between(2, most), numbers)
+    expanded = lambda ranges: F.when(bounded(ranges), _once(distinct(ranges), few))
+    spans = lambda parts: F.transform(parts, lambda x: _once(ends(x), span))
+    listed = lambda parts: F.when(well_formed(parts), _once(spans(parts), expanded))
+    parts = lambda x: F.transform(F.split(F.translate(x, ";", ","), ",", -1), lambda p: F.trim(F.regexp_replace(p, r"\s++", " ")))
     clean = F.regexp_replace(c, r"^[\s.:,;†*]+|[\s.:,;†*]+$", "")
-    inner = F.when(clean.rlike(r"^(\[.*\]|\(.*\))$"), F.substring(clean, 2, F.char_length(clean) - 2)).when(~clean.rlike(r"^[\[(]|[\])]$"), clean)
-    parts = F.transform(F.split(inner, "[,;]", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    well_formed = F.forall(parts, lambda x: x.rlike(r"^[0-9]{1,9}( ?[-–—] ?[0-9]{1,9})?$"))
-    number = lambda x, at: F.regexp_extract(x, r"^([0-9]+)(?: ?[-–—] ?([0-9]+))?$", at).try_cast("int")
-    ranges = F.transform(parts, lambda x: F.struct(number(x, 1).alias("lo"), F.coalesce(number(x, 2), number(x, 1)).alias("hi")))
-    bounded = F.forall(ranges, lambda r: (r["lo"] >= 1) & (r["hi"] >= r["lo"]) & (r["hi"] <= MAX_REFERENCE) & (r["hi"] - r["lo"] < most))
-    numbers = F.when(bounded, F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"])))))
-    return F.when(well_formed & bounded & F.size(numbers).between(2, most), numbers)
+    return _once(clean, lambda k: _once(inner(k), lambda x: _once(parts(x), listed)))
+
+
+def _once(c: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is used in there."""
+    return F.get(F.transform(F.array(c), then), 0)
 
 
 def page_links(c: Column) -> Column:

@@ -34,3 +34,12 @@ def test_sentences_of_very_long_blanks(spark):
     rows = spark.createDataFrame([("Words are here" + " " * 300_000 + "and more of them. The next has five words",)], "t string")
     got = rows.select(tx.plausible_sentences(F.col("t")).alias("s")).first().s
     assert [" ".join(s.split()) for s in got] == ["Words are here and more of them.", "The next has five words"]
+
+
+def test_citation_parts_are_worked_out_once(spark):
+    c = spark.range(1).select(tx.citation_numbers(tx.citation_groups(F.col("id").cast("string"))[0]).alias("n"))
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    texts = ["[2, 4-6]", "[1]", "[4-2]", "(3; 5 – 6)", "[3,]", "[a]", "[1, 1001]", "[1-40]", "[2, 2-3, 3]", "7, 8", "[7, 8", "", None]
+    want = [[2, 4, 5, 6], None, None, [3, 5, 6], None, None, None, None, [2, 3], [7, 8], None, None, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.citation_numbers(F.col("t")).alias("n")).orderBy("i")
+    assert [r.n for r in rows.collect()] == want
