@@ -71,6 +71,22 @@ def test_production_length_in_texts_over_a_step(spark, monkeypatch):
     assert rows_of(suffix_dedup(df)) == rows_of(suffix_dedup(df, crowd=3)) == brute(copies, 400)
 
 
+def test_periodic_ends_of_different_length(spark):
+    """Contexts that differ only in how often their end repeats aren't equal: the rest of the longer one stays."""
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    heads = [noise(270) for _ in range(12)]
+    rows = [(10 * k + j, head + "uvwxyz" * (55 + j)) for k, head in enumerate(heads) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = rows_of(suffix_dedup(df))
+    assert found == brute(rows, 400)
+    assert {r[2] for r in found} == {600}
+    # a third text repeats what only the longer ones have
+    rows += [(10 * k + 2, "#" + (head + "uvwxyz" * 56)[206:] + "#") for k, head in enumerate(heads)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(suffix_dedup(df)) == rows_of(suffix_dedup(df, crowd=1)) == brute(rows, 400)
+
+
 def test_refine_ranks_positions():
     rnd = random.Random(9)
     parts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90))).encode() for _ in range(30)] + [b"ab" * 40]
